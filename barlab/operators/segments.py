@@ -99,16 +99,17 @@ def rollover_table(bars: DataFrame, clock: Clock, tile_units: int = TILE_UNITS)
 def add_contract_segments(
     bars: DataFrame, clock: Clock, tile_units: int = TILE_UNITS
 ) -> DataFrame:
-    """Add roll_event, contract_segment_id, segment_start, segment_end and segment_row.
+    """Add roll_event, contract_segment_id, segment_start/end, segment_row and segment_rows.
 
     A segment is a contiguous run of one instrument inside a root; an instrument that returns
-    later opens a new segment. ``segment_row`` is the 0-based row number inside the segment.
-    Bars must be unique on (root, ts).
+    later opens a new segment. ``segment_row`` is the 0-based row number inside the segment,
+    ``segment_rows`` the segment's row count. Bars must be unique on (root, ts).
     """
     rows = _tile_runs(bars, clock, tile_units)
     runs = _runs(rows)
     spans = _segment_table(runs).select(
-        "root", "contract_segment_id", "segment_start", "segment_end", "_segment_row0"
+        "root", "contract_segment_id", "segment_start", "segment_end", "_segment_row0",
+        F.col("rows").alias("_segment_rows"),
     )
     # The runs of one tile travel as an array so that the join back is on (root, tile), the
     # partitioning the rows already have. A tile has at most tile_units runs.
@@ -121,7 +122,9 @@ def add_contract_segments(
             F.first("_segment0").alias("_segment0"),
             F.first("_row0").alias("_row0"),
             F.array_sort(
-                F.collect_list(F.struct("_run", "segment_start", "segment_end", "_segment_row0"))
+                F.collect_list(
+                    F.struct("_run", "segment_start", "segment_end", "_segment_row0", "_segment_rows")
+                )
             ).alias("_spans"),
         )
     )
@@ -136,6 +139,7 @@ def add_contract_segments(
             F.col("_span.segment_start").alias("segment_start"),
             F.col("_span.segment_end").alias("segment_end"),
             (F.col("_row0") + F.col("_pos") - 1 - F.col("_span._segment_row0")).alias("segment_row"),
+            F.col("_span._segment_rows").alias("segment_rows"),
         )
     )
 

@@ -23,6 +23,7 @@ def local_session(cpus: str = "*", app: str = "barlab", shuffle_partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BARLAB_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
