@@ -5,7 +5,11 @@ from __future__ import annotations
 
 def load_catalog():
     """Import every query module and return (queries, SQL twins)."""
-    from barlab.catalog import feature_queries, metric_queries  # noqa: F401
+    from barlab.catalog import (  # noqa: F401
+        feature_queries,
+        market_queries,
+        metric_queries,
+    )
     from barlab.catalog.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
