@@ -7,8 +7,11 @@ def load_catalog():
     """Import every query module and return (queries, SQL twins)."""
     from barlab.catalog import (  # noqa: F401
         feature_queries,
+        log_queries,
         market_queries,
         metric_queries,
+        model_queries,
+        plan_queries,
     )
     from barlab.catalog.registry import ORACLES, QUERIES
 

@@ -31,6 +31,7 @@ from barlab.operators import profile as prof
 from barlab.operators import quality as qual
 from barlab.operators import sampling as samp
 from barlab.operators import stability as stab
+from barlab.session import materialise
 
 CUTOFF = datetime(2000, 1, 1)
 EV_ANCHOR_COLS = cross.anchor_columns(MINUTE, EV_ANCHORS)
@@ -149,7 +150,7 @@ def experiment_sizes(spark, sf_dir):
 )
 def experiment_row_identity(spark, sf_dir):
     """The B and C samples hold the same (root, ts) rows as the A sample."""
-    rows = market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET))
+    rows = materialise(market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET)))
     sample = {
         name: samp.even_sample(
             cross.experiment_view(rows, name, DAY, LI_ANCHORS, TARGET).select("root", "ts"),

@@ -149,9 +149,11 @@ def row_fingerprint(
 def identity_differences(
     left: DataFrame, right: DataFrame, identity: Sequence[str] = ("root", "ts")
 ) -> DataFrame:
-    """Row identities present on one side only (with multiplicity). Must be empty."""
-    a, b = left.select(*identity), right.select(*identity)
-    return (
-        a.exceptAll(b).withColumn("side", F.lit("left"))
-        .unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Row identities that one side has more often, with the difference. Must be empty.
+
+    Both sides are read once and summed with opposite signs.
+    """
+    signed = left.select(*identity, F.lit(1).alias("_s")).unionByName(
+        right.select(*identity, F.lit(-1).alias("_s"))
     )
+    return signed.groupBy(*identity).agg(F.sum("_s").alias("surplus")).where("surplus <> 0")

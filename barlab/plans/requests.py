@@ -51,9 +51,9 @@ def latest_complete_end(
 
 def expand_requests(
     markets: DataFrame, schemas: Sequence[SchemaRequest], end: date,
-    core_roots: Sequence[str] = (), core: SchemaRequest | None = None,
+    core: SchemaRequest | None = None, is_core: Column | None = None,
 ) -> DataFrame:
-    """One request per market and schema, plus one core request for the core markets."""
+    """One request per market and schema, plus the core schema where ``is_core`` holds."""
     def entry(s: SchemaRequest) -> Column:
         template = PARENT_TEMPLATE if s.parent else CONTINUOUS_TEMPLATE
         return F.struct(
@@ -66,7 +66,7 @@ def expand_requests(
 
     listed = [entry(s) for s in schemas]
     if core is not None:
-        listed.append(F.when(F.col("root").isin(*core_roots), entry(core)))
+        listed.append(F.when(is_core, entry(core)))
     day = F.lit(end.isoformat()).cast("date")
     return (
         markets.select("root", F.explode(F.array_compact(F.array(*listed))).alias("_r"))

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def manifest_entries(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The ``entries`` list of a JSON manifest as rows, optionally of one record schema."""
-    payload = spark.read.option("multiLine", True).json(path)
+def manifest_entries(
+    spark: SparkSession, path: str, schema: str | None = None, one_document: bool = True
+) -> DataFrame:
+    """The ``entries`` lists of JSON manifests as rows, optionally of one record schema.
+
+    ``one_document``: each file is one (possibly indented) document; otherwise one per line.
+    """
+    payload = spark.read.option("multiLine", one_document).json(path)
     if "entries" not in payload.columns:
         raise ValueError(f"no entries list in {path}")
     entries = payload.select(F.explode("entries").alias("e")).select("e.*")
@@ -16,7 +21,7 @@ def manifest_entries(spark: SparkSession, path: str, schema: str | None = None)
 
 
 def write_manifest(entries: DataFrame, path: str, by: str = "root") -> None:
-    """One JSON document per ``by`` value (a root has one entry per record schema)."""
+    """One JSON line per ``by`` value (a root has one entry per record schema)."""
     documents = entries.groupBy(by).agg(
         F.array_sort(F.collect_list(F.struct("schema", *[c for c in entries.columns if c != "schema"]))).alias("entries")
     )
