@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import DAY, MINUTE
 from barlab.operators.segments import add_contract_segments
+from barlab.session import materialise
 
 LI_ROOTS = ("A", "N", "R")
 LI_ANCHORS = ("A", "N")
@@ -74,13 +75,17 @@ def bars_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(rows, F.col("value"), F.count(F.lit(1)), F.col("event_id"))
 
 
+# The derived bars are stored before they are segmented, as a bar dataset would be: the raw
+# rows are then aggregated once, though segmentation reads its input twice.
+
+
 def seg_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_contract_segments(bars_li(spark, sf_dir), DAY, LI_TILE)
+    return add_contract_segments(materialise(bars_li(spark, sf_dir)), DAY, LI_TILE)
 
 
 def seg_su(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_contract_segments(bars_su(spark, sf_dir), DAY, LI_TILE)
+    return add_contract_segments(materialise(bars_su(spark, sf_dir)), DAY, LI_TILE)
 
 
 def seg_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_contract_segments(bars_ev(spark, sf_dir), MINUTE, EV_TILE)
+    return add_contract_segments(materialise(bars_ev(spark, sf_dir)), MINUTE, EV_TILE)

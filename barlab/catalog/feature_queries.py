@@ -22,8 +22,15 @@ from barlab.operators import segments as seg
 IDENTITY = ("root", "ts")
 
 
+# Prices reach 1e5, so four decimals are already near the end of double precision.
+PRICE_DIGITS = {
+    c: 4
+    for c in ("ema_5", "ema_20", "ema_50", "atr_14", "typical_price", "rolling_vwap_60d", "rolling_vwap_240d")
+}
+
+
 def _sql_cols(names, digits=8) -> str:
-    return ", ".join(f"{q.rd(n, digits)} AS {n}" for n in names)
+    return ", ".join(f"{q.rd(n, PRICE_DIGITS.get(n, digits))} AS {n}" for n in names)
 
 
 @register(
@@ -165,7 +172,7 @@ _TREND = ["ema_5", "ema_20", "ema_50", *feat.EMA_RATIOS, "rsi_14"]
     ),
 )
 def trend_features(spark, sf_dir):
-    return report(feat.add_trend(seg_su(spark, sf_dir)).select(*IDENTITY, *_TREND), 7)
+    return report(feat.add_trend(seg_su(spark, sf_dir)).select(*IDENTITY, *_TREND), 7, PRICE_DIGITS)
 
 
 _VOLA = ["atr_14", "atr_14_normalized", *[DAY.name("realized_vol", u) for u in (5, 15, 60)]]
@@ -180,7 +187,7 @@ _VOLA = ["atr_14", "atr_14_normalized", *[DAY.name("realized_vol", u) for u in (
 )
 def volatility_features(spark, sf_dir):
     returns = feat.add_exact_returns(seg_su(spark, sf_dir), DAY, (1,))
-    return report(feat.add_volatility(returns, DAY).select(*IDENTITY, *_VOLA), 7)
+    return report(feat.add_volatility(returns, DAY).select(*IDENTITY, *_VOLA), 7, PRICE_DIGITS)
 
 
 _VOLUME = [
@@ -212,7 +219,7 @@ _VWAP = ["typical_price", "rolling_vwap_60d", "rolling_vwap_240d", "close_minus_
     ),
 )
 def vwap_features(spark, sf_dir):
-    return report(feat.add_vwap(seg_li(spark, sf_dir), DAY).select(*IDENTITY, *_VWAP), 7)
+    return report(feat.add_vwap(seg_li(spark, sf_dir), DAY).select(*IDENTITY, *_VWAP), 7, PRICE_DIGITS)
 
 
 _OWN = feat.own_feature_names(DAY)

@@ -64,12 +64,13 @@ LI_B = (*FEAT_LI, anchors_sql("feat", LI_ANCHORS, "d"),
 
 
 def returns_ev(spark, sf_dir):
-    return feat.add_exact_returns(seg_ev(spark, sf_dir), MINUTE, (1, 5, 15))
+    """Stored once: the anchor table and the table it is attached to are the same rows."""
+    return materialise(feat.add_exact_returns(seg_ev(spark, sf_dir), MINUTE, (1, 5, 15)))
 
 
 def market_li(spark, sf_dir):
-    """Own features, labels and anchors of the dense daily bars."""
-    own = features_li(spark, sf_dir)
+    """Own features, labels and anchors of the dense daily bars (own features stored once)."""
+    own = materialise(features_li(spark, sf_dir))
     return cross.add_cross_market(own, cross.anchor_table(own, DAY, LI_ANCHORS))
 
 

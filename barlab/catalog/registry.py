@@ -27,13 +27,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def report(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Comparable output: rounded doubles, bigint integers, zone-less timestamps."""
+def report(df: DataFrame, digits: int = 8, special: dict[str, int] | None = None) -> DataFrame:
+    """Comparable output: rounded doubles, bigint integers, zone-less timestamps.
+
+    ``special`` holds the digits of columns on another scale (a price has fewer true decimals).
+    """
     columns = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind in ("double", "float"):
-            c = rounded(c.cast("double"), digits)
+            c = rounded(c.cast("double"), (special or {}).get(name, digits))
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
         elif kind == "timestamp":

@@ -1,9 +1,16 @@
-"""Causal own-market features of a bar, computed inside its contract segment."""
+"""Causal own-market features of a bar, computed inside its contract segment.
+
+Every feature family is a list of steps, each a set of columns that may use those of earlier
+steps. Families are laid side by side, so one step of all of them is one Window operator: the
+whole graph needs one exchange, one sort and as many Window operators as the longest family.
+Columns that start with an underscore are dropped at the end.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -67,157 +74,236 @@ def full(rows: int, value: Column) -> Column:
     return F.when(F.col("segment_row") >= rows - 1, value)
 
 
+Steps = list[dict[str, Column]]
+Family = Callable[[WindowSpec], Steps]
+
+
+def run_steps(rows: DataFrame, w: WindowSpec, families: Sequence[Family]) -> DataFrame:
+    """Apply the families step by step and drop their helper columns."""
+    kept = set(rows.columns)
+    lists = [family(w) for family in families]
+    for level in range(max(map(len, lists))):
+        columns: dict[str, Column] = {}
+        for steps in lists:
+            if level < len(steps):
+                columns.update(steps[level])
+        rows = rows.withColumns(columns)
+    return rows.select(*[c for c in rows.columns if c in kept or not c.startswith("_")])
+
+
 def ema_levels(span: int) -> int:
-    """Doublings after which the remaining weight is below 2**-60, under double precision."""
+    """log2 of the rows after which the remaining weight is below 2**-60 (under double precision)."""
     decay = (span - 1) / (span + 1)
     return math.ceil(math.log2(60 * math.log(2) / -math.log(decay)))
 
 
-def return_columns(w: WindowSpec, clock: Clock, horizons: Sequence[int]) -> dict[str, Column]:
-    return {
-        clock.name("log_return", h): log_ratio(F.col("close"), close_at(w, -clock.span(h)))
-        for h in horizons
-    }
+def returns(clock: Clock, horizons: Sequence[int] = RETURN_HORIZONS) -> Family:
+    """ln(close[t] / close[t - h]) at the exact earlier clock time."""
+    def steps(w: WindowSpec) -> Steps:
+        past = {f"_past_{h}": close_at(w, -clock.span(h)) for h in horizons}
+        return [
+            past,
+            {
+                clock.name("log_return", h): log_ratio(F.col("close"), F.col(f"_past_{h}"))
+                for h in horizons
+            },
+        ]
+
+    return steps
 
 
 def candle_columns() -> dict[str, Column]:
     o, h, lo, c = (F.col(n) for n in ("open", "high", "low", "close"))
-    return {
-        "return_open_to_close": safe_ratio(c - o, o),
-        "range_pct": safe_ratio(h - lo, c),
-        "upper_wick_pct": safe_ratio(h - F.greatest(o, c), c),
-        "lower_wick_pct": safe_ratio(F.least(o, c) - lo, c),
-        "close_location_in_bar": safe_ratio(c - lo, h - lo),
-    }
+    shapes = (
+        safe_ratio(c - o, o),
+        safe_ratio(h - lo, c),
+        safe_ratio(h - F.greatest(o, c), c),
+        safe_ratio(F.least(o, c) - lo, c),
+        safe_ratio(c - lo, h - lo),
+    )
+    return dict(zip(CANDLE_FEATURES, shapes))
+
 
+def candles(w: WindowSpec) -> Steps:
+    return [candle_columns()]
 
-def with_ema(rows: DataFrame, w: WindowSpec, spans: Sequence[int] = EMA_SPANS) -> DataFrame:
-    """Recursive EMA (first close as seed) by doubling.
 
-    With ``e0 = alpha * x`` (the seed row keeps ``x``), ``e_{k+1}[t] = e_k[t] + q^(2^k) *
-    e_k[t - 2^k]`` covers 2^(k+1) rows, so about log2 steps of one lag each replace the
-    recursion, all on the block's existing sort.
+def running_sum(value: Column, base: str, rows: int, w: WindowSpec, decay: float = 1.0) -> Steps:
+    """``{base}_last_{rows}``: sum of the last ``rows`` values, the one j rows back times decay**j.
+
+    A sliding SUM frame visits every row of the frame again for every row. Here the sums of 8,
+    64, 512... rows are each built from eight lagged sums of the step before, and the requested
+    length from a few of those, so the cost grows with the logarithm of the frame. No running
+    total is ever subtracted, so nothing cancels. Missing rows before the block count as zero.
+    Sums of several lengths over one ``base`` share their partial sums.
+    """
+    def back(column: str, offset: int) -> Column:
+        c = F.col(column) if offset == 0 else F.lag(column, offset, 0.0).over(w)
+        return c if decay == 1.0 or offset == 0 else c * decay**offset
+
+    def total(terms: Sequence[Column]) -> Column:
+        return reduce(lambda x, y: x + y, terms)
+
+    sizes = [1]
+    while sizes[-1] * 8 <= rows:
+        sizes.append(sizes[-1] * 8)
+    partial = {size: f"{base}_sum_{size}" for size in sizes}
+    steps: Steps = [{partial[1]: value}]
+    for small, big in zip(sizes, sizes[1:]):
+        steps.append({partial[big]: total([back(partial[small], j * small) for j in range(8)])})
+    terms, offset = [], 0
+    for size in reversed(sizes):
+        while rows - offset >= size:
+            terms.append(back(partial[size], offset))
+            offset += size
+    steps.append({f"{base}_last_{rows}": total(terms)})
+    return steps
+
+
+def side_by_side(*families: Steps) -> Steps:
+    """Merge families that may run in the same steps."""
+    out: Steps = [{} for _ in range(max(map(len, families)))]
+    for steps in families:
+        for level, columns in enumerate(steps):
+            out[level].update(columns)
+    return out
+
+
+def trend(w: WindowSpec) -> Steps:
+    """Recursive EMAs (first close as seed) and their log ratios.
+
+    An EMA is the decayed sum of ``alpha * close``, where the seed row keeps its full weight. It
+    reaches back until the remaining weight is below double precision.
     """
-    for span in spans:
+    def seeded(span: int) -> Column:
         alpha = 2.0 / (span + 1)
-        seed = F.when(F.col("segment_row") == 0, F.col("close")).otherwise(F.col("close") * alpha)
-        rows = rows.withColumn(f"ema_{span}", seed)
-    for k in range(max(ema_levels(s) for s in spans)):
-        rows = rows.withColumns(
-            {
-                f"ema_{s}": F.col(f"ema_{s}")
-                + F.lag(f"ema_{s}", 2**k, 0.0).over(w) * (((s - 1) / (s + 1)) ** (2**k))
-                for s in spans
-                if k < ema_levels(s)
-            }
-        )
-    return rows.withColumns({f"ema_{s}": full(s, F.col(f"ema_{s}")) for s in spans})
+        return F.when(F.col("segment_row") == 0, F.col("close")).otherwise(F.col("close") * alpha)
 
-
-def ema_ratio_columns() -> dict[str, Column]:
-    return {
-        **{f"close_to_ema_{s}": log_ratio(F.col("close"), F.col(f"ema_{s}")) for s in EMA_SPANS},
-        "ema5_vs_ema20": log_ratio(F.col("ema_5"), F.col("ema_20")),
-        "ema20_vs_ema50": log_ratio(F.col("ema_20"), F.col("ema_50")),
-    }
+    reach = {s: 2 ** ema_levels(s) for s in EMA_SPANS}
+    sums = side_by_side(
+        *[running_sum(seeded(s), f"_e{s}", reach[s], w, (s - 1) / (s + 1)) for s in EMA_SPANS]
+    )
+    ratios = (
+        *[log_ratio(F.col("close"), F.col(f"ema_{s}")) for s in EMA_SPANS],
+        log_ratio(F.col("ema_5"), F.col("ema_20")),
+        log_ratio(F.col("ema_20"), F.col("ema_50")),
+    )
+    return [
+        *sums,
+        {f"ema_{s}": full(s, F.col(f"_e{s}_last_{reach[s]}")) for s in EMA_SPANS},
+        dict(zip(EMA_RATIOS, ratios)),
+    ]
 
 
-def with_rsi(rows: DataFrame, w: WindowSpec, n: int = OSCILLATOR_ROWS) -> DataFrame:
+def rsi(w: WindowSpec, n: int = OSCILLATOR_ROWS) -> Steps:
     """Simple-mean RSI; needs n price changes, so the first value is at segment row n."""
-    change = F.col("_change")
-    gain = F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))
-    loss = F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))
+    change, up, down = F.col("_change"), F.col("_up"), F.col("_down")
     frame = last_rows(w, n)
-    up, down = F.col("_up"), F.col("_down")
-    return (
-        rows.withColumn("_change", F.col("close") - F.lag("close").over(w))
-        .withColumns({"_gain": gain, "_loss": loss})
-        .withColumns(
-            {
-                "_up": full(n + 1, F.avg("_gain").over(frame)),
-                "_down": full(n + 1, F.avg("_loss").over(frame)),
-            }
-        )
-        .withColumn(
-            "rsi_14",
-            F.when(down == 0, F.when(up == 0, 50.0).otherwise(100.0)).otherwise(
-                100.0 - 100.0 / (1.0 + safe_ratio(up, down))
-            ),
-        )
-        .drop("_change", "_gain", "_loss", "_up", "_down")
-    )
+    return [
+        {"_change": F.col("close") - F.lag("close").over(w)},
+        {
+            "_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
+            "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
+        },
+        {"_up": F.avg("_gain").over(frame), "_down": F.avg("_loss").over(frame)},
+        {
+            "rsi_14": full(
+                n + 1,
+                F.when(down == 0, F.when(up == 0, 50.0).otherwise(100.0)).otherwise(
+                    100.0 - 100.0 / (1.0 + safe_ratio(up, down))
+                ),
+            )
+        },
+    ]
 
 
-def with_atr(rows: DataFrame, w: WindowSpec, n: int = OSCILLATOR_ROWS) -> DataFrame:
+def atr(w: WindowSpec, n: int = OSCILLATOR_ROWS) -> Steps:
     """Mean true range; the first bar of a segment has only its own high-low range."""
     h, lo, prev = F.col("high"), F.col("low"), F.col("_prev")
-    return (
-        rows.withColumn("_prev", F.lag("close").over(w))
-        .withColumn("_range", F.greatest(h - lo, F.abs(h - prev), F.abs(lo - prev)))
-        .withColumn("atr_14", full(n, F.avg("_range").over(last_rows(w, n))))
-        .withColumn("atr_14_normalized", safe_ratio(F.col("atr_14"), F.col("close")))
-        .drop("_prev", "_range")
-    )
+    return [
+        {"_prev": F.lag("close").over(w)},
+        {"_range": F.greatest(h - lo, F.abs(h - prev), F.abs(lo - prev))},
+        {"_atr": F.avg("_range").over(last_rows(w, n))},
+        {
+            "atr_14": full(n, F.col("_atr")),
+            "atr_14_normalized": full(n, safe_ratio(F.col("_atr"), F.col("close"))),
+        },
+    ]
+
 
+def realized_volatility(clock: Clock, wait: int = 0) -> Family:
+    """Sample deviation of one-unit returns over the clock window (t - u, t].
 
-def realized_vol_columns(w: WindowSpec, clock: Clock) -> dict[str, Column]:
-    """Sample deviation of one-unit returns over the clock window (t - u, t]."""
+    ``wait`` counts the steps after which the one-unit return column exists.
+    """
     base = clock.name("log_return", 1)
-    return {
-        clock.name("realized_vol", u): F.stddev_samp(base).over(w.rangeBetween(1 - clock.span(u), 0))
-        for u in VOLATILITY_UNITS
-    }
+
+    def steps(w: WindowSpec) -> Steps:
+        found = {
+            clock.name("realized_vol", u): F.stddev_samp(base).over(w.rangeBetween(1 - clock.span(u), 0))
+            for u in VOLATILITY_UNITS
+        }
+        return [*[{} for _ in range(wait)], found]
+
+    return steps
 
 
-def with_volume(rows: DataFrame, w: WindowSpec) -> DataFrame:
+def volumes(w: WindowSpec) -> Steps:
     volume = F.col("volume").cast("double")
-    rows = rows.withColumns(
-        {
-            **{
-                f"rolling_volume_mean_{n}": full(n, F.avg(volume).over(last_rows(w, n)))
-                for n in VOLUME_ROWS
-            },
-            **{f"_sd_{n}": full(n, F.stddev_samp(volume).over(last_rows(w, n))) for n in VOLUME_ROWS},
-        }
+    means = {n: F.col(f"_volume_last_{n}") / n for n in VOLUME_ROWS}
+    sums = side_by_side(
+        [{f"_sd_{n}": F.stddev_samp(volume).over(last_rows(w, n)) for n in VOLUME_ROWS}],
+        *[running_sum(volume, "_volume", n, w) for n in VOLUME_ROWS],
     )
-    return rows.withColumns(
+    return [
+        *sums,
         {
+            **{f"rolling_volume_mean_{n}": full(n, means[n]) for n in VOLUME_ROWS},
             **{
-                f"volume_zscore_{n}": safe_ratio(
-                    volume - F.col(f"rolling_volume_mean_{n}"), F.col(f"_sd_{n}")
-                )
+                f"volume_zscore_{n}": full(n, safe_ratio(volume - means[n], F.col(f"_sd_{n}")))
                 for n in VOLUME_ROWS
             },
-            "relative_volume_20": safe_ratio(volume, F.col("rolling_volume_mean_20")),
-        }
-    ).drop(*[f"_sd_{n}" for n in VOLUME_ROWS])
+            "relative_volume_20": full(20, safe_ratio(volume, means[20])),
+        },
+    ]
 
 
-def with_vwap(rows: DataFrame, w: WindowSpec, clock: Clock) -> DataFrame:
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    volume = F.col("volume").cast("double")
-    names = {n: clock.name("rolling_vwap", n) for n in VWAP_ROWS}
-    rows = rows.withColumn("typical_price", typical)
-    rows = rows.withColumn("_traded", F.col("typical_price") * volume)
-    rows = rows.withColumns(
-        {
-            name: full(
-                n,
-                safe_ratio(
-                    F.sum("_traded").over(last_rows(w, n)), F.sum(volume).over(last_rows(w, n))
-                ),
-            )
+def vwaps(clock: Clock) -> Family:
+    """Typical price weighted by volume over the last bars, and the close's distance from it."""
+    def steps(w: WindowSpec) -> Steps:
+        typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
+        volume = F.col("volume").cast("double")
+        names = {n: clock.name("rolling_vwap", n) for n in VWAP_ROWS}
+        sums = side_by_side(
+            [{"typical_price": typical}],
+            *[running_sum(typical * volume, "_traded", n, w) for n in VWAP_ROWS],
+            *[running_sum(volume, "_volume", n, w) for n in VWAP_ROWS],
+        )
+        prices = {
+            name: full(n, safe_ratio(F.col(f"_traded_last_{n}"), F.col(f"_volume_last_{n}")))
             for n, name in names.items()
         }
-    )
-    return rows.withColumns(
-        {
+        gaps = {
             clock.name("close_minus_vwap", n) + "_pct": safe_ratio(
                 F.col("close") - F.col(name), F.col("close")
             )
             for n, name in names.items()
         }
-    ).drop("_traded")
+        return [*sums, prices, gaps]
+
+    return steps
+
+
+def local_clock(w: WindowSpec) -> Steps:
+    return [local_clock_columns(F.col("ts"))]
+
+
+def own_families(clock: Clock) -> list[Family]:
+    """The whole own-market graph."""
+    return [
+        returns(clock), candles, trend, rsi, atr, realized_volatility(clock, wait=2), volumes,
+        vwaps(clock), local_clock,
+    ]
 
 
 def context_rows() -> int:
@@ -228,25 +314,17 @@ def context_rows() -> int:
     )
 
 
-def own_feature_step(rows: DataFrame, w: WindowSpec, clock: Clock) -> DataFrame:
-    """The whole own-market graph on one block window."""
-    rows = rows.withColumns(return_columns(w, clock, RETURN_HORIZONS))
-    rows = rows.withColumns(candle_columns())
-    rows = with_ema(rows, w).withColumns(ema_ratio_columns())
-    rows = with_rsi(rows, w)
-    rows = with_atr(rows, w).withColumns(realized_vol_columns(w, clock))
-    rows = with_volume(rows, w)
-    rows = with_vwap(rows, w, clock)
-    return rows.withColumns(local_clock_columns(F.col("ts")))
+def add_families(
+    bars: DataFrame, families: Sequence[Family], back: int, ahead: int = 0, size: int = BLOCK_ROWS
+) -> DataFrame:
+    """Families over row blocks with their context rows; ``ahead`` is for labels only."""
+    return in_blocks(bars, lambda rows, w: run_steps(rows, w, families), back, ahead, size)
 
 
 def add_exact_returns(
     bars: DataFrame, clock: Clock, horizons: Sequence[int] = RETURN_HORIZONS, size: int = BLOCK_ROWS
 ) -> DataFrame:
-    """ln(close[t] / close[t - h]) at the exact earlier clock time of the same segment."""
-    return in_blocks(
-        bars, lambda r, w: r.withColumns(return_columns(w, clock, horizons)), max(horizons), 0, size
-    )
+    return add_families(bars, [returns(clock, horizons)], max(horizons), 0, size)
 
 
 def add_candles(bars: DataFrame) -> DataFrame:
@@ -259,28 +337,23 @@ def add_clock_features(bars: DataFrame) -> DataFrame:
 
 def add_trend(bars: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     """EMAs, their log ratios and RSI."""
-    def step(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return with_rsi(with_ema(rows, w).withColumns(ema_ratio_columns()), w)
-
-    return in_blocks(bars, step, context_rows(), 0, size)
+    return add_families(bars, [trend, rsi], context_rows(), 0, size)
 
 
 def add_volatility(bars: DataFrame, clock: Clock, size: int = BLOCK_ROWS) -> DataFrame:
     """ATR and realised volatility; expects the one-unit return column."""
-    def step(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return with_atr(rows, w).withColumns(realized_vol_columns(w, clock))
-
-    return in_blocks(bars, step, max(VOLATILITY_UNITS) + 1, 0, size)
+    families = [atr, realized_volatility(clock)]
+    return add_families(bars, families, max(VOLATILITY_UNITS) + 1, 0, size)
 
 
 def add_volume(bars: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
-    return in_blocks(bars, with_volume, max(VOLUME_ROWS), 0, size)
+    return add_families(bars, [volumes], max(VOLUME_ROWS), 0, size)
 
 
 def add_vwap(bars: DataFrame, clock: Clock, size: int = BLOCK_ROWS) -> DataFrame:
-    return in_blocks(bars, lambda r, w: with_vwap(r, w, clock), max(VWAP_ROWS), 0, size)
+    return add_families(bars, [vwaps(clock)], max(VWAP_ROWS), 0, size)
 
 
 def build_own_features(bars: DataFrame, clock: Clock, size: int = BLOCK_ROWS) -> DataFrame:
     """All 35 own-market features with one exchange and one sort."""
-    return in_blocks(bars, lambda r, w: own_feature_step(r, w, clock), context_rows(), 0, size)
+    return add_families(bars, own_families(clock), context_rows(), 0, size)

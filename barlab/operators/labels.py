@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock
 from barlab.functions.numeric import log_ratio
-from barlab.operators.features import close_at, context_rows, own_feature_step
-from barlab.operators.tiles import BLOCK_ROWS, in_blocks
+from barlab.operators.features import (
+    Family,
+    Steps,
+    add_families,
+    close_at,
+    context_rows,
+    own_families,
+)
+from barlab.operators.tiles import BLOCK_ROWS
 
 LABEL_HORIZONS = (1, 5, 15)
 
@@ -23,36 +30,33 @@ def direction_name(clock: Clock) -> str:
     return clock.name("direction", 5)
 
 
-def label_columns(w: WindowSpec, clock: Clock, horizons: Sequence[int]) -> dict[str, Column]:
-    return {
-        clock.name("future_return", h): log_ratio(close_at(w, clock.span(h)), F.col("close"))
-        for h in horizons
-    }
-
-
 def direction(c: Column) -> Column:
     """UP, DOWN, or null for an unchanged or missing return."""
     return F.when(c > 0, "UP").when(c < 0, "DOWN")
 
 
-def with_labels(rows: DataFrame, w: WindowSpec, clock: Clock, horizons: Sequence[int]) -> DataFrame:
-    rows = rows.withColumns(label_columns(w, clock, horizons))
-    five = clock.name("future_return", 5)
-    return rows.withColumn(direction_name(clock), direction(F.col(five))) if 5 in horizons else rows
+def labels(clock: Clock, horizons: Sequence[int] = LABEL_HORIZONS) -> Family:
+    """Exact-clock future returns and, with the five-unit one, its direction."""
+    def steps(w: WindowSpec) -> Steps:
+        named = {h: clock.name("future_return", h) for h in horizons}
+        five = {direction_name(clock): direction(F.col(named[5]))} if 5 in named else {}
+        return [
+            {f"_next_{h}": close_at(w, clock.span(h)) for h in horizons},
+            {name: log_ratio(F.col(f"_next_{h}"), F.col("close")) for h, name in named.items()},
+            five,
+        ]
+
+    return steps
 
 
 def add_future_labels(
     bars: DataFrame, clock: Clock, horizons: Sequence[int] = LABEL_HORIZONS, size: int = BLOCK_ROWS
 ) -> DataFrame:
     """ln(close[t + h] / close[t]); the later bar must exist in the same segment."""
-    return in_blocks(
-        bars, lambda r, w: with_labels(r, w, clock, horizons), 0, max(horizons), size
-    )
+    return add_families(bars, [labels(clock, horizons)], 0, max(horizons), size)
 
 
 def build_labelled_features(bars: DataFrame, clock: Clock, size: int = BLOCK_ROWS) -> DataFrame:
     """Own features and labels together: one exchange, one sort, look-back and look-ahead rows."""
-    def step(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return with_labels(own_feature_step(rows, w, clock), w, clock, LABEL_HORIZONS)
-
-    return in_blocks(bars, step, context_rows(), max(LABEL_HORIZONS), size)
+    families = [*own_families(clock), labels(clock)]
+    return add_families(bars, families, context_rows(), max(LABEL_HORIZONS), size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock
 from barlab.operators.tiles import BLOCK_ROWS, TILE_UNITS, in_blocks, with_tile
+from barlab.session import broadcast_if_small, materialise
 
 
 def _tile_runs(bars: DataFrame, clock: Clock, tile_units: int) -> DataFrame:
@@ -33,15 +34,18 @@ def _tile_runs(bars: DataFrame, clock: Clock, tile_units: int) -> DataFrame:
 def _runs(rows: DataFrame) -> DataFrame:
     """One row per instrument run inside a tile, numbered across the whole root.
 
-    The aggregations reuse the tile partitioning; only the tile summary (one row per root and
-    tile) is ordered per root.
+    Only time and instrument are read for it, and the aggregation reuses the tile partitioning.
+    The runs are stored, because several steps below read them; only the tile summary (one row
+    per root and tile) is ordered per root.
     """
-    runs = rows.groupBy("root", "_tile", "_run").agg(
-        F.min("ts").alias("_start"),
-        F.max("ts").alias("_end"),
-        F.min("_pos").alias("_first_pos"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.first("instrument_id").alias("instrument_id"),
+    runs = materialise(
+        rows.groupBy("root", "_tile", "_run").agg(
+            F.min("ts").alias("_start"),
+            F.max("ts").alias("_end"),
+            F.min("_pos").alias("_first_pos"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.min_by("instrument_id", "_pos").alias("instrument_id"),
+        )
     )
     tiles = runs.groupBy("root", "_tile").agg(
         F.max("_run").alias("_changes"),
@@ -130,7 +134,7 @@ def add_contract_segments(
     )
     span = F.element_at("_spans", F.col("_run").cast("int") + 1)
     return (
-        rows.join(carried, ["root", "_tile"])
+        rows.join(broadcast_if_small(carried), ["root", "_tile"])
         .withColumn("_span", span)
         .select(
             *bars.columns,
