@@ -22,11 +22,10 @@ from barlab.operators import segments as seg
 IDENTITY = ("root", "ts")
 
 
-# Prices reach 1e5, so four decimals are already near the end of double precision.
+# Accumulated prices reach 1e5, so four decimals are already near the end of double precision.
 PRICE_DIGITS = {
-    c: 4
-    for c in ("ema_5", "ema_20", "ema_50", "atr_14", "typical_price", "rolling_vwap_60d", "rolling_vwap_240d")
-}
+    c: 4 for c in ("ema_5", "ema_20", "ema_50", "atr_14", "rolling_vwap_60d", "rolling_vwap_240d")
+} | {"typical_price": 8}
 
 
 def _sql_cols(names, digits=8) -> str:

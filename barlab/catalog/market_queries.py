@@ -124,7 +124,7 @@ def relative_returns(spark, sf_dir):
 )
 def experiment_sizes(spark, sf_dir):
     """Width, eligible rows and target checksum of the three experiment matrices."""
-    rows = market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET))
+    rows = materialise(market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET)))
     parts = []
     for name in ("A", "B", "C"):
         view = cross.experiment_view(rows, name, DAY, LI_ANCHORS, TARGET)
@@ -251,7 +251,7 @@ def top_null_rates(spark, sf_dir):
             "FROM (SELECT root, sum(nulls) AS s, sum(rows) AS c FROM nul GROUP BY root) JOIN el USING (root)"),
 )
 def availability(spark, sf_dir):
-    rows = market_li(spark, sf_dir)
+    rows = materialise(market_li(spark, sf_dir))
     return report(
         qual.availability(qual.null_counts(rows, _AUDITED), qual.feature_audit(rows, DAY, "future_return_5d"))
     )
@@ -456,7 +456,7 @@ _DRIFT = ["historical_median", "historical_iqr", "historical_missing_rate", "pro
     ),
 )
 def drift_profile(spark, sf_dir):
-    rows = features_li(spark, sf_dir)
+    rows = materialise(features_li(spark, sf_dir))
     cutoff = F.lit(CUTOFF.isoformat(sep=" ")).cast("timestamp_ntz").cast("timestamp")
     past = rows.where(qual.before_cutoff(DAY, TARGET, cutoff))
     recent = rows.where(qual.after_cutoff(cutoff) & qual.warmed_up(DAY))

@@ -19,6 +19,7 @@ from barlab.operators import quality as qual
 from barlab.operators import sampling as samp
 from barlab.operators import splits as spl
 from barlab.operators import stability as stab
+from barlab.session import materialise
 
 TARGET = "future_return_1d"
 LAST = "log_return_1d"
@@ -113,7 +114,7 @@ def naive_li(spark, sf_dir, *extra):
 def split_counts(spark, sf_dir):
     from barlab.catalog.bars import bars_su
 
-    bars = bars_su(spark, sf_dir)
+    bars = materialise(bars_su(spark, sf_dir))
     b = spl.boundaries_of(bars, PURGE, DAY)
     return report(
         spl.assign_split(bars, b)
@@ -138,7 +139,7 @@ def split_counts(spark, sf_dir):
 def split_integrity(spark, sf_dir):
     from barlab.catalog.bars import bars_su
 
-    bars = bars_su(spark, sf_dir)
+    bars = materialise(bars_su(spark, sf_dir))
     b = spl.boundaries_of(bars, PURGE, DAY)
     bad = spl.split_violations(spl.assign_split(bars, b), b)
     return report(
@@ -173,7 +174,7 @@ def fold_declaration(spark, sf_dir):
 )
 def fold_reconciliation(spark, sf_dir):
     """Declared evaluation counts against the rows actually loaded per fold."""
-    rows = eligible_li(spark, sf_dir, "root", "ts")
+    rows = materialise(eligible_li(spark, sf_dir, "root", "ts"))
     declared = spl.fold_declaration(rows, folds_li(), 400).where("root <> 'ALL'").select(
         "fold", "root", F.col("eligible_evaluation_rows").alias("rows")
     )
@@ -391,7 +392,7 @@ def volatility_tertiles(spark, sf_dir):
     ),
 )
 def metrics_by_regime(spark, sf_dir):
-    rows = eligible_li(spark, sf_dir, "root", "ts", TARGET, LAST, VOL)
+    rows = materialise(eligible_li(spark, sf_dir, "root", "ts", TARGET, LAST, VOL))
     labelled = prof.with_regime(rows, prof.tertiles(rows, VOL), VOL)
     scored = met.naive_predictions(labelled, LAST)
     return report(met.regression_metrics(scored, ["model", "regime"], TARGET, "prediction"))
@@ -587,7 +588,7 @@ def model_comparison(spark, sf_dir):
     ),
 )
 def regime_stability(spark, sf_dir):
-    rows = eligible_li(spark, sf_dir, "root", "ts", TARGET, LAST, VOL)
+    rows = materialise(eligible_li(spark, sf_dir, "root", "ts", TARGET, LAST, VOL))
     labelled = prof.with_regime(rows, prof.tertiles(rows, VOL), VOL)
     scored = spl.with_evaluation_folds(met.naive_predictions(labelled, LAST), folds_li())
     table = met.regression_metrics(scored, ["fold", "model", "regime"], TARGET, "prediction")

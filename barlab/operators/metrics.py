@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock, floor_div, micros
 from barlab.functions.numeric import finite, finite_or_null, safe_ratio
-from barlab.operators.ranks import add_average_rank, add_stable_position, equal_bucket, quantiles
+from barlab.operators.ranks import add_average_ranks, add_stable_position, equal_bucket, quantiles
 from barlab.operators.tiles import TILE_UNITS
 from barlab.session import materialise
 
@@ -75,8 +75,7 @@ def regression_metrics(
     pairs = finite_pairs(df, actual, predicted).select(*keys, actual, predicted)
     if not spearman:
         return pairs.groupBy(*keys).agg(*moment_columns(actual, predicted))
-    ranked = add_average_rank(materialise(pairs), keys, actual, "_rank_a")
-    ranked = add_average_rank(ranked, keys, predicted, "_rank_p")
+    ranked = add_average_ranks(materialise(pairs), keys, {actual: "_rank_a", predicted: "_rank_p"})
     return ranked.groupBy(*keys).agg(
         *moment_columns(actual, predicted),
         correlation("_rank_a", "_rank_p").alias("spearman"),
@@ -122,8 +121,9 @@ def prediction_deciles(
     """Rows, mean prediction, mean and exact median outcome of each prediction decile."""
     keys = list(keys)
     pairs = finite_pairs(df, actual, predicted).select(*keys, *tie_order, actual, predicted)
-    rows = with_decile(
-        materialise(pairs), keys, predicted, clock, tie_order, tile_units=tile_units
+    rows = materialise(
+        with_decile(materialise(pairs), keys, predicted, clock, tie_order, tile_units=tile_units)
+        .select(*keys, "decile", actual, predicted)
     )
     means = rows.groupBy(*keys, "decile").agg(
         F.count(F.lit(1)).alias("observations"),

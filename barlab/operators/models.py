@@ -55,8 +55,9 @@ class Preprocessor:
 
 def training_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact interpolated median of the finite training values of each feature."""
+    stored = materialise(train.select(*features))
     return quantiles(
-        long_features(train, features), ["feature"], "value", linear={"median": 0.5}
+        long_features(stored, features), ["feature"], "value", linear={"median": 0.5}
     ).select("feature", "median")
 
 
@@ -77,10 +78,10 @@ def fit_preprocessor(
     if roots is None:
         roots = [r["root"] for r in train.select("root").distinct().orderBy("root").collect()]
     bare = Preprocessor(features, medians, {}, {}, tuple(roots))
-    stats = train.agg(
+    stats = train.select(*[bare.imputed(f).alias(f) for f in features]).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(bare.imputed(f)).alias(f"m_{f}") for f in features],
-        *[F.stddev_pop(bare.imputed(f)).alias(f"s_{f}") for f in features],
+        *[F.avg(f).alias(f"m_{f}") for f in features],
+        *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
     ).first()
     if not stats["n"]:
         raise ValueError("no training rows")
@@ -227,11 +228,14 @@ def fit_trees(
 
 
 def root_pipeline(numeric: Sequence[str]) -> Pipeline:
-    """Root indexing, one-hot coding and assembly as pyspark.ml stages (unknown root: all zero)."""
+    """Root indexing, one-hot coding and assembly as pyspark.ml stages.
+
+    Unknown roots get the last index, which one-hot coding drops, so they are all zero.
+    """
     return Pipeline(
         stages=[
             StringIndexer(inputCol="root", outputCol="_root", handleInvalid="keep"),
-            OneHotEncoder(inputCol="_root", outputCol="_hot", dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCol="_root", outputCol="_hot", dropLast=True),
             VectorAssembler(inputCols=[*numeric, "_hot"], outputCol="features"),
         ]
     )

@@ -26,9 +26,12 @@ def long_features(df: DataFrame, features: Sequence[str], keys: Sequence[str] =
 def distribution_profile(
     df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows, finite rows, missing rate, exact quartiles and spread of each feature."""
+    """Rows, finite rows, missing rate, exact quartiles and spread of each feature.
+
+    The wide columns are stored once; the long form exists only inside each aggregation.
+    """
     by = [*keys, "feature"]
-    values = materialise(long_features(df, features, keys))
+    values = long_features(materialise(df.select(*keys, *features)), features, keys)
     counts = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("observations"),
         F.count_if(finite(F.col("value"))).alias("finite_observations"),
@@ -63,9 +66,8 @@ def drift_profile(history: DataFrame, recent: DataFrame, keys: Sequence[str] = (
 
 def tertiles(df: DataFrame, column: str, keys: Sequence[str] = ("root",)) -> DataFrame:
     """Nearest-rank 1/3 and 2/3 points of the finite values of each key."""
-    return quantiles(df, keys, column, nearest={"low_max": 1 / 3, "medium_max": 2 / 3}).drop(
-        "finite_rows"
-    )
+    points = {"low_max": 1 / 3, "medium_max": 2 / 3}
+    return quantiles(materialise(df.select(*keys, column)), keys, column, nearest=points).drop("finite_rows")
 
 
 def regime(value: Column, low_max: Column, medium_max: Column) -> Column:
@@ -93,8 +95,8 @@ def sampled_ranges(
     df: DataFrame, features: Sequence[str], step: int, clock: Clock, tile_units: int = TILE_UNITS
 ) -> DataFrame:
     """Minimum, 1 %, median, 99 % and maximum of each feature over every ``step``-th row per root."""
-    sample = every_nth(df, step, clock, tile_units=tile_units)
-    values = materialise(long_features(sample, features))
+    sample = every_nth(df.select("root", "ts", *features), step, clock, tile_units=tile_units)
+    values = long_features(materialise(sample.select(*features)), features)
     rank = {"minimum": F.lit(0).cast("bigint"), "maximum": (F.col("group_rows") - 1).cast("bigint")}
     ends = order_statistics(values, ["feature"], "value", rank)
     inner = quantiles(
@@ -104,7 +106,7 @@ def sampled_ranges(
 
 
 def linear_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float]:
-    """A few interpolated quantiles of one column, as driver numbers."""
+    """A few interpolated quantiles of one column, as driver numbers (pass stored rows)."""
     names = {f"q{i}": q for i, q in enumerate(at)}
     row = quantiles(df.select(F.lit(0).alias("_all"), column), ["_all"], column, linear=names).first()
     if row is None:

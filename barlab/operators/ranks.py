@@ -10,12 +10,13 @@ offsets whatever the quality of the split points.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.numeric import finite
-from barlab.session import BROADCAST_ROWS, broadcast_if_small, materialise
+from barlab.session import BROADCAST_ROWS, broadcast_if_small
 
 MAX_SPLITS = 4_096
 MIN_SPLITS = 64
@@ -27,11 +28,14 @@ def split_count(df: DataFrame) -> int:
     return 1 << (max(MIN_SPLITS, min(MAX_SPLITS, wanted)).bit_length() - 1)
 
 
-def split_points(df: DataFrame, keys: Sequence[str], value: str, splits: int) -> DataFrame:
-    """One sorted array of distinct split points per group."""
+def split_points(df: DataFrame, keys: Sequence[str], values: Sequence[str], splits: int) -> DataFrame:
+    """One sorted array of distinct split points per group and value column, in one pass."""
     at = [i / (splits + 1) for i in range(1, splits + 1)]
     return df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, at, 4 * splits)).alias("_points")
+        *[
+            F.array_distinct(F.percentile_approx(v, at, 4 * splits)).alias(f"_points_{i}")
+            for i, v in enumerate(values)
+        ]
     )
 
 
@@ -46,20 +50,35 @@ def bucket_of(value: Column, points: Column, splits: int) -> Column:
     return 2 * below + F.when(F.get(points, below) == value, 1).otherwise(0)
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], value: str, splits: int | None = None) -> DataFrame:
-    """Add ``_bucket``; rows with a missing or non-finite value are dropped."""
+def bucketed(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], splits: int | None = None
+) -> DataFrame:
+    """Add ``_bucket_0``, ``_bucket_1``... for the value columns.
+
+    Rows on which any of them is missing or non-finite are dropped.
+    """
     splits = splits or split_count(df)
-    present = df.where(finite(F.col(value)))
+    present = df
+    for value in values:
+        present = present.where(finite(F.col(value)))
     points = broadcast_if_small(
-        split_points(present, keys, value, splits), max(1, BROADCAST_ROWS // splits)
+        split_points(present, keys, values, splits), max(1, BROADCAST_ROWS // splits)
     )
-    return (
-        present.join(points, list(keys))
-        .withColumn("_bucket", bucket_of(F.col(value), F.col("_points"), splits))
-        .drop("_points")
+    return present.join(points, list(keys)).select(
+        *df.columns,
+        *[
+            bucket_of(F.col(v), F.col(f"_points_{i}"), splits).alias(f"_bucket_{i}")
+            for i, v in enumerate(values)
+        ],
     )
 
 
+def one_bucket(
+    df: DataFrame, keys: Sequence[str], value: str, splits: int | None = None
+) -> DataFrame:
+    return bucketed(df, keys, [value], splits).withColumnRenamed("_bucket_0", "_bucket")
+
+
 def is_point() -> Column:
     return F.col("_bucket") % 2 == 1
 
@@ -85,28 +104,45 @@ def bucket_offsets(rows: DataFrame, keys: Sequence[str], *extra: str) -> DataFra
     )
 
 
-def add_average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, splits: int | None = None
+def add_average_ranks(
+    df: DataFrame, keys: Sequence[str], ranks: dict[str, str], splits: int | None = None
 ) -> DataFrame:
-    """Average rank (1-based, ties share their mean rank) of ``value`` inside the keys.
+    """Average ranks (1-based, ties share their mean rank) inside the keys.
 
-    Rows of a point bucket read their rank off the bucket counts and are never shuffled; only
-    the short open buckets are sorted. ``df`` is read several times: pass stored rows.
+    ``ranks`` maps value columns to rank columns; rows with a non-finite value are dropped. Rows
+    of a point bucket read their rank off the bucket counts and are never shuffled; only the
+    short open buckets are sorted. ``df`` is read several times: pass stored rows.
     """
-    rows = bucketed(df, keys, value, splits)
-    offsets = broadcast_if_small(bucket_offsets(rows, keys).drop("group_rows"))
-    placed = rows.join(offsets, [*keys, "_bucket"])
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    same = Window.partitionBy(*keys, "_bucket", value)
-    repeated = placed.where(is_point()).withColumn("_local", (F.col("_n") + 1) / 2)
-    spread = placed.where(~is_point()).withColumn(
-        "_local", F.rank().over(within) + (F.count(F.lit(1)).over(same) - 1) / 2
-    )
-    return (
-        repeated.unionByName(spread)
-        .withColumn(name, (F.col("_before") + F.col("_local")).cast("double"))
-        .select(*df.columns, name)
-    )
+    keys, values = list(keys), list(ranks)
+    rows = bucketed(df, keys, values, splits)
+    parts = [
+        bucket_offsets(rows.withColumnRenamed(f"_bucket_{i}", "_bucket"), keys)
+        .drop("group_rows")
+        .withColumn("_which", F.lit(i))
+        for i in range(len(values))
+    ]
+    offsets = broadcast_if_small(reduce(DataFrame.unionByName, parts))
+    for i, (value, name) in enumerate(ranks.items()):
+        here = offsets.where(F.col("_which") == i).drop("_which")
+        placed = rows.withColumnRenamed(f"_bucket_{i}", "_bucket").join(here, [*keys, "_bucket"])
+        within = Window.partitionBy(*keys, "_bucket").orderBy(value)
+        same = Window.partitionBy(*keys, "_bucket", value)
+        repeated = placed.where(is_point()).withColumn("_local", (F.col("_n") + 1) / 2)
+        spread = placed.where(~is_point()).withColumn(
+            "_local", F.rank().over(within) + (F.count(F.lit(1)).over(same) - 1) / 2
+        )
+        rows = (
+            repeated.unionByName(spread)
+            .withColumn(name, (F.col("_before") + F.col("_local")).cast("double"))
+            .drop("_bucket", "_n", "_before", "_local")
+        )
+    return rows.select(*df.columns, *ranks.values())
+
+
+def add_average_rank(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, splits: int | None = None
+) -> DataFrame:
+    return add_average_ranks(df, keys, {value: name}, splits)
 
 
 def add_stable_position(
@@ -124,7 +160,7 @@ def add_stable_position(
     ``tie_tile`` must be non-decreasing in the tie order; it cuts the rows of a repeated value
     into pieces, so that not even one constant prediction gathers in one task.
     """
-    rows = bucketed(df, keys, value, splits).withColumn(
+    rows = one_bucket(df, keys, value, splits).withColumn(
         "_piece", F.when(is_point(), tie_tile).otherwise(F.lit(None))
     )
     offsets = broadcast_if_small(
@@ -168,11 +204,11 @@ def order_statistics(
     """The values at given 0-based ranks of each group: one row per group, one column per rank.
 
     ``ranks`` maps a column name to a bigint expression over ``group_rows``. Only the buckets
-    that hold a wanted rank are sorted. The narrow (keys, value) rows are stored once, because
-    split points, bucket counts and the final pick each read them.
+    that hold a wanted rank are sorted. ``df`` is read three times (split points, bucket counts,
+    final pick): pass stored rows.
     """
     keys = list(keys)
-    rows = bucketed(materialise(df.select(*keys, value)), keys, value, splits)
+    rows = one_bucket(df.select(*keys, value), keys, value, splits)
     offsets = bucket_offsets(rows, keys)
     wanted = offsets.select(
         "*",
@@ -224,7 +260,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group: nearest-rank and linearly interpolated ones.
 
-    Output: keys, ``finite_rows`` and one column per requested quantile.
+    Output: keys, ``finite_rows`` and one column per requested quantile. Pass stored rows.
     """
     nearest, linear = nearest or {}, linear or {}
     last = F.col("group_rows") - 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock
 from barlab.operators.tiles import BLOCK_ROWS, TILE_UNITS, in_blocks, with_tile
-from barlab.session import broadcast_if_small, materialise
+from barlab.session import BROADCAST_ROWS, materialise
 
 
 def _tile_runs(bars: DataFrame, clock: Clock, tile_units: int) -> DataFrame:
@@ -133,8 +133,10 @@ def add_contract_segments(
         )
     )
     span = F.element_at("_spans", F.col("_run").cast("int") + 1)
+    if runs.count() <= BROADCAST_ROWS:
+        carried = F.broadcast(carried)
     return (
-        rows.join(broadcast_if_small(carried), ["root", "_tile"])
+        rows.join(carried, ["root", "_tile"])
         .withColumn("_span", span)
         .select(
             *bars.columns,

@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_dataset(df: DataFrame, path: str, files_per_partition: int = 1) -> None:
+def write_dataset(df: DataFrame, path: str) -> None:
     """zstd Parquet under root=/year=; replaces only the partitions that ``df`` holds.
 
-    Rows are hashed on (root, year, slice) first, so a partition is written by a bounded number
-    of tasks; raise ``files_per_partition`` for heavy roots.
+    REBALANCE groups rows by partition and lets the adaptive planner split a heavy root or year
+    over several tasks and files, and join small ones.
     """
-    out = df.withColumn("year", F.year("ts"))
-    slot = F.pmod(F.xxhash64("ts"), F.lit(files_per_partition))
     (
-        out.repartition("root", "year", slot)
+        df.withColumn("year", F.year("ts"))
+        .hint("rebalance", F.col("root"), F.col("year"))
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")

@@ -32,12 +32,17 @@ def append_unique_events(events: DataFrame, path: str) -> int:
     """Append the events whose key is not logged yet; existing parts are never touched.
 
     A batch that repeats a key is refused. The new events are materialised before the write, so
-    what is counted is what is written, and running the same batch again appends nothing.
+    what is counted is what is written, and running the same batch again appends nothing. Only
+    the log's key columns within the batch's time range are read.
     """
-    require_empty(duplicate_keys(events, LOG_KEY), "event batch repeats a key")
+    batch = materialise(events)
+    require_empty(duplicate_keys(batch, LOG_KEY), "event batch repeats a key")
+    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return 0
     spark = events.sparkSession
-    logged = read_event_log(spark, path, events.schema).select(*LOG_KEY)
-    fresh = materialise(events.join(logged, list(LOG_KEY), "left_anti"))
+    logged = read_event_log(spark, path, events.schema).where(F.col("ts").between(first, last))
+    fresh = materialise(batch.join(logged.select(*LOG_KEY), list(LOG_KEY), "left_anti"))
     rows = fresh.count()
     if rows:
         fresh.write.mode("append").option("compression", "zstd").parquet(path)
