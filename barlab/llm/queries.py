@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import quality_rules
+from barlab.llm import packing, quality_rules, token_files
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_files": op5_token_files,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
