@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import packing, quality_rules, token_files
+from barlab.llm import dart_minhash, disclosure, packing, quality_rules, token_files
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.span_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -20,13 +24,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_disclosure": op3_disclosure,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
+    "op7_dart_minhash": op7_dart_minhash,
     "op9_packing": op9_packing,
 }
 
