@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import dart_minhash, disclosure, packing, quality_rules, token_files
+from barlab.llm import dart_minhash, disclosure, packing, quality_rules, secrets, token_files
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.span_digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op3_disclosure": op3_disclosure,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
