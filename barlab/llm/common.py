@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import importlib.util
 import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barlab.session import scratch_path
 
@@ -53,15 +53,25 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(os.path.dirname(package.origin), name)
 
 
-def each_batch(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most `rows` rows, so that long texts don't pile up."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+BATCH_BYTES = 16 << 20
 
 
-def unique_name(stem: str) -> str:
-    return f"{stem}-{uuid.uuid4().hex}"
+def each_batch(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most `rows` rows and, beyond one row, about BATCH_BYTES, as texts may be long."""
+    for batch in batches:
+        step = max(1, min(rows, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """mapInArrow whose workers find this package where the driver has it (clusters: also pass it by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = df.sparkSession.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

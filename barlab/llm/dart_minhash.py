@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import each_batch, free_name, stored, text_column
+from barlab.llm.common import each_batch, free_name, map_batches, stored, text_column
 from barlab.llm.components import components
 from barlab.llm.token_files import mix
 
@@ -170,7 +170,7 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, size:
     rows_in = docs.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), text_column(text).alias("text")
     )
-    return rows_in.mapInArrow(run, "id long, h1 long, h2 long, keys array<long>")
+    return map_batches(rows_in, run, "id long, h1 long, h2 long, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return map_batches(joined, run, "a long, b long")
 
 
 def near_duplicates(

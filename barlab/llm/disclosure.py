@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-from barlab.llm.common import each_batch, free_name, stored, text_column
+from barlab.llm.common import each_batch, free_name, map_batches, stored, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 10
@@ -181,7 +181,7 @@ def revealing_terms(
                 names=["entity", "term", "n"],
             )
 
-    counted = texts.mapInArrow(mentions, "entity string, term string, n long")
+    counted = map_batches(texts, mentions, "entity string, term string, n long")
     counted = stored(counted.groupBy("entity", "term").agg(F.sum("n").alias("n")), "disclosure-pairs")
     total = counted.filter("entity is null").agg(F.sum("n")).first()[0] or 0
     entity = counted.filter("entity is not null and term is null").select("entity", F.col("n").alias("n_e"))
@@ -222,7 +222,7 @@ def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
             )
 
-    counted = texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counted = map_batches(texts, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return counted if few else counted.join(wanted, "term", "left_semi")
 
 
@@ -259,7 +259,7 @@ def with_spans(docs: DataFrame, text: str = "text", **limits: float) -> tuple[Da
             StructField(clean_name, StringType()),
         ]
     )
-    return source.mapInArrow(run, schema), spans_name, clean_name
+    return map_batches(source, run, schema), spans_name, clean_name
 
 
 def _join_terms(docs: DataFrame, terms: DataFrame, text: str, name: str) -> DataFrame:
@@ -274,7 +274,7 @@ def _join_terms(docs: DataFrame, terms: DataFrame, text: str, name: str) -> Data
                 [pa.array(hashes, pa.int64()), pa.array(words, pa.string())], names=["h", "term"]
             )
 
-    words = docs.select(h.alias("h"), text_column(text).alias("text")).mapInArrow(split, "h long, term string")
+    words = map_batches(docs.select(h.alias("h"), text_column(text).alias("text")), split, "h long, term string")
     tie = free_name(docs, "hash")
     own = words.join(terms, "term").distinct().groupBy(F.col("h").alias(tie)).agg(
         F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias(name)
