@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import dart_minhash, disclosure, packing, quality_rules, secrets, token_files
+from barlab.llm import (
+    dart_minhash,
+    disclosure,
+    merge_queue,
+    packing,
+    piece_counts,
+    quality_rules,
+    secrets,
+    token_files,
+    vector_forest,
+)
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,21 +38,36 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_queue.round_trip_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op3_disclosure": op3_disclosure,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
+    "op6_merge_queue": op6_merge_queue,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_piece_counts": op8_piece_counts,
     "op9_packing": op9_packing,
+    "op10_vector_forest": op10_vector_forest,
 }
 
 ORACLES: dict[str, str] = {}
