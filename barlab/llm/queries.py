@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barlab.llm import (
+    chat_windows,
     dart_minhash,
     disclosure,
     merge_queue,
@@ -26,6 +27,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_windows.format_digest(table(spark, sf_dir, "conversations"))
+
+
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.span_digest(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
+    "op2_chat_windows": op2_chat_windows,
     "op3_disclosure": op3_disclosure,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
