@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.chunks import SpacedEncoder, id_type, library_encoder, load_tokenizer, special_strings
-from barlab.llm.common import each_batch, stored, text_column, tokenizer_path
+from barlab.llm.chunks import ByteEncoder, per_worker
+from barlab.llm.common import each_batch, map_batches, stored, text_column, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
@@ -39,16 +39,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: s
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = load_tokenizer(path)
-        dtype = id_type(library)
-        encoder = SpacedEncoder(library_encoder(library, dtype), special_strings(library))
-        end = np.array([end_id], dtype).tobytes()
+        encoder = per_worker(ByteEncoder, path)
+        end = np.array([end_id], encoder.dtype).tobytes()
+        width = encoder.dtype.itemsize
         part = TaskContext.get().partitionId()
         seen = np.zeros(window, np.int64)
         full = 0
         for batch in each_batch(batches):
-            ids = [x + end for x in encoder.encode_all(batch.column(1).to_pylist())]
-            n = np.array([len(x) // dtype.itemsize for x in ids], np.int64)
+            ids = [x.tobytes() + end for x in encoder.ids(batch.column(1)).slices()]
+            n = np.array([len(x) // width for x in ids], np.int64)
             tail, nth, before = n % window, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             for i, t in enumerate(tail.tolist()):
                 nth[i], before[i] = seen[t], full
@@ -58,7 +57,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: s
                 [
                     batch.column(0),
                     pa.array(ids, pa.binary()),
-                    pa.array(np.full(len(n), dtype.itemsize, np.int32)),
+                    pa.array(np.full(len(n), width, np.int32)),
                     pa.array(n),
                     pa.array(tail),
                     pa.array(np.full(len(n), part, np.int64)),
@@ -69,7 +68,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: s
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_column(text).alias("text")).mapInArrow(
+    return map_batches(
+        docs.select("doc_id", text_column(text).alias("text")),
         run,
         f"doc_id {kind}, ids binary, width int, n long, tail long, part long, nth long, before long",
     )
@@ -286,7 +286,7 @@ def pack(
                 names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    return placed.mapInArrow(run, schema)
+    return map_batches(placed, run, schema)
 
 
 def pieces_digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
