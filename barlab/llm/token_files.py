@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.chunks import BareEncoder, id_type, library_encoder, load_tokenizer
-from barlab.llm.common import each_batch, free_name, text_column, tokenizer_path
+from barlab.llm.chunks import BareEncoder, per_worker
+from barlab.llm.common import each_batch, free_name, map_batches, text_column, tokenizer_path
 from barlab.session import scratch_path
 
 END_ID = 2
@@ -190,20 +190,19 @@ def write_shards(
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = load_tokenizer(path)
-        dtype = id_type(library)
-        encoder = BareEncoder(library_encoder(library, dtype))
-        end = np.array([end_id], dtype).tobytes()
+        encoder = per_worker(BareEncoder, path)
+        width = encoder.dtype.itemsize
+        end = np.array([end_id], encoder.dtype)
         shard = TaskContext.get().partitionId()
         keys, counts = [], []
         out = None
-        for batch in each_batch(batches):
+        for batch in each_batch(batches, 2048):
             if out is None:
                 out = ShardFile(folder, f"shard-{shard}.ids")
-            ids = [x + end for x in encoder.encode_all(batch.column(1).to_pylist())]
+            ids = encoder.ids(batch.column(1))
             keys.append(batch.column(0).fill_null(NULL_KEY).to_numpy())
-            counts.append(np.array([len(x) // dtype.itemsize for x in ids], np.int64))
-            out.write(b"".join(ids))
+            counts.append(np.diff(ids.ends, prepend=0) + 1)
+            out.write(np.insert(ids.flat, ids.ends, end).tobytes())
         if out is None:
             return
         out.close()
@@ -211,7 +210,7 @@ def write_shards(
         index = ShardFile(folder, f"shard-{shard}.index")
         index.write(index_bytes(all_keys, all_counts))
         index.close()
-        row = [shard, dtype.itemsize, all_keys[0], all_keys[-1], len(all_keys), all_counts.sum()]
+        row = [shard, width, all_keys[0], all_keys[-1], len(all_keys), all_counts.sum()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(x)], pa.int64()) for x in row],
             names=["shard", "width", "first_key", "last_key", "n_docs", "n_tokens"],
@@ -225,8 +224,8 @@ def write_shards(
         .sortWithinPartitions("key", tie)
         .drop(tie)
     )
-    made = ordered.mapInArrow(
-        run, "shard long, width long, first_key long, last_key long, n_docs long, n_tokens long"
+    made = map_batches(
+        ordered, run, "shard long, width long, first_key long, last_key long, n_docs long, n_tokens long"
     )
     spark = docs.sparkSession
     made.write.parquet(f"{folder}/shards")
@@ -307,7 +306,7 @@ def read_all(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
 
     # one shard per task
     spread = manifest.repartitionByRange(max(1, manifest.count()), "shard")
-    return spread.mapInArrow(run, schema)
+    return map_batches(spread, run, schema)
 
 
 def shard_digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
