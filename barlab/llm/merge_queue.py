@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barlab.llm.chunks import BYTE_PATTERN, Ids, SpacedEncoder, per_worker, token_bytes
 from barlab.llm.common import each_batch, map_batches, text_column, tokenizer_path
@@ -162,8 +163,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: st
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name]
             )
 
-    schema = encoded.schema.add(name, "string") if name not in encoded.columns else encoded.schema
-    return map_batches(encoded, run, schema)
+    return map_batches(encoded, run, StructType([*encoded.schema.fields, StructField(name, StringType())]))
 
 
 def round_trip_digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

@@ -111,6 +111,8 @@ def labelled_samples(docs: DataFrame, text: str = "text", sample_docs: int = SAM
         F.pmod("h", F.lit(share)) == 0
     )
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), ACCESS, " "), HEX, " ")
+    # runs long enough to be judged later carry no label
+    plain = F.regexp_replace(plain, RUN, " ")
     words = F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))
 
     def joined(w: Column) -> Column:

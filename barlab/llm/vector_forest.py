@@ -6,7 +6,7 @@
    on the line between two random points. Vectors get one more component, sqrt(max norm^2 - norm^2), and queries a
    zero there, so that a larger inner product means a nearer point.
 3. Every point is put into its leaf of every tree. A query goes through all trees by one priority queue, nearest
-   margin first, until leaves with `share` of all points are visited.
+   margin first, until leaves with `share` of all points (and several times k per tree) are visited.
 4. Leaves and queries meet in blocks of bounded size, and each block gives each query its `k + 1` best points; the
    best of all blocks are expanded to ids again.
 
@@ -245,6 +245,7 @@ def nearest(
     forest = Forest([grow(sampled, leaves, seed + i) for i in range(trees)], top, n / max(1, len(fit)))
     held = spark.sparkContext.broadcast(forest)
     salt = max(1, -(-n // (leaves * 65_536)))
+    wanted = max(share * n, float(4 * trees * (k + 1)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = held.value
@@ -270,7 +271,7 @@ def nearest(
                 some = batch.slice(start, 256)
                 own = _matrix(some.column(1), width)
                 own = np.concatenate([own, np.zeros((len(own), 1))], axis=1)
-                found = np.array(list(probes(forest, own, share * n)), np.int64).reshape(-1, 3)
+                found = np.array(list(probes(forest, own, wanted)), np.int64).reshape(-1, 3)
                 q = pa.array(found[:, 0])
                 yield pa.RecordBatch.from_arrays(
                     [
