@@ -228,10 +228,12 @@ def incremental_log(spark, sf_dir):
     features.repartition(4, "root", "ts").write.parquet(source)
     cutoff = moment(CUTOFF)
 
-    def to_events(batch):
-        predicted = frozen_predictions(pro.prospective_inputs(batch, DAY, cutoff, [LAST, VOL]))
-        outcomes = pro.prospective_outcomes(batch, DAY, cutoff, TARGET)
-        return [predicted, pro.attach_outcomes(predicted, outcomes, TARGET, moment(NOW))]
+    fields = log_schema(spark)
+
+    def to_events(batch, logged):
+        yield frozen_predictions(pro.prospective_inputs(batch, DAY, cutoff, [LAST, VOL]))
+        outcomes = materialise(pro.prospective_outcomes(batch, DAY, cutoff, TARGET))
+        yield pro.attach_outcomes(logged(outcomes, fields), outcomes, TARGET, moment(NOW))
 
     follow_features(
         spark, source, features.schema, path, scratch_path(spark, "progress"), to_events, max_files=2
@@ -341,6 +343,6 @@ def duplicate_keys(spark, sf_dir):
 def supplier_dataset_counts(spark, sf_dir):
     """Stored rows per root and year, counted from the segmented bars written by year."""
     path = scratch_path(spark, "by-year")
-    (seg_su(spark, sf_dir).withColumn("year", F.year("ts")).repartition("year")
+    (seg_su(spark, sf_dir).withColumn("year", F.year("ts")).hint("rebalance", "year")
      .write.option("compression", "zstd").partitionBy("year").parquet(path))
     return report(spark.read.parquet(path).groupBy("root", "year").agg(F.count(F.lit(1)).alias("rows")))

@@ -412,8 +412,8 @@ def roll_reconciliation(spark, sf_dir):
 
 # --- profiles ------------------------------------------------------------------------------------
 
-_PROFILED = ["log_return_1d", "log_return_5d", "range_pct", "rsi_14", "atr_14_normalized", "realized_vol_15d",
-             "volume", "volume_zscore_20", "relative_volume_20", "close_minus_vwap_60d_pct"]
+_PROFILED = feat.own_feature_names(DAY)
+FEAT_ALL = (q.BARS_LI, q.SEGMENTS, q.feature_ctes(q.DAYS))
 
 
 def profile_sql(source: str, name: str) -> str:
@@ -430,7 +430,7 @@ def profile_sql(source: str, name: str) -> str:
 
 @register(
     "distribution_profile",
-    q.query(*FEAT_LI, profile_sql("feat", "pf"),
+    q.query(*FEAT_ALL, profile_sql("feat", "pf"),
             select=f"SELECT feature, observations, finite_observations, {cols(['missing_rate', 'q1', 'median', 'q3', 'iqr'])} FROM pf"),
 )
 def distribution_profile(spark, sf_dir):
@@ -444,7 +444,7 @@ _DRIFT = ["historical_median", "historical_iqr", "historical_missing_rate", "pro
 @register(
     "drift_profile",
     q.query(
-        *FEAT_LI,
+        *FEAT_ALL,
         f"past AS (SELECT * FROM feat WHERE ts < TIMESTAMP '{CUTOFF}' AND {TARGET} IS NOT NULL AND rolling_vwap_240d IS NOT NULL)",
         f"recent AS (SELECT * FROM feat WHERE ts > TIMESTAMP '{CUTOFF}' AND rolling_vwap_240d IS NOT NULL)",
         profile_sql("past", "ph"), profile_sql("recent", "pr"),
@@ -469,7 +469,7 @@ def drift_profile(spark, sf_dir):
 @register(
     "sampled_ranges",
     q.query(
-        *FEAT_LI,
+        *FEAT_ALL,
         "smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts) - 1 AS rn0 FROM feat) WHERE rn0 % 200 = 0)",
         "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM smp" for c in _PROFILED) + ")",
         """r AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS rn,

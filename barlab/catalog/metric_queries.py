@@ -60,12 +60,12 @@ FOLDS_SQL = fold_values("fold")
 def naive_sql(source: str, keys: str = "root, ts", name: str = "pred") -> str:
     return f"""{name} AS (
   SELECT {keys}, {TARGET} AS a, 'zero' AS model, 0.0 AS p FROM {source} UNION ALL
-  SELECT {keys}, {TARGET}, 'persistence', {LAST} FROM {source} WHERE {LAST} IS NOT NULL UNION ALL
-  SELECT {keys}, {TARGET}, 'reversal', -{LAST} FROM {source} WHERE {LAST} IS NOT NULL)"""
+  SELECT {keys}, {TARGET}, 'persistence', {LAST} FROM {source} UNION ALL
+  SELECT {keys}, {TARGET}, 'reversal', -{LAST} FROM {source})"""
 
 
 def metrics_sql(source: str, keys: str, name: str = "m") -> str:
-    """Rank columns and the metric row per key."""
+    """Rank columns over full pairs and the metric row of every key, also of those without a pair."""
     def avg_rank(c: str) -> str:
         return (
             f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + "
@@ -76,13 +76,15 @@ def metrics_sql(source: str, keys: str, name: str = "m") -> str:
         s = f"(stddev_pop({x}) * stddev_pop({y}))"
         return f"CASE WHEN count(*) > 1 AND {s} > 0 THEN covar_pop({x}, {y}) / {s} END"
 
-    return f"""{name}_rk AS (SELECT *, {avg_rank('a')} AS ra, {avg_rank('p')} AS rp FROM {source}),
-{name} AS (SELECT {keys}, count(*) AS observations, avg(abs(a - p)) AS mae, sqrt(avg((a - p) * (a - p))) AS rmse,
+    return f"""{name}_rk AS (SELECT *, {avg_rank('a')} AS ra, {avg_rank('p')} AS rp FROM {source} WHERE a IS NOT NULL AND p IS NOT NULL),
+{name}_g AS (SELECT DISTINCT {keys} FROM {source}),
+{name}_f AS (SELECT {keys}, count(*) AS n_pairs, avg(abs(a - p)) AS mae, sqrt(avg((a - p) * (a - p))) AS rmse,
   CASE WHEN count(*) > 1 THEN CASE WHEN var_pop(a) > 0 THEN 1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*))
     WHEN sum((a - p) * (a - p)) = 0 THEN 1.0 ELSE 0.0 END END AS r2,
   {corr('a', 'p')} AS pearson, {corr('ra', 'rp')} AS spearman,
   avg(CASE WHEN sign(a) = sign(p) THEN 1.0 ELSE 0.0 END) AS direction_accuracy
-  FROM {name}_rk GROUP BY {keys})"""
+  FROM {name}_rk GROUP BY {keys}),
+{name} AS (SELECT *, coalesce(n_pairs, 0) AS observations FROM {name}_g LEFT JOIN {name}_f USING ({keys}))"""
 
 
 def metric_columns(prefix: str = "") -> str:
@@ -266,11 +268,10 @@ def sample_fingerprint(spark, sf_dir):
     q.query(
         q.BARS_SU, q.SEGMENTS,
         """pos AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts) AS rn FROM seg),
-rolls AS (SELECT root, contract_segment_id AS roll_segment, rn AS roll_rn FROM pos WHERE roll_event)""",
-        select="""SELECT p.root, p.ts, roll_segment, CAST(rn - roll_rn AS BIGINT) AS offset_rows
-FROM pos p JOIN rolls r ON p.root = r.root AND
- ((p.contract_segment_id = roll_segment AND rn - roll_rn <= 5) OR
-  (p.contract_segment_id = roll_segment - 1 AND rn - roll_rn >= -5))""",
+near AS (SELECT root, contract_segment_id AS roll_segment, rn AS roll_rn, rn + d.i AS rn
+  FROM pos, range(-5, 6) d(i) WHERE roll_event)""",
+        select="""SELECT p.root, p.ts, roll_segment, CAST(p.rn - roll_rn AS BIGINT) AS offset_rows
+FROM near n JOIN pos p ON p.root = n.root AND p.rn = n.rn""",
     ),
 )
 def roll_context(spark, sf_dir):
@@ -295,9 +296,7 @@ SU_RETURNS = (q.BARS_SU, q.SEGMENTS, q.returns(q.DAYS, (1, 5)), q.labels(q.DAYS,
 @register(
     "metrics_by_supplier",
     q.query(
-        *SU_RETURNS, naive_sql(f"(SELECT * FROM lab WHERE {TARGET} IS NOT NULL)"),
-        "two AS (SELECT * FROM pred WHERE model <> 'zero')",
-        metrics_sql("two", "model, root"),
+        *SU_RETURNS, naive_sql("lab"), metrics_sql("pred", "model, root"),
         select=f"SELECT model, root, {metric_columns()} FROM m",
     ),
 )
@@ -307,7 +306,7 @@ def metrics_by_supplier(spark, sf_dir):
     )
     scored = met.naive_predictions(rows.select("root", "ts", TARGET, LAST), LAST)
     return report(
-        met.regression_metrics(scored.where("model <> 'zero'"), ["model", "root"], TARGET, "prediction")
+        met.regression_metrics(scored, ["model", "root"], TARGET, "prediction")
     )
 
 
@@ -407,7 +406,7 @@ _DEC_COLS = ", ".join(f"{q.rd(c)} AS {c}" for c in ("mean_prediction", "mean_act
 @register(
     "prediction_deciles",
     q.query(
-        *FEAT_LI, ELIGIBLE_LI, naive_sql("elig"), DECILES.format(keys="model", source="pred"),
+        *FEAT_LI, ELIGIBLE_LI, naive_sql("elig"), DECILES.format(keys="model", source="(SELECT * FROM pred WHERE a IS NOT NULL AND p IS NOT NULL)"),
         select=f"SELECT model, decile, observations, {_DEC_COLS} FROM d",
     ),
 )
@@ -431,7 +430,7 @@ ds AS (SELECT {keys}, max(CASE WHEN decile = 10 THEN mean_actual END) AS top,
 @register(
     "decile_summary",
     q.query(
-        *FEAT_LI, ELIGIBLE_LI, naive_sql("elig"), DECILES.format(keys="model", source="pred"),
+        *FEAT_LI, ELIGIBLE_LI, naive_sql("elig"), DECILES.format(keys="model", source="(SELECT * FROM pred WHERE a IS NOT NULL AND p IS NOT NULL)"),
         SUMMARY.format(keys="model"),
         select=f"SELECT model, {q.rd('top')} AS top_decile_mean_actual, {q.rd('bottom')} AS bottom_decile_mean_actual, "
         f"{q.rd('top - bottom')} AS top_minus_bottom, {q.rd('ord')} AS decile_order_spearman, "
@@ -511,9 +510,7 @@ def root_stability(spark, sf_dir):
 @register(
     "root_ranking",
     q.query(
-        *SU_RETURNS, naive_sql(f"(SELECT * FROM lab WHERE {TARGET} IS NOT NULL)"),
-        "two AS (SELECT * FROM pred WHERE model <> 'zero')",
-        metrics_sql("two", "model, root"),
+        *SU_RETURNS, naive_sql("lab"), metrics_sql("pred", "model, root"),
         select=f"SELECT model, root, {q.rd('pearson')} AS pearson, row_number() OVER "
         "(PARTITION BY model ORDER BY pearson DESC NULLS LAST, root) AS rank FROM m",
     ),
@@ -522,7 +519,7 @@ def root_ranking(spark, sf_dir):
     rows = lab.add_future_labels(
         feat.add_exact_returns(seg_su(spark, sf_dir), DAY, (1, 5)), DAY, (1,)
     )
-    scored = met.naive_predictions(rows.select("root", TARGET, LAST), LAST).where("model <> 'zero'")
+    scored = met.naive_predictions(rows.select("root", TARGET, LAST), LAST)
     table = met.regression_metrics(scored, ["model", "root"], TARGET, "prediction", spearman=False)
     return report(stab.root_ranks(table, ["model"]).select("model", "root", "pearson", "rank"))
 

@@ -47,16 +47,13 @@ _OWN = feat.own_feature_names(DAY)
 @register(
     "training_medians",
     q.query(
-        *FEAT_LI, ELIGIBLE_LI,
-        "l AS (" + " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, {c} AS v FROM elig"
-            for c in ("log_return_1d", "range_pct", "rsi_14", "volume", "realized_vol_15d")) + ")",
+        q.BARS_LI, q.SEGMENTS, q.feature_ctes(q.DAYS), ELIGIBLE_LI,
+        "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM elig" for c in _OWN) + ")",
         select=f"SELECT feature, {q.rd('median(v)')} AS median FROM l GROUP BY feature",
     ),
 )
 def training_medians(spark, sf_dir):
-    columns = ("log_return_1d", "range_pct", "rsi_14", "volume", "realized_vol_15d")
-    return report(mod.training_medians(eligible_li(spark, sf_dir, *columns), columns))
+    return report(mod.training_medians(eligible_li(spark, sf_dir, *_OWN), _OWN))
 
 
 def _ridge2_sql() -> str:
@@ -212,14 +209,12 @@ def dedicated_vs_pooled(spark, sf_dir):
 
 @register("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    """R² lost on an even validation sample when one feature is shuffled."""
+    """R² lost on all validation rows when one feature is shuffled."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
     model = mod.fit_ridge(wide.where("split = 'train'"), _OWN, TARGET, roots=LI_ROOTS)
-    sample = mod.training_sample(
-        wide.where("split = 'validation'"), ["ts", "root", *_OWN, TARGET], 200, DAY, tile_units=LI_TILE
-    )
+    held = wide.where("split = 'validation'").select("ts", "root", *_OWN, TARGET)
     return report(
-        mod.permutation_importance(sample, _OWN, TARGET, model.transform, DAY, tile_units=LI_TILE)
+        mod.permutation_importance(held, _OWN, TARGET, model.transform, DAY, tile_units=LI_TILE)
     )
 
 

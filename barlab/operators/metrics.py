@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,16 +70,27 @@ def regression_metrics(
     """The metric row of each group, over finite pairs only.
 
     All moments come from one partially aggregated pass. Spearman is the correlation of exact
-    average ranks (see ``ranks``); for it the narrow pairs are stored once and read from there.
+    average ranks (see ``ranks``); for it the narrow pairs are stored once and read from there. A group
+    without finite pairs has 0 observations and null metrics.
     """
     keys = list(keys)
-    pairs = finite_pairs(df, actual, predicted).select(*keys, actual, predicted)
-    if not spearman:
-        return pairs.groupBy(*keys).agg(*moment_columns(actual, predicted))
-    ranked = add_average_ranks(materialise(pairs), keys, {actual: "_rank_a", predicted: "_rank_p"})
-    return ranked.groupBy(*keys).agg(
-        *moment_columns(actual, predicted),
-        correlation("_rank_a", "_rank_p").alias("spearman"),
+    narrow = df.select(*keys, actual, predicted)
+    if spearman:
+        narrow = materialise(narrow)
+    groups = narrow.groupBy(*keys).agg(F.lit(1).alias("_group"))
+    pairs = finite_pairs(narrow, actual, predicted)
+    moments = moment_columns(actual, predicted)
+    if spearman:
+        pairs = add_average_ranks(pairs, keys, {actual: "_rank_a", predicted: "_rank_p"})
+        moments.append(correlation("_rank_a", "_rank_p").alias("spearman"))
+    found = pairs.groupBy(*keys).agg(*moments)
+    left, right = groups.alias("g"), found.alias("f")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    on = reduce(Column.__and__, same) if keys else F.lit(True)
+    return left.join(right, on, "left").select(
+        *[F.col(f"g.{k}").alias(k) for k in keys],
+        F.coalesce("f.observations", F.lit(0).cast("bigint")).alias("observations"),
+        *[F.col(f"f.{c}").alias(c) for c in found.columns if c not in (*keys, "observations")],
     )
 
 

@@ -16,16 +16,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.numeric import finite
-from barlab.session import BROADCAST_ROWS, broadcast_if_small
+from barlab.session import BROADCAST_ROWS, broadcast_if_small, materialise
 
-MAX_SPLITS = 4_096
-MIN_SPLITS = 64
+# Split points per group: one for PIECE_ROWS counted rows. The upper bound keeps the array of split points
+# of one group at half a megabyte; 10^12 rows then give open buckets of about 15 million rows.
+PIECE_ROWS = 65_536
+MIN_SPLITS, MAX_SPLITS = 64, 65_536
+# A repeated value and a split-point join without broadcast are dealt out over so many parts.
+PARTS = 64
 
 
 def split_count(df: DataFrame) -> int:
-    """More split points on a bigger cluster: four per shuffle partition, as a power of two."""
-    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << (max(MIN_SPLITS, min(MAX_SPLITS, wanted)).bit_length() - 1)
+    """Split points for the counted rows, as a power of two. ``df`` is stored by its callers."""
+    wanted = max(MIN_SPLITS, min(MAX_SPLITS, df.count() // PIECE_ROWS))
+    return 1 << (wanted.bit_length() - 1)
+
+
+def parts() -> Column:
+    """A part number that differs between rows of one task; results never depend on it."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
 
 
 def split_points(df: DataFrame, keys: Sequence[str], values: Sequence[str], splits: int) -> DataFrame:
@@ -55,16 +64,21 @@ def bucketed(
 ) -> DataFrame:
     """Add ``_bucket_0``, ``_bucket_1``... for the value columns.
 
-    Rows on which any of them is missing or non-finite are dropped.
+    Rows on which any of them is missing or non-finite are dropped. Many groups of split points are
+    not broadcast; each is then repeated per part and met by the rows of its part, so that a large
+    group is spread over tasks and later windows by bucket get an exchange of their own.
     """
     splits = splits or split_count(df)
     present = df
     for value in values:
         present = present.where(finite(F.col(value)))
-    points = broadcast_if_small(
-        split_points(present, keys, values, splits), max(1, BROADCAST_ROWS // splits)
-    )
-    return present.join(points, list(keys)).select(
+    points = materialise(split_points(present, keys, values, splits))
+    if points.count() <= max(1, BROADCAST_ROWS // splits):
+        placed = present.join(F.broadcast(points), list(keys))
+    else:
+        every = points.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        placed = present.withColumn("_part", parts()).join(every, [*keys, "_part"])
+    return placed.select(
         *df.columns,
         *[
             bucket_of(F.col(v), F.col(f"_points_{i}"), splits).alias(f"_bucket_{i}")
@@ -109,32 +123,40 @@ def add_average_ranks(
 ) -> DataFrame:
     """Average ranks (1-based, ties share their mean rank) inside the keys.
 
-    ``ranks`` maps value columns to rank columns; rows with a non-finite value are dropped. Rows
-    of a point bucket read their rank off the bucket counts and are never shuffled; only the
-    short open buckets are sorted. ``df`` is read several times: pass stored rows.
+    ``ranks`` maps value columns to rank columns; rows with a non-finite value are dropped. Per ranked
+    column there are one exchange, one sort and two windows. A repeated value reads its rank off the
+    bucket counts and is dealt out over parts, so it gathers nowhere. ``df`` is read several times:
+    pass stored rows.
     """
     keys, values = list(keys), list(ranks)
     rows = bucketed(df, keys, values, splits)
-    parts = [
+    counted = [
         bucket_offsets(rows.withColumnRenamed(f"_bucket_{i}", "_bucket"), keys)
         .drop("group_rows")
         .withColumn("_which", F.lit(i))
         for i in range(len(values))
     ]
-    offsets = broadcast_if_small(reduce(DataFrame.unionByName, parts))
+    offsets = materialise(reduce(DataFrame.unionByName, counted))
+    few = offsets.count() <= BROADCAST_ROWS
     for i, (value, name) in enumerate(ranks.items()):
         here = offsets.where(F.col("_which") == i).drop("_which")
-        placed = rows.withColumnRenamed(f"_bucket_{i}", "_bucket").join(here, [*keys, "_bucket"])
-        within = Window.partitionBy(*keys, "_bucket").orderBy(value)
-        same = Window.partitionBy(*keys, "_bucket", value)
-        repeated = placed.where(is_point()).withColumn("_local", (F.col("_n") + 1) / 2)
-        spread = placed.where(~is_point()).withColumn(
-            "_local", F.rank().over(within) + (F.count(F.lit(1)).over(same) - 1) / 2
+        placed = rows.withColumnRenamed(f"_bucket_{i}", "_bucket").withColumn(
+            "_piece", F.when(is_point(), parts()).otherwise(F.lit(0))
+        )
+        if few:
+            placed = placed.join(F.broadcast(here), [*keys, "_bucket"])
+        else:
+            last = F.when(is_point(), F.lit(PARTS - 1)).otherwise(F.lit(0))
+            every = here.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+            placed = placed.join(every, [*keys, "_bucket", "_piece"])
+        piece = [*keys, "_bucket", "_piece"]
+        within = Window.partitionBy(*piece).orderBy(value)
+        same = Window.partitionBy(*piece, value)
+        local = F.when(is_point(), (F.col("_n") + 1) / 2).otherwise(
+            F.rank().over(within) + (F.count(F.lit(1)).over(same) - 1) / 2
         )
-        rows = (
-            repeated.unionByName(spread)
-            .withColumn(name, (F.col("_before") + F.col("_local")).cast("double"))
-            .drop("_bucket", "_n", "_before", "_local")
+        rows = placed.withColumn(name, (F.col("_before") + local).cast("double")).drop(
+            "_bucket", "_piece", "_n", "_before"
         )
     return rows.select(*df.columns, *ranks.values())
 
@@ -226,7 +248,7 @@ def order_statistics(
             F.collect_list("_want").alias("_wants"),
         )
     )
-    # A point bucket holds one value: keep a single row of it instead of all its copies.
+    # A point bucket holds one value: one row of each task stays, whatever the copies.
     hit = rows.join(targets, [*keys, "_bucket"])
     single = (
         hit.where(is_point())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock, micros
 from barlab.operators.tiles import TILE_UNITS, ordered_index, with_tile
-from barlab.session import broadcast_if_small
+from barlab.session import BROADCAST_ROWS, broadcast_if_small, materialise
 
 IDENTITY = ("ts", "root", "instrument_id", "contract_segment_id")
 
@@ -84,30 +84,38 @@ def every_nth(
 def around_rolls(bars: DataFrame, rows: int) -> DataFrame:
     """Bars within ``rows`` positions of a rollover, with ``offset`` 0 at the first new bar.
 
-    ``segment_row`` and ``segment_rows`` give the distance to the roll on either side, so no
-    per-root window is needed; only the last segment number of each root is looked up.
+    Positions count over the whole root, also across segments shorter than ``rows``: a segment starts
+    where the segments before it end, and only one row per segment is ordered for that. A roll meets
+    the bars of the one or two stretches of positions that it can reach. A bar near several rolls is
+    given once for each.
     """
-    last = broadcast_if_small(
-        bars.groupBy("root").agg(F.max("contract_segment_id").alias("_last_segment"))
+    segments = bars.groupBy("root", "contract_segment_id").agg(F.max("segment_rows").alias("_rows"))
+    earlier = Window.partitionBy("root").orderBy("contract_segment_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(
+        segments.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
     )
-    segment, after = F.col("contract_segment_id"), F.col("segment_row")
-    before = after - F.col("segment_rows")
-    near = F.array_compact(
-        F.array(
-            F.when(
-                (segment > 1) & (after <= rows),
-                F.struct(segment.alias("roll_segment"), after.alias("offset")),
-            ),
-            F.when(
-                (segment < F.col("_last_segment")) & (before >= -rows),
-                F.struct((segment + 1).alias("roll_segment"), before.alias("offset")),
-            ),
-        )
+    few = starts.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    width = 2 * rows + 1
+    rolls = starts.where("contract_segment_id > 1").select(
+        "root",
+        F.col("contract_segment_id").alias("roll_segment"),
+        F.col("_start").alias("_roll"),
+        F.explode(
+            F.array_distinct(
+                F.array(F.floor((F.col("_start") - rows) / width), F.floor((F.col("_start") + rows) / width))
+            )
+        ).alias("_stretch"),
+    )
+    placed = bars.join(small(starts), ["root", "contract_segment_id"]).withColumn(
+        "_at", F.col("_start") + F.col("segment_row")
     )
+    offset = F.col("_at") - F.col("_roll")
     return (
-        bars.join(last, "root")
-        .withColumn("_near", F.explode(near))
-        .select(*bars.columns, "_near.roll_segment", "_near.offset")
+        placed.withColumn("_stretch", F.floor(F.col("_at") / width))
+        .join(small(rolls), ["root", "_stretch"])
+        .where(offset.between(-rows, rows))
+        .select(*bars.columns, "roll_segment", offset.alias("offset"))
     )
 
 

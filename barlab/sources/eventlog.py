@@ -28,6 +28,12 @@ def sorted_event_log(spark: SparkSession, path: str, schema: StructType) -> Data
     return read_event_log(spark, path, schema).orderBy(*LOG_KEY)
 
 
+def events_in_range(rows: DataFrame, path: str, schema: StructType) -> DataFrame:
+    """The logged events in the time range of ``rows``; none if nothing was logged or ``rows`` is empty."""
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    return read_event_log(rows.sparkSession, path, schema).where(F.col("ts").between(F.lit(first), F.lit(last)))
+
+
 def append_unique_events(events: DataFrame, path: str) -> int:
     """Append the events whose key is not logged yet; existing parts are never touched.
 

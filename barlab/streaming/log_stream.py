@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from barlab.sources.eventlog import append_unique_events
+from barlab.sources.eventlog import append_unique_events, events_in_range
+
+# Reads the log's events in the time range of a table.
+Logged = Callable[[DataFrame, StructType], DataFrame]
 
 
 def follow_features(
@@ -16,17 +19,22 @@ def follow_features(
     schema: StructType,
     log: str,
     checkpoint: str,
-    to_events: Callable[[DataFrame], list[DataFrame]],
+    to_events: Callable[[DataFrame, Logged], Iterable[DataFrame]],
     max_files: int = 1_000,
 ) -> None:
     """Process every feature file not seen yet, then stop.
 
-    ``to_events`` turns one micro-batch into event batches (predictions, outcomes). A batch that
+    ``to_events`` turns one micro-batch into event batches, one after the other; its second argument
+    reads the log as it is at that moment, for the time range of a table. Outcomes can thus be joined with
+    the predictions that were logged, also by earlier batches, rather than with new ones. A batch that
     is replayed after a failure appends nothing, because the log refuses known keys.
     """
 
     def process(batch: DataFrame, _: int) -> None:
-        for events in to_events(batch):
+        def logged(rows: DataFrame, fields: StructType) -> DataFrame:
+            return events_in_range(rows, log, fields)
+
+        for events in to_events(batch, logged):
             append_unique_events(events, log)
 
     (

@@ -154,7 +154,7 @@ def test_stream_adds_each_file_once(spark, tmp_path):
     schema = source(spark, [1]).schema
 
     def run():
-        follow_features(spark, src, schema, log, progress, lambda batch: [events_of(batch)])
+        follow_features(spark, src, schema, log, progress, lambda batch, logged: [events_of(batch)])
         return eventlog.read_event_log(spark, log, events_of(source(spark, [1])).schema).count()
 
     source(spark, [1, 2, 3]).write.parquet(src)
@@ -164,6 +164,30 @@ def test_stream_adds_each_file_once(spark, tmp_path):
     assert run() == 4
 
 
+def test_late_outcomes_meet_the_logged_predictions(spark, tmp_path):
+    src, log, progress = (str(tmp_path / n) for n in ("src", "log", "progress"))
+    schema = source(spark, [1]).schema
+    fields = events_of(source(spark, [1])).schema
+
+    def to_events(batch, logged):
+        yield events_of(batch)
+        outcomes = pro.prospective_outcomes(batch, MINUTE, moment(0), TARGET)
+        yield pro.attach_outcomes(logged(outcomes, fields), outcomes, TARGET, moment(100))
+
+    def run():
+        follow_features(spark, src, schema, log, progress, to_events)
+        return eventlog.read_event_log(spark, log, fields)
+
+    source(spark, [1, 2, 3]).withColumn(TARGET, F.lit(None).cast("double")).write.parquet(src)
+    assert run().where("event_type = 'outcome'").isEmpty()
+    # the same rows come again with their outcome and a changed feature
+    source(spark, [1, 2, 3]).withColumn("f", F.lit(8.0)).write.mode("append").parquet(src)
+    rows = run().where("event_type = 'outcome'").collect()
+    assert sorted((r["ts"], r["prediction"], r[TARGET]) for r in rows) == [
+        (START + timedelta(minutes=m), 0.5, 0.9) for m in (1, 3)
+    ]
+
+
 def test_checkpoint_closes_only_when_all_roots_passed_it(spark):
     rows = [("A", START + timedelta(days=40)), ("B", START + timedelta(days=8))]
     df = spark.createDataFrame(rows, "root string, ts timestamp")

@@ -163,3 +163,47 @@ def test_bucket_edges_are_ordered(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 9.0)], "v double")
     b = ranks.bucket_of(F.col("v"), F.array(*[F.lit(x) for x in points]), 4)
     assert [r["b"] for r in df.select(b.alias("b")).collect()] == [0, 1, 2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("kind", ["heavy", "coarse"])
+def test_ranks_and_quantiles_without_broadcast(spark, kind, monkeypatch):
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(5)
+        groups = {f"g{i}": sample(kind, 60, rng) for i in range(5)}
+        rows = [(g, i, v, -v) for g, vs in groups.items() for i, v in enumerate(vs)]
+        df = spark.createDataFrame(rows, "g string, i int, v double, w double")
+        ranked = ranks.add_average_ranks(df, ["g"], {"v": "rv", "w": "rw"}, 2)
+        got = {(r["g"], r["i"]): (r["rv"], r["rw"]) for r in ranked.collect()}
+        for g, vs in groups.items():
+            n = len(vs)
+            assert [got[(g, i)] for i in range(n)] == [(r, n + 1 - r) for r in average_ranks(vs)]
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window") == 4
+        physical = ranked._jdf.queryExecution().executedPlan().toString()
+        # a window never stands on the join by group alone: its own key has the bucket and the piece
+        assert physical.count("_bucket") and "hashpartitioning(g" in physical
+        for line in physical.splitlines():
+            if "hashpartitioning(g" in line:
+                assert "_part" in line or "_piece" in line or "_bucket" in line
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_two_ranked_columns_cost_two_exchanges_and_four_windows(spark):
+    df = spark.createDataFrame([("a", float(i % 9), float(i)) for i in range(99)], "g string, v double, w double")
+    plan = ranks.add_average_ranks(df, ["g"], {"v": "rv", "w": "rw"}, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Window [") == 4 and plan.count("Union") == 0
+
+
+def test_groups_without_pairs_keep_a_metric_row(spark):
+    rows = [("x", 1.0, 1.0), ("x", 2.0, 1.5), ("y", None, 1.0), ("y", 1.0, math.nan)]
+    df = spark.createDataFrame(rows, "root string, a double, p double")
+    for spearman in (True, False):
+        got = {r["root"]: r.asDict() for r in met.regression_metrics(df, ["root"], "a", "p", spearman).collect()}
+        assert got["x"]["observations"] == 2 and got["y"]["observations"] == 0
+        assert all(got["y"][m] is None for m in got["y"] if m not in ("root", "observations"))
+    scopes = {r["scope"]: r["observations"] for r in met.evaluate(df, [], "a", "p").collect()}
+    assert scopes == {"x": 2, "y": 0, "ALL": 2}

@@ -136,5 +136,17 @@ def test_rows_around_a_roll(bars):
     assert got == [(2, -2), (2, -1), (2, 0), (2, 1), (2, 2)]
 
 
+def test_rows_around_a_roll_cross_short_segments(bars):
+    df = seg.add_contract_segments(bars(range(11), [1, 1, 1, 1, 2, 2, 3, 3, 3, 4, 4]), MINUTE, 3)
+    rows = samp.around_rolls(df.unionByName(seg.add_contract_segments(bars(range(2), root="ES"), MINUTE, 3)), 3).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["roll_segment"], []).append((r["offset"], (r["ts"] - START).seconds // 60))
+    starts = {2: 4, 3: 6, 4: 9}
+    assert {k: sorted(v) for k, v in got.items()} == {
+        k: [(d, s + d) for d in range(-3, 4) if 0 <= s + d < 11] for k, s in starts.items()
+    }
+
+
 def test_month_clamp():
     assert months_before(datetime(2024, 5, 31).date(), 3).isoformat() == "2024-02-29"
