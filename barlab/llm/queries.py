@@ -19,6 +19,7 @@ from barlab.llm import (
     vector_forest,
 )
 from barlab.llm.common import table
+from barlab.llm.twins import QUALITY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,4 +77,5 @@ QUERIES: dict[str, Query] = {
     "op10_vector_forest": op10_vector_forest,
 }
 
-ORACLES: dict[str, str] = {}
+# The other operators' models, hashes and token ids are beyond SQL; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op4_quality_rules": QUALITY}

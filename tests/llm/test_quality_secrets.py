@@ -101,3 +101,13 @@ def test_running_sums_cross_blocks(spark):
     n = list(range(1, 301))
     row = spark.createDataFrame([(n,)], "x array<int>").select(secrets.running_sums(secrets.F.col("x"))).first()[0]
     assert row == [sum(n[: i + 1]) for i in range(len(n))]
+
+
+def test_quality_query_equals_its_sql_twin(spark):
+    import __spark_entry__ as entry
+    from tests.llm.conftest import SF
+    from tools.compare import differences, duck
+
+    name = "op4_quality_rules"
+    _, problem = differences(entry.queries()[name](spark, SF), duck(SF), entry.oracle_sql()[name])
+    assert problem is None
