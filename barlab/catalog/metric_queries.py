@@ -347,8 +347,7 @@ EV_TARGET, EV_LAST = "future_return_5m", "log_return_5m"
     "metrics_by_hour",
     q.query(
         q.BARS_EV, q.SEGMENTS, q.feature_ctes(q.MINUTES, with_ema=False),
-        f"""pred AS (SELECT CAST(chicago_hour AS VARCHAR) AS hour, {EV_TARGET} AS a, -{EV_LAST} AS p FROM feat
-  WHERE {EV_TARGET} IS NOT NULL AND {EV_LAST} IS NOT NULL)""",
+        f"pred AS (SELECT CAST(chicago_hour AS VARCHAR) AS hour, {EV_TARGET} AS a, -{EV_LAST} AS p FROM feat)",
         metrics_sql("pred", "hour"),
         select=f"SELECT hour, {metric_columns()}, hour IN ('11', '12', '21', '22') AS highlighted FROM m",
     ),
@@ -593,10 +592,27 @@ def regime_stability(spark, sf_dir):
     return report(stab.metric_stability(long, ["model", "regime"]))
 
 
+@register(
+    "hour_stability",
+    q.query(
+        *FEAT_LI, ELIGIBLE_LI, FOLDS_SQL, naive_sql("elig", "root, ts, chicago_hour AS hour"), FOLD_PRED,
+        metrics_sql("fp", "fold, model, hour"), unpivot_sql("m", "model, hour", ("r2", "pearson", "spearman")),
+        select=f"SELECT model, hour, metric, {summary_sql('value')} FROM long GROUP BY model, hour, metric",
+    ),
+)
+def hour_stability(spark, sf_dir):
+    """Fold stability per Chicago hour (daily bars fall on two hours, by summer time)."""
+    rows = eligible_li(spark, sf_dir, "root", "ts", TARGET, LAST, F.col("chicago_hour").alias("hour"))
+    scored = spl.with_evaluation_folds(met.naive_predictions(materialise(rows), LAST), folds_li())
+    table = met.regression_metrics(scored, ["fold", "model", "hour"], TARGET, "prediction")
+    long = stab.long_metrics(table, ["model", "hour"], ("r2", "pearson", "spearman"))
+    return report(stab.metric_stability(long, ["model", "hour"]))
+
+
 @register(
     "decile_stability",
     q.query(
-        *WF, DECILES.format(keys="fold, model", source="fp"), SUMMARY.format(keys="fold, model"),
+        *WF, DECILES.format(keys="fold, model", source="(SELECT * FROM fp WHERE a IS NOT NULL AND p IS NOT NULL)"), SUMMARY.format(keys="fold, model"),
         select=f"SELECT model, {summary_sql('ord', '_ordering')}, {summary_sql('(top - bottom)', '_spread')}, "
         "count(*) FILTER (WHERE mono) AS fully_non_decreasing_folds, "
         "count(*) FILTER (WHERE top - bottom > 0) AS positive_spread_folds FROM ds GROUP BY model",

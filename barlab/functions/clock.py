@@ -43,10 +43,6 @@ def floor_div(value: Column, divisor: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(divisor)), F.lit(divisor))
 
 
-def from_micros(value: Column) -> Column:
-    return F.timestamp_micros(value)
-
-
 def local_clock_columns(ts: Column, zone: str = CHICAGO) -> dict[str, Column]:
     """Local hour, minute, weekday (Monday = 0) and their sine/cosine positions."""
     local = F.from_utc_timestamp(ts, zone)

@@ -24,7 +24,7 @@ from barlab.operators.tiles import TILE_UNITS, ordered_index
 from barlab.session import materialise
 
 # Parameters of the boosted-tree and ridge baselines.
-TREE_PARAMETERS = {"stepSize": 0.08, "maxIter": 150, "maxDepth": 5, "minInstancesPerNode": 100}
+TREE_PARAMETERS = {"stepSize": 0.08, "maxIter": 150, "maxDepth": 5, "minInstancesPerNode": 100, "maxBins": 255}
 RIDGE_ALPHA = 1.0
 SEED = 42
 
@@ -145,7 +145,11 @@ def fit_ridge(
     roots: Sequence[str] | None = None, medians: dict[str, float] | None = None,
     include_root: bool = True,
 ) -> RidgeModel:
-    """Exact ridge over every training row by sufficient statistics; the intercept is free."""
+    """Exact ridge over every training row by sufficient statistics; the intercept is free.
+
+    Rows without a finite target are no training rows.
+    """
+    train = train.where(finite(F.col(target)))
     prep = fit_preprocessor(train, features, roots, medians)
     known = prep.roots if include_root else ()
     design = train.select(
@@ -219,7 +223,8 @@ def fit_trees(
     train: DataFrame, features: Sequence[str], target: str, include_root: bool = True,
     roots: Sequence[str] | None = None, **parameters,
 ) -> TreeModel:
-    """Gradient-boosted trees on median-imputed features and root indicators."""
+    """Gradient-boosted trees on median-imputed features and root indicators; needs finite targets."""
+    train = train.where(finite(F.col(target)))
     prep = fit_preprocessor(train, features, roots)
     settings = {**TREE_PARAMETERS, "seed": SEED, **parameters}
     assembled = assemble(train, prep, False, include_root).select("features", target)

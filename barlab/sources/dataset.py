@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlab.functions.numeric import nonfinite_to_null
+
 
 def write_dataset(df: DataFrame, path: str) -> None:
     """zstd Parquet under root=/year=; replaces only the partitions that ``df`` holds.
 
     REBALANCE groups rows by partition and lets the adaptive planner split a heavy root or year
-    over several tasks and files, and join small ones.
+    over several tasks and files, and join small ones. NaN and infinities are stored as null.
     """
     (
-        df.withColumn("year", F.year("ts"))
+        nonfinite_to_null(df).withColumn("year", F.year("ts"))
         .hint("rebalance", F.col("root"), F.col("year"))
         .write.mode("overwrite")
         .option("compression", "zstd")
