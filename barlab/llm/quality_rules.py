@@ -33,8 +33,9 @@ BOILERPLATE = (
 )
 BOILERPLATE_WORDS = 30
 BARS = "|»›·•"
+MENU_CHARS = 40  # a menu entry is short; scripts without blanks put a whole sentence into one word
 MARKS = SYMBOLS + "=~^_{}\\"
-SENTENCE_END = r"[.!?…:;,\"'”’»)\]]$"
+SENTENCE_END = r"[.!?…。！？:;,\"'”’»)\]]$"
 
 
 def without(text: Column, chars: str) -> Column:
@@ -132,7 +133,8 @@ def line_fails(line: Column) -> Column:
         calls = x["all"] - x["calm"]
         noisy = (marks * 10 > x["n"]) & (marks >= 3)
         shouting = (calls >= 3) & (calls * 4 >= words)
-        menu = ((bars >= 2) & (bars * 5 >= words)) | ((words <= 3) & ~x["t"].rlike(SENTENCE_END))
+        entry = (words <= 3) & (x["n"] <= MENU_CHARS) & ~x["t"].rlike(SENTENCE_END)
+        menu = ((bars >= 2) & (bars * 5 >= words)) | entry
         phrase = (words <= BOILERPLATE_WORDS) & x["t"].rlike(BOILERPLATE)
         return (x["n"] > 0) & (noisy | shouting | menu | phrase)
 

@@ -27,7 +27,7 @@ fi AS (SELECT doc_id, line, t, length(t) AS al, length(s) AS n,
   length(s) - length(regexp_replace(s, '{_quoted(_class(rules.BARS))}', '', 'g')) AS bars,
   length(t) - length(replace(t, '!!', '!')) AS calls FROM so),
 ve AS (SELECT *, n > 0 AND ((marks * 10 > n AND marks >= 3) OR (calls >= 3 AND calls * 4 >= al - n + 1)
-  OR (bars >= 2 AND bars * 5 >= al - n + 1) OR (al - n + 1 <= 3 AND NOT regexp_matches(t, '{_quoted(rules.SENTENCE_END)}'))
+  OR (bars >= 2 AND bars * 5 >= al - n + 1) OR (al - n + 1 <= 3 AND n <= {rules.MENU_CHARS} AND NOT regexp_matches(t, '{_quoted(rules.SENTENCE_END)}'))
   OR (al - n + 1 <= {rules.BOILERPLATE_WORDS} AND regexp_matches(t, '{_quoted(rules.BOILERPLATE)}'))) AS bad FROM fi),
 pl AS (SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,
   count(*) FILTER (WHERE bad) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE NOT bad), 0) AS left_chars FROM ve GROUP BY doc_id),
