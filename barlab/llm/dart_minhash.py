@@ -10,8 +10,9 @@ k ln k + 2k darts are thrown per document, whatever its size.
 1. Texts of the same words form one class by their 128-bit hash; one document stands for them.
 2. Signatures are cut into bands. In each band bucket all documents are linked with one of them, chosen by hash
    and so a different one in each band; a link holds if the exact similarity reaches the threshold.
-3. Verified links join classes. Buckets that then still hold several classes are compared again, across
-   classes only, until no bucket holds an untested pair of classes' members. No pairs inside a class are made.
+3. Verified links join classes. Where buckets then still hold several classes, members too many of whose shingles
+   are in no other such member's text can have no partner and are left out by an exact bound. The others are compared
+   across classes in blocks; pairs are never made into rows.
 
 Defined results: null and empty texts (no word) form no links and keep a class of their own; exact copies, also of
 one word, share a class; the class id is the smallest document id of the class; rows that repeat an id count as one
@@ -39,6 +40,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 16, 4
 WORD_CACHE = 400_000
+STAR_TURNS = 2
 BROADCAST_IDS = 200_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -176,13 +178,10 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, size:
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold.
 
-    Only texts of documents in pairs are moved; their ids are broadcast if they were counted few.
+    Only texts of documents in pairs are moved.
     """
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    small = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_column(text).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-    texts = stored(texts, "pair-texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stored(wanted_texts(ids, docs, key, text).distinct(), "pair-texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -235,68 +234,199 @@ def near_duplicates(
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stored(members.join(shared, "key"), "dart-buckets")
 
-    links, failed, label = copies, None, None
-    turn = 0
-    while True:
-        pairs = candidate_pairs(members, label, turn)
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "dart-pairs")
+    label = components(copies)
+    for turn in range(STAR_TURNS):
+        pairs = stored(star_pairs(labelled(members, label), turn), "dart-pairs")
         if pairs.isEmpty():
             break
-        good = stored(verified(pairs, docs, key, text, size, threshold), "dart-links")
-        bad = pairs.join(good, ["a", "b"], "left_anti")
-        failed = stored(bad if failed is None else failed.unionByName(bad), "dart-failed")
-        found = not good.isEmpty()
-        if found or label is None:
-            links = stored(links.unionByName(good), "dart-links")
-            label = stored(components(links), "dart-labels")
-        turn += 1
-    if label is None:
-        label = components(links)
+        label = joined_classes(label, verified(pairs, docs, key, text, size, threshold))
+    mixed = stored(labelled(members, label), "dart-mixed")
+    if not mixed.isEmpty():
+        texts = stored(wanted_texts(mixed.select("id").distinct(), docs, key, text).distinct(), "dart-texts")
+        label = joined_classes(label, remaining_links(mixed, texts, size, threshold))
     ids = docs.select(F.col(key)).distinct()
     own = F.col(key).cast("long")
     return ids.join(label, own == F.col("node"), "left").select(key, F.coalesce("label", own).alias("class_id"))
 
 
-STAR_TURNS = 3
+def joined_classes(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes joined by more links."""
+    known = label.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return stored(components(known.unionByName(links)), "dart-labels")
+
 
+def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, label) of the buckets that hold more than one class."""
+    named = members.join(label.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    return named.join(mixed.select("key"), "key", "left_semi")
 
-def candidate_pairs(members: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a < b) to test. First every member with one of its bucket; later only members of other classes.
 
-    After STAR_TURNS turns all pairs of members of different classes in a bucket are tested.
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of every member with one of its bucket, another one in each turn and bucket."""
+    centre = members.groupBy("key").agg(
+        F.min_by(F.struct("id", "label"), F.xxhash64("key", "id", F.lit(turn))).alias("c")
+    )
+    pairs = members.join(centre, "key").filter("label <> c.label")
+    return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
+def possible(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Ids of texts (id, text) that may have a partner: enough of their shingle weight is in another text too.
+
+    This bound is exact: a shingle of one text only is in no pair's intersection.
     """
-    if label is not None:
-        named = members.join(label.withColumnRenamed("node", "id"), "id", "left")
-        named = named.select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        members = stored(named.join(mixed.select("key"), "key", "left_semi"), "dart-mixed")
-    else:
-        members = members.select("key", "id", F.col("id").alias("label"))
-    if turn < STAR_TURNS:
-        centre = members.groupBy("key").agg(
-            F.min_by(F.struct("id", "label"), F.xxhash64("key", "id", F.lit(turn))).alias("c")
-        )
-        pairs = members.join(centre, "key").filter("label <> c.label")
-        other = F.col("c.id")
-    else:
-        right = members.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-        pairs = members.join(right, "key").filter("label < other_label")
-        other = F.col("other")
-    return pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in each_batch(batches):
+            ids, values, weights = [], [], []
+            for i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                value, count = np.unique(shingles(t.split(), hashes, size), return_counts=True)
+                ids.append(np.full(len(value), i, np.int64))
+                values.append(value.view(np.int64))
+                weights.append(count.astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in (ids, values, weights)], names=["id", "shingle", "weight"]
+                )
+
+    parts = stored(map_batches(texts, run, "id long, shingle long, weight long"), "dart-shingles")
+    alone = (
+        parts.groupBy("shingle")
+        .agg(F.min("id").alias("id"), F.max("id").alias("last"), F.sum("weight").alias("alone"))
+        .filter("id = last")
+        .groupBy("id")
+        .agg(F.sum("alone").alias("alone"))
+    )
+    totals = parts.groupBy("id").agg(F.sum("weight").alias("total")).join(alone, "id", "left")
+    common = F.col("total") - F.coalesce("alone", F.lit(0))
+    return totals.filter(common >= threshold * F.col("total") - 1e-9).select("id")
+
+
+def remaining_links(members: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes of `members` (key, id, label), found without making pairs.
+
+    Members that may have a partner are grouped by shared buckets, and each group is cut into blocks of bounded
+    size. Two blocks of a group meet in one task, which computes all similarities at once and gives one link for two
+    classes at most.
+    """
+    live = members.join(possible(texts, size, threshold), "id", "left_semi")
+    live = stored(live, "dart-live")
+    centre = live.groupBy("key").agg(F.min("id").alias("b"))
+    groups = components(live.join(centre, "key").select(F.col("id").alias("a"), "b"))
+    rows = (
+        live.select("id", "label").distinct()
+        .join(groups.select(F.col("node").alias("id"), F.col("label").alias("group")), "id")
+        .join(texts, "id")
+    )
+    salt = max(1, -(-live.count() // (256 * BLOCK_DOCS)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        held: list[tuple[int, int, np.ndarray]] = []
+        group, count, total = None, 0, 0
+
+        def block() -> pa.RecordBatch:
+            ids, labels, sets = zip(*held)
+            columns = [[group], [f"{held[0][0]}"], [list(ids)], [list(labels)]]
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays(
+                [
+                    *[pa.array(c, k) for c, k in zip(columns, kinds)],
+                    pa.array([[len(x) for x in sets]], pa.list_(pa.int64())),
+                    pa.array([np.concatenate(sets).tobytes()], pa.binary()),
+                ],
+                names=["group", "block", "ids", "labels", "sizes", "elements"],
+            )
+
+        for batch in batches:
+            for g, i, label, t in zip(*(c.to_pylist() for c in batch.columns)):
+                value, weight = np.unique(shingles(t.split(), hashes, size), return_counts=True)
+                # the n-th time of a shingle is an element of its own
+                nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                own = mix(np.repeat(value, weight) + mix(nth))
+                if held and (g != group or len(held) == BLOCK_DOCS or total + len(own) > BLOCK_ELEMENTS):
+                    yield block()
+                    held, total = [], 0
+                group = g
+                held.append((i, label, own))
+                total += len(own)
+        if held:
+            yield block()
+
+    dealt = rows.repartition("group", F.pmod(F.xxhash64("id"), F.lit(salt))).sortWithinPartitions("group", "id")
+    kind = "group long, block string, ids array<long>, labels array<long>, sizes array<long>, elements binary"
+    blocks = stored(map_batches(dealt.select("group", "id", "label", "text"), gather, kind), "dart-blocks")
+    other = blocks.select("group", *[F.col(c).alias(f"{c}2") for c in blocks.columns if c != "group"])
+    met = blocks.join(other, "group").filter("block <= block2").select(
+        "ids", "labels", "sizes", "elements", "ids2", "labels2", "sizes2", "elements2"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = [batch.column(c)[i].as_py() for c in range(8)]
+                links = block_links(*block_of(*row[:4]), *block_of(*row[4:]), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
+
+    return map_batches(met, compare, "a long, b long")
+
+
+BLOCK_DOCS, BLOCK_ELEMENTS = 256, 250_000
+
+
+def block_of(ids: list, labels: list, sizes: list, elements: bytes) -> tuple:
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    return np.array(ids), np.array(labels), np.array(sizes), owner, np.frombuffer(elements, np.uint64)
+
+
+def block_links(ids, labels, sizes, owner, elements, ids2, labels2, sizes2, owner2, elements2, threshold):
+    """One pair (a < b) for every two classes that hold a similar pair across the two blocks."""
+    shared = np.intersect1d(elements, elements2)
+    both = np.zeros((len(ids), len(ids2)), np.float32)
+    for start in range(0, len(shared), 4096):
+        part = shared[start : start + 4096]
+        sides = []
+        for own, values, n in ((owner, elements, len(ids)), (owner2, elements2, len(ids2))):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            side = np.zeros((n, len(part)), np.float32)
+            side[own[hit], at[hit]] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    similar = both / (sizes[:, None] + sizes2[None, :] - both) >= threshold - 1e-6
+    x, y = np.nonzero(similar & (labels[:, None] != labels2[None, :]))
+    # float32 counts are exact below 2^24; the ratio is checked again in doubles
+    exact = both[x, y].astype(np.float64)
+    x, y = (c[exact >= threshold * (sizes[x] + sizes2[y] - exact) - 1e-9] for c in (x, y))
+    low, high = np.minimum(labels[x], labels2[y]), np.maximum(labels[x], labels2[y])
+    _, first = np.unique(np.stack([low, high]), axis=1, return_index=True) if len(x) else (None, np.zeros(0, int))
+    a, b = ids[x[first]], ids2[y[first]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def wanted_texts(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the given documents; the ids are broadcast if they were counted few."""
+    ids = stored(ids, "pair-ids")
+    small = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(key).cast("long").alias("id"), text_column(text).alias("text"))
+    return texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near duplicates (that of the smallest id); rows without an id all stay.
 
-    Of rows that repeat the remaining id, one stays: the one of the smallest text.
+    Of rows that repeat the remaining id, one stays, chosen by a hash of the row.
     """
     classes = near_duplicates(docs, key, text)
     keep, tie = free_name(docs, "keep"), free_name(docs, "tie")
-    kept = classes.filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(keep))
-    named = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key) == F.col(keep), "left_semi")
-    first = named.groupBy(key).agg(F.count("*").alias(tie)).filter(F.col(tie) > 1).select(F.col(key).alias(keep))
+    gone = stored(classes.filter(F.col(key) != F.col("class_id")).select(F.col(key).alias(keep)), "dart-removed")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    named = docs.filter(F.col(key).isNotNull()).join(gone, F.col(key) == F.col(keep), "left_anti")
+    ids = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(tie))
+    first = ids.filter(F.col(tie) > 1).select(F.col(key).alias(keep)).join(gone, keep, "left_anti")
     repeated = stored(first, "dart-repeated")
     if repeated.isEmpty():
         out = named
