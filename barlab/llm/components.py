@@ -24,19 +24,23 @@ def components(links: DataFrame) -> DataFrame:
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "links",
     )
-    last = None
+    last = _state(edges)
     for _ in range(MAX_ROUNDS):
         edges = stored(_small_star(_large_star(edges)), "links")
-        # the sum over 64-bit hashes shows whether a round changed a link
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if last == (state["n"], state["s"]):
+        state = _state(edges)
+        if last == state:
             labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
             return labels.unionByName(roots)
-        last = (state["n"], state["s"])
+        last = state
     raise RuntimeError(f"components need more than {MAX_ROUNDS} rounds")
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and sum of 64-bit hashes: tells whether a round changed a link."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
