@@ -205,6 +205,21 @@ def test_checkpoint_closes_only_when_all_roots_passed_it(spark):
 # --- sources -----------------------------------------------------------------------------------
 
 
+def test_non_finite_values_are_stored_as_null(spark, bars, tmp_path):
+    path = str(tmp_path / "bars")
+    odd = bars(range(3)).withColumn(
+        "volume", F.when(F.minute("ts") == 0, F.lit(float("nan"))).when(F.minute("ts") == 1, F.lit(float("inf"))).otherwise(2.0)
+    )
+    dataset.write_dataset(odd, path)
+    assert [r["volume"] for r in dataset.read_root(spark, path, "NQ").collect()] == [None, None, 2.0]
+
+
+def test_ridge_ignores_rows_without_a_target(spark):
+    rows, df = ridge_rows(spark)
+    more = df.unionByName(df.limit(5).withColumn("y", F.lit(None).cast("double")))
+    assert mod.fit_ridge(more, FEATURES, "y").training_rows == len(rows)
+
+
 def test_dataset_round_trip_and_pruning(spark, bars, tmp_path):
     path = str(tmp_path / "bars")
     df = bars(range(5)).unionByName(bars(range(3), root="ES"))
