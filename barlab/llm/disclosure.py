@@ -30,6 +30,7 @@ from pyspark.sql.types import StringType, StructField, StructType, _parse_dataty
 from barlab.llm.common import each_batch, free_name, map_batches, stored, text_column
 
 KINDS = ("email", "ip", "card", "phone")
+ANY = "*"  # stands for any entity in the counts
 CONTEXT = 10
 MIN_DOCS = 3
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
@@ -171,9 +172,12 @@ def revealing_terms(
             n = 0
             for t in batch.column(0).to_pylist():
                 n += 1
+                near_any = set()
                 for entity, own in context_terms(t, base_spans(t), context).items():
                     counts[entity, None] += 1
                     counts.update((entity, term) for term in own)
+                    near_any |= own
+                counts.update((ANY, term) for term in near_any)
             counts[None, None] = n
             entities, terms = [e for e, _ in counts], [t for _, t in counts]
             yield pa.RecordBatch.from_arrays(
@@ -185,9 +189,14 @@ def revealing_terms(
     counted = stored(counted.groupBy("entity", "term").agg(F.sum("n").alias("n")), "disclosure-pairs")
     total = counted.filter("entity is null").agg(F.sum("n")).first()[0] or 0
     entity = counted.filter("entity is not null and term is null").select("entity", F.col("n").alias("n_e"))
-    pairs = counted.filter(f"term is not null and n >= {int(min_docs)}").select("entity", "term", F.col("n").alias("n_et"))
-    # the strongest a term can be: every document with it holds the entity
-    pairs = stored(pairs.join(entity, "entity"), "disclosure-candidates")
+    pairs = counted.filter((F.col("entity") != ANY) & F.col("term").isNotNull() & (F.col("n") >= int(min_docs)))
+    pairs = pairs.select("entity", "term", F.col("n").alias("n_et")).join(entity, "entity")
+    # a term is in at least as many documents as it is near any entity, which bounds its disclosure
+    near_any = counted.filter(F.col("entity") == ANY).select("term", F.col("n").alias("n_near"))
+    most = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_near")))
+    most = most / F.log(F.lit(float(total)) / F.col("n_e"))
+    pairs = pairs.join(near_any, "term").filter((F.col("n_e") < total) & (most >= generalise_at - 1e-9)).drop("n_near")
+    pairs = stored(pairs, "disclosure-candidates")
     candidates = pairs.select("term").distinct()
     frequency = document_counts(texts, stored(candidates, "disclosure-terms"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -202,7 +211,8 @@ def revealing_terms(
 def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, n_t): in how many texts each wanted term occurs.
 
-    Few terms (by count) are sent to the tasks; otherwise all terms are counted per batch, then joined.
+    Few terms (by count) are sent to the tasks; otherwise all terms are counted, then joined. A task holds a
+    bounded number of counts.
     """
     few = wanted.count() <= BROADCAST_TERMS
     held = texts.sparkSession.sparkContext.broadcast(
@@ -213,14 +223,21 @@ def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         chosen = held.value
         if chosen is not None and not chosen:
             return
+        counts: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+            )
+
         for batch in each_batch(batches):
-            counts: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 own = terms_of(t)
                 counts.update(own if chosen is None else own & chosen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
-            )
+            if len(counts) > BROADCAST_TERMS:
+                yield counted()
+                counts.clear()
+        yield counted()
 
     counted = map_batches(texts, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return counted if few else counted.join(wanted, "term", "left_semi")
