@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 LONG_PIECE = 200  # longer pieces are encoded but not kept
 
 # Fixed pattern of the byte-level pre-tokenizer.
@@ -161,11 +161,13 @@ class SpacedEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, encode: Encode, dtype: np.dtype, specials: Sequence[str] = ()):
+    def __init__(
+        self, encode: Encode, dtype: np.dtype, specials: Sequence[str] = (), entries: int = CACHE_ENTRIES
+    ):
         ends = "|".join([r"\s", r"\Z", *map(re.escape, specials)])
         self.whole = re.compile(rf"\s[ \n](?:{ends})|{self.MARK}")
         self.encode, self.dtype = encode, dtype
-        self.cache = PieceCache(lambda pieces: encode([self.meaning(p) for p in pieces]))
+        self.cache = PieceCache(lambda pieces: encode([self.meaning(p) for p in pieces]), entries)
 
     def meaning(self, piece: str) -> str:
         if piece[:1] == self.MARK:

@@ -25,7 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from barlab.llm.chunks import BYTE_PATTERN, Ids, SpacedEncoder, per_worker, token_bytes
 from barlab.llm.common import each_batch, map_batches, text_column, tokenizer_path
 
-PRETOKENS = 300_000
+PRETOKENS, PIECES = 150_000, 300_000  # entries of the two caches of a worker
 
 
 class MergeQueue:
@@ -96,7 +96,7 @@ class QueueBpe:
         marks = sorted(map(regex.escape, self.specials), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(marks) + ")") if marks else None
         self.known: dict[str, tuple[int, ...]] = {}
-        self.texts = SpacedEncoder(self.encode, self.dtype, list(self.specials))
+        self.texts = SpacedEncoder(self.encode, self.dtype, list(self.specials), PIECES)
 
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.known.get(word)
@@ -166,10 +166,32 @@ def decode_ids(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: st
     return map_batches(encoded, run, StructType([*encoded.schema.fields, StructField(name, StringType())]))
 
 
+def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, decoded): encoded and decoded again in one pass, with one vocabulary per worker."""
+    path = tokenizer_path(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = per_worker(QueueBpe, path)
+        for batch in each_batch(batches):
+            own = bpe.ids(batch.column(1)).slices()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) for x in own], pa.int64()),
+                    pa.array([x.astype("<u4").tobytes() for x in own], pa.binary()),
+                    pa.array([bpe.decode(x.tolist()) for x in own], pa.string()),
+                ],
+                names=[key, "n_tokens", "ids", "decoded"],
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n_tokens long, ids binary, decoded string"
+    return map_batches(docs.select(key, text_column(text).alias("text")), run, schema)
+
+
 def round_trip_digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """Digests of each document's ids and of the text that they decode to."""
-    both = decode_ids(encode_texts(docs, tokenizer), tokenizer)
-    return both.select(
+    return round_trip(docs, tokenizer).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -68,6 +68,8 @@ def test_round_trip_query(docs):
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4")
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    apart = merge_queue.decode_ids(merge_queue.encode_texts(docs(rows))).collect()
+    assert sorted((r.n_tokens, r.decoded) for r in apart) == sorted((w[1], t or "") for w, (_, t) in zip(want, rows))
     assert merge_queue.round_trip_digest(docs([])).count() == 0
 
 
