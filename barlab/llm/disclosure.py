@@ -1,16 +1,18 @@
 """Personal data and the terms that give it away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each different value is an entity to protect.
-Corpus counts then say how strongly a term reveals an entity e. With document counts n(e), n(t) and n(e,t) (t within
-CONTEXT words of e) over N documents,
+Corpus counts then say how strongly a term reveals an entity e. With counts n(e), n(t) and n(e,t) (t within CONTEXT
+terms of e) over N different texts,
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)),
 
-which is 1 when every document with t also holds e. Terms at or above `remove_at` are removed, those at or above
-`generalise_at` are replaced by a general word, wherever they stand. A pair needs `min_docs` documents.
+which is 1 when every text with t has it beside e. Terms at or above `remove_at` are removed, those at or above
+`generalise_at` are replaced by a general word, wherever they stand. Personal data rarely repeat, so pairs of one text
+count, too: the term's own n(t) is what weighs against chance (with n(e) = n(e,t) = 1, a term of up to N^0.15 texts
+reaches 0.85). A larger `min_docs` would ask for pairs of more texts.
 
-Defined results: null and empty texts have no span (a null text stays null); repeated rows each count as a document
-and get equal results; an entity of all documents has no information content and reveals nothing; extra columns pass
+Defined results: null and empty texts have no span (a null text stays null); copies of a text count once (null and the
+empty text are two texts) and get equal results; an entity of all texts has no information content and reveals nothing; extra columns pass
 through; an empty table gives an empty table. Kinds may overlap; in the cleaned text the earliest, then longest span wins.
 """
 
@@ -19,11 +21,10 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
@@ -32,7 +33,7 @@ from barlab.llm.common import each_batch, free_name, map_batches, stored, text_c
 KINDS = ("email", "ip", "card", "phone")
 ANY = "*"  # stands for any entity in the counts
 CONTEXT = 10
-MIN_DOCS = 3
+MIN_DOCS = 1  # texts that a pair needs: every pair is scored
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
 BROADCAST_TERMS = 200_000  # terms in a broadcast, about 100 bytes each
 
@@ -112,6 +113,11 @@ def terms_of(text: str) -> set[str]:
     return {w.lower() for w in set(_TERM.findall(text))}
 
 
+def text_key(text: str) -> Column:
+    """A 64-bit key of the text; null and the empty text differ."""
+    return F.xxhash64(F.col(text).isNull(), F.col(text))
+
+
 def near(covered: list[tuple[int, int]], m: re.Match) -> list[tuple[int, int]]:
     """Spans that may touch the match."""
     return covered if len(covered) <= 64 else [c for c in covered if c[0] < m.end() and c[1] > m.start()]
@@ -164,44 +170,41 @@ def revealing_terms(
     remove_at: float = REMOVE_AT,
 ) -> DataFrame:
     """(term, disclosure, remove): every term whose strongest disclosure of an entity reaches `generalise_at`."""
-    texts = docs.select(text_column(text).alias("text"))
+    texts = docs.select(text_key(text).alias("h"), text_column(text).alias("text"))
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches):
-            entities, terms, counts = [], [], Counter()
-            n = 0
-            for t in batch.column(0).to_pylist():
-                n += 1
-                near_any = set()
+            rows: set[tuple] = set()
+            for h, t in zip(*(c.to_pylist() for c in batch.columns)):
                 for entity, own in context_terms(t, base_spans(t), context).items():
-                    counts[entity, None] += 1
-                    counts.update((entity, term) for term in own)
-                    near_any |= own
-                counts.update((ANY, term) for term in near_any)
-            counts[None, None] = n
-            entities, terms = [e for e, _ in counts], [t for _, t in counts]
+                    rows.add((h, entity, None))
+                    rows.update((h, name, term) for term in own for name in (entity, ANY))
+            keys, entities, terms = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["entity", "term", "n"],
+                [pa.array(keys, pa.int64()), pa.array(entities, pa.string()), pa.array(terms, pa.string())],
+                names=["h", "entity", "term"],
             )
 
-    counted = map_batches(texts, mentions, "entity string, term string, n long")
-    counted = stored(counted.groupBy("entity", "term").agg(F.sum("n").alias("n")), "disclosure-pairs")
-    total = counted.filter("entity is null").agg(F.sum("n")).first()[0] or 0
-    entity = counted.filter("entity is not null and term is null").select("entity", F.col("n").alias("n_e"))
+    total = texts.select("h").distinct().count()
+    counted = map_batches(texts, mentions, "h long, entity string, term string").distinct()
+    counted = stored(counted.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "disclosure-pairs")
+    entity = counted.filter("term is null").select("entity", F.col("n").alias("n_e"))
     pairs = counted.filter((F.col("entity") != ANY) & F.col("term").isNotNull() & (F.col("n") >= int(min_docs)))
     pairs = pairs.select("entity", "term", F.col("n").alias("n_et")).join(entity, "entity")
-    # a term is in at least as many documents as it is near any entity, which bounds its disclosure
+    # a term is in at least as many texts as it is near any entity, which bounds its disclosure
     near_any = counted.filter(F.col("entity") == ANY).select("term", F.col("n").alias("n_near"))
     most = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_near")))
     most = most / F.log(F.lit(float(total)) / F.col("n_e"))
     pairs = pairs.join(near_any, "term").filter((F.col("n_e") < total) & (most >= generalise_at - 1e-9)).drop("n_near")
     pairs = stored(pairs, "disclosure-candidates")
-    candidates = pairs.select("term").distinct()
+    # the largest n(t) with which the term still reaches generalise_at
+    enough = F.lit(float(total)) * F.col("n_et") / F.col("n_e")
+    enough = enough * F.pow(F.col("n_e") / F.lit(float(total)), F.lit(float(generalise_at)))
+    candidates = pairs.groupBy("term").agg(F.max(F.floor(enough * (1 + 1e-9))).cast("long").alias("at_most"))
     frequency = document_counts(texts, stored(candidates, "disclosure-terms"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
-    scored = pairs.join(frequency, "term").filter(F.col("n_e") < total)
+    scored = pairs.join(frequency, "term")
     strongest = scored.groupBy("term").agg(F.max(pmi / ic).alias("disclosure"))
     return strongest.filter(F.col("disclosure") >= generalise_at).select(
         "term", "disclosure", (F.col("disclosure") >= remove_at).alias("remove")
@@ -209,38 +212,54 @@ def revealing_terms(
 
 
 def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n_t): in how many texts each wanted term occurs.
+    """(term, n_t): in how many different texts (by `h`) each wanted term occurs.
 
-    Few terms (by count) are sent to the tasks; otherwise all terms are counted, then joined. A task holds a
-    bounded number of counts.
+    The count is exact up to `at_most`; of a more frequent term it is only known to be larger, as a task passes on no
+    more than `at_most` + 1 texts of it. Few terms (by count) are sent to the tasks; otherwise all terms are counted up
+    to the largest `at_most`, then joined. A task holds a bounded number of pairs.
     """
     few = wanted.count() <= BROADCAST_TERMS
+    most = wanted.agg(F.max("at_most")).first()[0] or 0
     held = texts.sparkSession.sparkContext.broadcast(
-        frozenset(r["term"] for r in wanted.collect()) if few else None
+        {r["term"]: r["at_most"] for r in wanted.collect()} if few else None
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = held.value
         if chosen is not None and not chosen:
             return
-        counts: Counter = Counter()
+        found: dict[str, set[int]] = {}
+        told: set[str] = set()
+        n = 0
 
-        def counted() -> pa.RecordBatch:
+        def pairs() -> pa.RecordBatch:
+            rows = [(w, h) for w, own in found.items() for h in own]
+            words, keys = zip(*rows) if rows else ((), ())
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+                [pa.array(words, pa.string()), pa.array(keys, pa.int64())], names=["term", "h"]
             )
 
         for batch in each_batch(batches):
-            for t in batch.column(0).to_pylist():
+            for h, t in zip(*(c.to_pylist() for c in batch.columns)):
                 own = terms_of(t)
-                counts.update(own if chosen is None else own & chosen)
-            if len(counts) > BROADCAST_TERMS:
-                yield counted()
-                counts.clear()
-        yield counted()
-
-    counted = map_batches(texts, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    return counted if few else counted.join(wanted, "term", "left_semi")
+                for w in own if chosen is None else own & chosen.keys():
+                    if w in told:
+                        continue
+                    keys = found.setdefault(w, set())
+                    n += h not in keys
+                    keys.add(h)
+                    if len(keys) > (most if chosen is None else chosen[w]):
+                        told.add(w)
+                if n > 4 * BROADCAST_TERMS:
+                    yield pairs()
+                    found.clear()
+                    n = 0
+        yield pairs()
+
+    pairs = map_batches(texts, count, "term string, h long")
+    if not few:
+        pairs = pairs.join(wanted, "term", "left_semi")
+    return pairs.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", **limits: float) -> tuple[DataFrame, str, str]:

@@ -150,6 +150,20 @@ def test_terms_that_reveal_an_entity_are_found_and_cleaned(docs, monkeypatch):
     assert row[1:5] == (1, 0, 0, 0) and row[5] == disclosure.plain_digest(private_rows()[0][1])
 
 
+def test_terms_beside_an_entity_of_one_text_are_found_and_copies_count_once(docs, monkeypatch):
+    one = "Write to Quillfeather via kim.ng@mail.example.com please"
+    rows = [(i, f) for i, f in enumerate(FACTS)] + [(100, one)]
+    rows += [(200 + i, f"please use the door {f}") for i, f in enumerate(FACTS[:30])]
+    terms = {r.term: r for r in disclosure.revealing_terms(docs(rows)).collect()}
+    assert terms["quillfeather"].disclosure == pytest.approx(1) and terms["quillfeather"].remove
+    assert "please" not in terms and "number" not in terms  # in 31 and 90 of 91 texts
+    monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
+    more = docs(rows + [(300 + i, one) for i in range(40)] + [(400 + i, FACTS[0]) for i in range(40)])
+    assert {r.term: r for r in disclosure.revealing_terms(more).collect()} == terms
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs(rows)).collect()}
+    assert "Quillfeather" not in clean[100] and "please" in clean[100] and clean[3] == FACTS[3]
+
+
 def test_escaping_is_reversible_and_leaves_no_control_string():
     random.seed(5)
     bits = ["\\", "#", "###", "</turn>", "</tu", "rn>", "h", "t", "n", "\n", "a", "\\h", "é"]
