@@ -29,8 +29,6 @@ from barlab.operators import stability as stab
 from barlab.session import materialise
 
 PAIR = ("log_return_1d", "log_return_5d")
-# A short boosting run for the registered queries; fit_trees defaults to the full baseline.
-SHORT_TREES = {"maxIter": 5, "maxDepth": 3}
 
 
 def splits_li(spark, sf_dir, *columns):
@@ -157,7 +155,7 @@ def ridge_ml_agreement(spark, sf_dir):
 def tree_evaluation(spark, sf_dir):
     """Boosted trees against the zero model, per root and pooled, on validation."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
-    trees = mod.fit_trees(wide.where("split = 'train'"), _OWN, TARGET, roots=LI_ROOTS, **SHORT_TREES)
+    trees = mod.fit_trees(wide.where("split = 'train'"), _OWN, TARGET, roots=LI_ROOTS)
     scored = mod.score(
         wide.where("split = 'validation'"),
         {"trees": trees.transform, "zero": lambda df: df.withColumn("prediction", F.lit(0.0))},
@@ -173,9 +171,7 @@ def training_size_study(spark, sf_dir):
     models = {}
     for cap in (100, 200, 400):
         sample = mod.training_sample(train, ["ts", "root", *_OWN, TARGET], cap, DAY, tile_units=LI_TILE)
-        models[f"{cap:05d}"] = mod.fit_trees(
-            materialise(sample), _OWN, TARGET, roots=LI_ROOTS, **SHORT_TREES
-        ).transform
+        models[f"{cap:05d}"] = mod.fit_trees(materialise(sample), _OWN, TARGET, roots=LI_ROOTS).transform
     table = met.regression_metrics(
         mod.score(held, models).select("model", TARGET, "prediction"), ["model"], TARGET, "prediction", spearman=False
     )

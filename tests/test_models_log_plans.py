@@ -1,12 +1,14 @@
 """Ridge, importance, event log, checkpoints, sources and plans."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from barlab.functions.clock import MINUTE
 from barlab.operators import models as mod
 from barlab.operators import prospective as pro
@@ -17,6 +19,7 @@ from barlab.streaming.log_stream import follow_features
 from tests.conftest import START
 
 FEATURES = ("x", "z")
+SF = "/root/testdata/sf0.001"
 
 
 def ridge_rows(spark, n=60):
@@ -73,6 +76,24 @@ def test_trees_and_score(spark):
     assert errors["trees"] < errors["zero"]
 
 
+SHORT_TREES = {"maxIter": 2, "maxDepth": 2}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+@pytest.mark.parametrize("name, fits", [("tree_evaluation", 1), ("training_size_study", 3)])
+def test_registered_tree_queries_ask_for_the_full_baseline(spark, monkeypatch, name, fits):
+    asked, fit = [], mod.fit_trees
+
+    def short(*args, **given):
+        asked.append({**mod.TREE_PARAMETERS, **{k: v for k, v in given.items() if k in mod.TREE_PARAMETERS}})
+        return fit(*args, **{**given, **SHORT_TREES})
+
+    monkeypatch.setattr(mod, "fit_trees", short)
+    entry.queries()[name](spark, SF)
+    assert asked == [mod.TREE_PARAMETERS] * fits
+    assert (mod.TREE_PARAMETERS["maxIter"], mod.TREE_PARAMETERS["maxDepth"]) == (150, 5)
+
+
 def test_root_one_hot_has_no_column_for_unknown_roots(spark):
     df = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("B", 3.0)], "root string, x double")
     fitted = mod.root_pipeline(["x"]).fit(df)
