@@ -12,6 +12,7 @@ from barlab.catalog.market_queries import CUTOFF
 from barlab.catalog.metric_queries import FEAT_LI, LAST, TARGET, VOL, features_li
 from barlab.catalog.registry import register, report
 from barlab.functions.clock import DAY
+from barlab.operators import features as feat
 from barlab.operators import prospective as pro
 from barlab.operators import segments as seg
 from barlab.operators.profile import distribution_profile, tertiles
@@ -162,12 +163,11 @@ def frozen_predictions(inputs):
     )
 
 
-def run_log(spark, sf_dir, repeats=1):
+def run_log(spark, sf_dir, repeats=1, columns=(LAST, VOL)):
     """Predictions, then outcomes, appended ``repeats`` times; returns (features, log path, schema)."""
+    wanted = dict.fromkeys([LAST, VOL, *columns, TARGET, "rolling_vwap_240d"])
     features = materialise(
-        features_li(spark, sf_dir).select(
-            "ts", "root", "instrument_id", "contract_segment_id", LAST, VOL, TARGET, "rolling_vwap_240d"
-        )
+        features_li(spark, sf_dir).select("ts", "root", "instrument_id", "contract_segment_id", *wanted)
     )
     cutoff, path, schema = moment(CUTOFF), scratch_path(spark, "log"), log_schema(spark)
     inputs = pro.prospective_inputs(features, DAY, cutoff, [LAST, VOL])
@@ -312,17 +312,20 @@ def window_events(spark, sf_dir):
 
 @register("confirmation_report")
 def confirmation_report(spark, sf_dir):
-    """Metrics, deciles, regimes and drift of every frozen model over its logged outcomes."""
-    features, path, schema = run_log(spark, sf_dir)
+    """Metrics, deciles, regimes and drift of every frozen model, per closed window and over all outcomes so far."""
+    own = feat.own_feature_names(DAY)
+    features, path, schema = run_log(spark, sf_dir, columns=own)
     cutoff = moment(CUTOFF)
     past = features.where(before_cutoff(DAY, TARGET, cutoff))
-    inputs = pro.prospective_inputs(features, DAY, cutoff, [LAST, VOL])
+    inputs = pro.prospective_inputs(features, DAY, cutoff, own)
     log = eventlog.read_event_log(spark, path, schema)
     return report(
         pro.confirmation_report(
             log.where(F.col("event_type") == pro.OUTCOME), inputs,
-            distribution_profile(past, [LAST, VOL]), tertiles(past, VOL),
-            TARGET, VOL, [LAST, VOL], DAY, tile_units=LI_TILE,
+            distribution_profile(past, own, ["root"]), tertiles(past, VOL),
+            TARGET, VOL, own, DAY, tile_units=LI_TILE,
+            windows=pro.checkpoint_windows(inputs, CUTOFF, DAYS_AFTER, LI_ROOTS),
+            models=log.select("model_id", "root"),
         )
     )
 

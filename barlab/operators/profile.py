@@ -51,16 +51,25 @@ def distribution_profile(
     )
 
 
-def drift_profile(history: DataFrame, recent: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Two profiles side by side; the shift is in units of the historical spread."""
+def drift_profile(
+    history: DataFrame, recent: DataFrame, keys: Sequence[str] = (), spans: Sequence[str] = ()
+) -> DataFrame:
+    """Two profiles side by side; the shift is in units of the historical spread.
+
+    With ``spans`` (further keys of ``recent`` only) each of their values meets the whole history.
+    """
     by = [*keys, "feature"]
     picked = ("median", "iqr", "missing_rate")
     old = history.select(*by, *[F.col(c).alias(f"historical_{c}") for c in picked])
-    new = recent.select(*by, *[F.col(c).alias(f"prospective_{c}") for c in picked])
+    new = recent.select(*spans, *by, *[F.col(c).alias(f"prospective_{c}") for c in picked])
     shift = F.when(
         F.col("historical_iqr") > 0,
         safe_ratio(F.col("prospective_median") - F.col("historical_median"), F.col("historical_iqr")),
     )
+    if spans:
+        seen = recent.select(*spans).distinct().withColumn("_all", F.lit(0))
+        old = old.withColumn("_all", F.lit(0)).join(F.broadcast(seen), "_all").drop("_all")
+        by = [*spans, *by]
     return old.join(new, by, "left").withColumn("median_shift_in_historical_iqr", shift)
 
 

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from barlab.functions.clock import MINUTE
+from barlab.functions.clock import DAY, MINUTE
 from barlab.operators import models as mod
 from barlab.operators import prospective as pro
 from barlab.operators import quality as qual
+from barlab.operators.profile import distribution_profile, tertiles
 from barlab.plans import requests as plan
 from barlab.sources import dataset, eventlog, manifest
 from barlab.streaming.log_stream import follow_features
@@ -161,6 +162,31 @@ def test_log_is_append_only_and_idempotent(spark, tmp_path):
     assert log.where(f"event_type = 'prediction' and {TARGET} is not null").isEmpty()
 
 
+def test_drift_is_told_per_model_root_and_closed_window(spark):
+    """Two roots drift against each other, and only after the first window."""
+    days = [*range(-8, 0), *range(1, 9)]
+    rows = [
+        (START + timedelta(days=d), root, 1, 1, float(d % 4 + (sign * 10 if d > 4 else 0)), 0.1 * (d % 3), 1.0)
+        for root, sign in (("A", 1), ("B", -1)) for d in days
+    ]
+    df = spark.createDataFrame(rows, "ts timestamp, root string, instrument_id bigint, contract_segment_id bigint, f double, "
+                                     "future_return_1d double, rolling_vwap_240d double")
+    past, target = df.where(F.col("ts") < moment(0)), "future_return_1d"
+    inputs = pro.prospective_inputs(df, DAY, moment(0), ["f"])
+    events = pro.prediction_events(inputs.withColumn("prediction", F.col("f")), F.concat("root", F.lit("-m")), target, "v", moment(0))
+    done = pro.attach_outcomes(events, pro.prospective_outcomes(df, DAY, moment(0), target), target, moment(0))
+    windows = pro.checkpoint_windows(inputs, START, (5, 99), ("A", "B"))
+    out = pro.confirmation_report(
+        done, inputs, distribution_profile(past, ["f"], ["root"]), tertiles(past, "f"), target, "f", ["f"], DAY, windows=windows
+    ).collect()
+    drift = {(r.days, r.model_id, r.metric): r.value for r in out if r.section == "drift"}
+    shift = {k[:2]: v for k, v in drift.items() if k[2] == "median_shift_in_historical_iqr"}
+    assert set(shift) == {(d, f"{r}-m") for d in (0, 5) for r in "AB"}
+    assert shift[5, "A-m"] == shift[5, "B-m"] == 0 and shift[0, "A-m"] > 1 > -1 > shift[0, "B-m"]
+    seen = {(r.days, r.model_id): r.value for r in out if (r.section, r.metric) == ("overall", "observations")}
+    assert seen == {(0, "A-m"): 8, (0, "B-m"): 8, (5, "A-m"): 4, (5, "B-m"): 4}
+
+
 def test_repeated_keys_in_a_batch_are_refused(spark, tmp_path):
     events = events_of(source(spark, [1]))
     with pytest.raises(RuntimeError):
