@@ -13,7 +13,7 @@ reaches 0.85). A larger `min_docs` would ask for pairs of more texts.
 
 Defined results: null and empty texts have no span (a null text stays null); copies of a text count once (null and the
 empty text are two texts) and get equal results; an entity of all texts has no information content and reveals nothing; extra columns pass
-through; an empty table gives an empty table. Kinds may overlap; in the cleaned text the earliest, then longest span wins.
+through; an empty table gives an empty table. Kinds may overlap; in the cleaned text the earliest, then longest span names what they cover together.
 """
 
 from __future__ import annotations
@@ -124,11 +124,13 @@ def near(covered: list[tuple[int, int]], m: re.Match) -> list[tuple[int, int]]:
 
 
 def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans without overlap: by start, the longer first."""
+    """Spans without overlap: by start, the longer first; one that reaches further extends the one before it."""
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if not out or a >= out[-1][1]:
             out.append((a, b, kind))
+        elif b > out[-1][1]:
+            out[-1] = (out[-1][0], b, out[-1][2])
     return out
 
 

@@ -164,6 +164,15 @@ def test_terms_beside_an_entity_of_one_text_are_found_and_copies_count_once(docs
     assert "Quillfeather" not in clean[100] and "please" in clean[100] and clean[3] == FACTS[3]
 
 
+def test_overlapping_spans_are_covered_whole():
+    for text, want in (
+        ("at 10.0.0.4 111 1111 1111 1111 now", "at [ip] now"),
+        ("4111 1111 1111 1111jane@mail.example.com x", "[card] x"),
+    ):
+        assert len(disclosure.base_spans(text)) == 2
+        assert disclosure.cleaned(text, disclosure.base_spans(text)) == want
+
+
 def test_escaping_is_reversible_and_leaves_no_control_string():
     random.seed(5)
     bits = ["\\", "#", "###", "</turn>", "</tu", "rn>", "h", "t", "n", "\n", "a", "\\h", "é"]
