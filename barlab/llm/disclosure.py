@@ -1,6 +1,7 @@
 """Personal data and the terms that give it away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each different value is an entity to protect.
+A term is a run of letters and digits of any length outside what the patterns find.
 Corpus counts then say how strongly a term reveals an entity e. With counts n(e), n(t) and n(e,t) (t within CONTEXT
 terms of e) over N different texts,
 
@@ -32,7 +33,7 @@ from barlab.llm.common import each_batch, free_name, map_batches, stored, text_c
 
 KINDS = ("email", "ip", "card", "phone")
 ANY = "*"  # stands for any entity in the counts
-CONTEXT = 10
+CONTEXT = 20
 MIN_DOCS = 1  # texts that a pair needs: every pair is scored
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
 BROADCAST_TERMS = 200_000  # terms in a broadcast, about 100 bytes each
@@ -43,7 +44,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -99,8 +100,7 @@ def context_terms(text: str, spans: list[tuple[str, int, int]], context: int = C
     out: dict[str, set[str]] = {}
     if not spans:
         return out
-    covered = [(a, b) for _, a, b in spans]
-    terms = [m for m in _TERM.finditer(text) if not any(a < m.end() and m.start() < b for a, b in near(covered, m))]
+    terms = list(free_terms(text, spans))
     starts = [m.start() for m in terms]
     for kind, a, b in spans:
         own = out.setdefault(entity_of(kind, text[a:b]), set())
@@ -109,8 +109,20 @@ def context_terms(text: str, spans: list[tuple[str, int, int]], context: int = C
     return out
 
 
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Runs of letters and digits that touch no span."""
+    taken, i = merged([(a, b, k) for k, a, b in spans]), 0
+    for m in _TERM.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or taken[i][0] >= m.end():
+            yield m
+
+
 def terms_of(text: str) -> set[str]:
-    return {w.lower() for w in set(_TERM.findall(text))}
+    """The lower-case terms outside the base spans."""
+    spans = base_spans(text)
+    return {m[0].lower() for m in free_terms(text, spans)} if spans else {w.lower() for w in set(_TERM.findall(text))}
 
 
 def text_key(text: str) -> Column:
@@ -118,11 +130,6 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
-def near(covered: list[tuple[int, int]], m: re.Match) -> list[tuple[int, int]]:
-    """Spans that may touch the match."""
-    return covered if len(covered) <= 64 else [c for c in covered if c[0] < m.end() and c[1] > m.start()]
-
-
 def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans without overlap: by start, the longer first; one that reaches further extends the one before it."""
     out: list[tuple[int, int, str]] = []
@@ -138,15 +145,11 @@ def term_spans(text: str, base: list[tuple[str, int, int]], terms: dict[str, boo
     """Spans of revealing terms outside the base spans; kind `removed` or `term`."""
     if not terms:
         return []
-    taken = merged([(a, b, k) for k, a, b in base])
-    ends = [b for _, b, _ in taken]
     out = []
-    for m in _TERM.finditer(text):
+    for m in free_terms(text, base):
         word = m[0].lower()
         if word in terms:
-            i = bisect_left(ends, m.start() + 1)
-            if i == len(taken) or taken[i][0] >= m.end():
-                out.append(("removed" if terms[word] else "term", m.start(), m.end()))
+            out.append(("removed" if terms[word] else "term", m.start(), m.end()))
     return out
 
 

@@ -173,6 +173,18 @@ def test_overlapping_spans_are_covered_whole():
         assert disclosure.cleaned(text, disclosure.base_spans(text)) == want
 
 
+def test_short_and_mixed_terms_are_found_and_common_ones_stay(docs):
+    one = "Ng of flat 7b, customer 48213, writes from ng@mail.example.com about it"
+    rows = [(i, f"{f} of it, 555 in all {i % 7}") for i, f in enumerate(FACTS * 7)]
+    rows += [(1000, one), (1001, "48213 rang, call +1 555 0148213")]
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs(rows)).collect()}
+    words = set(re.findall(r"\w+", clean[1000]))
+    assert not words & {"Ng", "7b", "48213"} and {"of", "about", "it", "email"} <= words
+    assert "48213" not in clean[1001] and clean[3] == rows[3][1]
+    far = "Ng " + "of it " * 9 + "ng@mail.example.com"  # 18 terms lie between
+    assert "ng" in disclosure.context_terms(far, disclosure.base_spans(far))["email:ng@mail.example.com"]
+
+
 def test_escaping_is_reversible_and_leaves_no_control_string():
     random.seed(5)
     bits = ["\\", "#", "###", "</turn>", "</tu", "rn>", "h", "t", "n", "\n", "a", "\\h", "é"]
