@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barlab.llm import license_scan as lic
 from barlab.llm import quality_rules as rules
 
 
@@ -38,3 +39,57 @@ f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
   FROM w JOIN pl USING (doc_id) LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED} * n_words AS base_failed FROM f)
 SELECT *, NOT base_failed AND lost <= {rules.MAX_LOST} AS kept FROM b"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _terms(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}')"
+    return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+RANKED = rf"""WITH t AS (SELECT r, doc_id, unnest(ws) AS term FROM (
+  SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS ws FROM documents)),
+p AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM t GROUP BY r, term),
+dl AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY r),
+c AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM dl),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, nn),
+i AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id,
+  CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN dl USING (r), c GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank,
+  doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+
+def _gram_values() -> str:
+    rows = lic.template_grams(lic.BASE + lic.NOTICES)
+    return ", ".join("(" + ", ".join(f"'{_quoted(v)}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+LICENSES = rf"""WITH g AS (SELECT * FROM (VALUES {_gram_values()}) AS v(tp, label, base, len, p, w0, w1, w2)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS ws FROM documents),
+e AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d),
+m AS (SELECT r, tp, label, base, len, i - 1 - p AS dg, p FROM e JOIN g ON ws[i] = w0 AND ws[i + 1] = w1 AND ws[i + 2] = w2),
+dg AS (SELECT r, tp, label, base, len, dg, list_sort(list(DISTINCT p)) AS ps, dg + min(p) AS a, dg + max(p) + {lic.K} AS z
+  FROM m GROUP BY r, tp, label, base, len, dg),
+b AS (SELECT r, label, a, 1.0 AS score FROM dg WHERE base AND len(ps) = len - {lic.K - 1}),
+n1 AS (SELECT *, coalesce(a - max(z) OVER (PARTITION BY r, tp ORDER BY a, dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {lic.MAX_GAP}
+  OR abs(dg - lag(dg) OVER (PARTITION BY r, tp ORDER BY a, dg)) > {lic.MAX_SHIFT}, true) AS fresh FROM dg WHERE NOT base),
+n2 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY r, tp ORDER BY a, dg ROWS UNBOUNDED PRECEDING) AS ch FROM n1),
+n3 AS (SELECT *, max(z) OVER (PARTITION BY r, tp, ch) - min(a) OVER (PARTITION BY r, tp, ch) <= len + {lic.MAX_SHIFT} AS fits FROM n2),
+n4 AS (SELECT r, tp, label, len, a, z, unnest(ps) AS p, ch, CASE WHEN fits THEN NULL ELSE dg END AS pt FROM n3),
+n5 AS (SELECT r, tp, label, len, min(a) AS a, max(z) AS z, len(list_distinct(flatten(list([p, p + 1, p + 2])))) AS cov
+  FROM n4 GROUP BY r, tp, label, len, ch, pt),
+n6 AS (SELECT *, coalesce(a >= max(z) OVER (PARTITION BY r ORDER BY a, z, tp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh
+  FROM n5 WHERE cov * 10 >= len * 9),
+n7 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY r ORDER BY a, z, tp ROWS UNBOUNDED PRECEDING) AS grp FROM n6),
+n8 AS (SELECT r, label, cov / len AS score FROM n7 QUALIFY cov = max(cov) OVER (PARTITION BY r, grp)),
+bs AS (SELECT r, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM (SELECT r, label, score FROM b UNION ALL SELECT r, label, score FROM n8) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN al USING (r)"""
