@@ -8,8 +8,8 @@ is longer than its template by more than MAX_SHIFT words holds repeats; there ea
 
 A span is accepted where at least 9 of 10 template words are covered by votes (so templates of less than ten words
 must stand there whole). Votes hold equal words, not only equal hashes. Of accepted spans that overlap, directly or
-through others, those with the most covered words stay: a notice of version 2 is not one of version 3 as well. Spans
-of base phrases are whole matches and always stay.
+through others, those with the most covered words stay, and of these the ones with the shortest template: a notice of
+version 2 is not one of version 3 as well. Spans of base phrases are whole matches and always stay.
 
 Defined results: a null text has no words; words are stretches of ASCII letters and digits and of all characters
 beyond ASCII, only A-Z are lower-cased. Rows that repeat key and text get the same result each, rows of one key with
@@ -188,14 +188,14 @@ def accepted_spans(met: DataFrame) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"),
         _covered(F.array_sort(F.collect_set("place"))).alias("covered"),
     ).where(F.col("covered") * 10 >= F.col("length") * 9)
-    # of spans that overlap, the ones that cover most
+    # of spans that overlap, the ones that cover most words, and the largest share of their template
     row = Window.partitionBy("key", "text_hash").orderBy("start", "end", "template")
     reach = F.max("end").over(row.rowsBetween(Window.unboundedPreceding, -1))
     group = merged.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn(
         "_group", F.sum("_new").over(row)
     )
-    most = F.max("covered").over(Window.partitionBy("key", "text_hash", "_group"))
-    best = group.withColumn("_most", most).where(F.col("covered") == F.col("_most"))
+    by_cover = Window.partitionBy("key", "text_hash", "_group").orderBy(F.desc("covered"), "length")
+    best = group.withColumn("_place", F.rank().over(by_cover)).where(F.col("_place") == 1)
     return whole.unionByName(best.select(*whole.columns))
 
 

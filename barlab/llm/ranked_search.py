@@ -285,8 +285,8 @@ def _block(docs: DataFrame, asked: list[tuple[object, list[bytes]]], key: str, t
                 search(segment.item(own), keys, best)
         for i, best in enumerate(kept):
             if best.heap:
-                scores, found = (np.array(x, np.int64) for x in zip(*best.heap))
-                found = -found
+                scores = np.array([score for score, _ in best.heap], np.int64)
+                found = np.array([-key for _, key in best.heap], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(found), i, np.int32)), pa.array(found, mask=found == _NULL_KEY), pa.array(scores)],
                     names=["number", "key", "score"],

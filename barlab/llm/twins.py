@@ -85,7 +85,7 @@ n5 AS (SELECT r, tp, label, len, min(a) AS a, max(z) AS z, len(list_distinct(fla
 n6 AS (SELECT *, coalesce(a >= max(z) OVER (PARTITION BY r ORDER BY a, z, tp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh
   FROM n5 WHERE cov * 10 >= len * 9),
 n7 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY r ORDER BY a, z, tp ROWS UNBOUNDED PRECEDING) AS grp FROM n6),
-n8 AS (SELECT r, label, cov / len AS score FROM n7 QUALIFY cov = max(cov) OVER (PARTITION BY r, grp)),
+n8 AS (SELECT r, label, cov / len AS score FROM n7 QUALIFY rank() OVER (PARTITION BY r, grp ORDER BY cov DESC, len) = 1),
 bs AS (SELECT r, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
   FROM (SELECT r, label, score FROM b UNION ALL SELECT r, label, score FROM n8) GROUP BY r)
