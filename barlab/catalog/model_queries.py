@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlab.catalog import sql as q
-from barlab.catalog.bars import LI_ANCHORS, LI_ROOTS, LI_TILE, seg_su
+from barlab.catalog.bars import LI_ANCHORS, LI_TILE, seg_su
 from barlab.catalog.market_queries import market_li
 from barlab.catalog.metric_queries import (
     ELIGIBLE_LI,
     FEAT_LI,
+    FOLDS_SQL,
     PURGE,
     TARGET,
     eligible_li,
-    features_li,
     folds_li,
 )
 from barlab.catalog.registry import register, report
@@ -21,6 +21,7 @@ from barlab.functions.clock import DAY
 from barlab.operators import cross
 from barlab.operators import features as feat
 from barlab.operators import labels as lab
+from barlab.operators import linear as lin
 from barlab.operators import metrics as met
 from barlab.operators import models as mod
 from barlab.operators import quality as qual
@@ -76,10 +77,9 @@ w AS (SELECT (d * p - b * r) / (a * d - b * b) AS wx, (a * r - b * p) / (a * d -
 )
 def ridge_all_suppliers(spark, sf_dir):
     """Exact ridge over all supplier bars against its closed form."""
-    rows = lab.add_future_labels(
-        feat.add_exact_returns(seg_su(spark, sf_dir), DAY, (1, 5)), DAY, (1,)
-    ).select("root", *PAIR, TARGET).where(F.col(TARGET).isNotNull())
-    model = mod.fit_ridge(materialise(rows), PAIR, TARGET, include_root=False, roots=())
+    families = [feat.returns(DAY, (1, 5)), lab.labels(DAY, (1,))]
+    rows = feat.add_families(seg_su(spark, sf_dir), families, 5, 1).select("root", *PAIR, TARGET).where(F.col(TARGET).isNotNull())
+    model = mod.fit_ridge(materialise(rows), PAIR, TARGET, include_root=False)
     table = mod.coefficient_table(rows, model)
     return report(
         table.select("feature", "coefficient", F.lit(model.training_rows).cast("bigint").alias("training_rows"))
@@ -91,7 +91,7 @@ def ridge_coefficients(spark, sf_dir):
     """Fifteen largest weights of the ridge on own features and anchors."""
     rows = materialise(market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET)))
     features = cross.experiment_features("B", DAY, LI_ANCHORS)
-    model = mod.fit_ridge(rows, features, TARGET, roots=LI_ROOTS)
+    model = mod.fit_ridge(rows, features, TARGET)
     return report(mod.coefficient_table(rows, model, top=15))
 
 
@@ -108,7 +108,7 @@ def ridge_evaluation(spark, sf_dir):
         features = cross.experiment_features(name, DAY, LI_ANCHORS)
         cross.check_feature_columns(features, DAY)
         sample = mod.training_sample(train, ["ts", "root", *features, TARGET], 400, DAY, tile_units=LI_TILE)
-        models[f"ridge_{name}"] = mod.fit_ridge(materialise(sample), features, TARGET, roots=LI_ROOTS).transform
+        models[f"ridge_{name}"] = mod.fit_ridge(materialise(sample), features, TARGET).transform
     models["zero"] = lambda df: df.withColumn("prediction", F.lit(0.0))
     models["persistence"] = lambda df: df.withColumn("prediction", F.col("log_return_1d"))
     models["reversal"] = lambda df: df.withColumn("prediction", -F.col("log_return_1d"))
@@ -122,8 +122,8 @@ def ridge_capped_vs_full(spark, sf_dir):
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
     train = wide.where("split = 'train'")
     capped = materialise(mod.training_sample(train, ["ts", "root", *_OWN, TARGET], 200, DAY, tile_units=LI_TILE))
-    full = mod.fit_ridge(train, _OWN, TARGET, roots=LI_ROOTS)
-    small = mod.fit_ridge(capped, _OWN, TARGET, roots=LI_ROOTS, medians=full.prep.medians)
+    full = mod.fit_ridge(train, _OWN, TARGET)
+    small = mod.fit_ridge(capped, _OWN, TARGET, medians=full.prep.medians)
     scored = mod.score(
         wide.where("split = 'validation'"), {"full": full.transform, "capped": small.transform}
     )
@@ -140,12 +140,13 @@ def ridge_ml_agreement(spark, sf_dir):
     """Largest gap between the exact ridge and the pyspark.ml one on held-out rows."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
     train = wide.where("split = 'train'")
-    exact = mod.fit_ridge(train, _OWN, TARGET, roots=LI_ROOTS)
-    other = mod.ridge_by_ml(train, exact.prep, TARGET)
+    exact = mod.fit_ridge(train, _OWN, TARGET)
+    prep = mod.fit_preprocessor(train, _OWN, medians=exact.prep.medians)
+    other = mod.ridge_by_ml(train, prep, TARGET)
     held = wide.where("split = 'test'")
-    both = other.transform(mod.assemble(held, exact.prep, True)).withColumnRenamed("prediction", "ml")
+    both = other.transform(mod.assemble(held, prep, True)).withColumnRenamed("prediction", "ml").drop("features")
     return report(
-        both.withColumn("exact", exact.column()).agg(
+        exact.transform(both).withColumnRenamed("prediction", "exact").agg(
             F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("ml") - F.col("exact"))).alias("largest_gap")
         )
     )
@@ -155,7 +156,7 @@ def ridge_ml_agreement(spark, sf_dir):
 def tree_evaluation(spark, sf_dir):
     """Boosted trees against the zero model, per root and pooled, on validation."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
-    trees = mod.fit_trees(wide.where("split = 'train'"), _OWN, TARGET, roots=LI_ROOTS)
+    trees = mod.fit_trees(wide.where("split = 'train'"), _OWN, TARGET)
     scored = mod.score(
         wide.where("split = 'validation'"),
         {"trees": trees.transform, "zero": lambda df: df.withColumn("prediction", F.lit(0.0))},
@@ -171,7 +172,7 @@ def training_size_study(spark, sf_dir):
     models = {}
     for cap in (100, 200, 400):
         sample = mod.training_sample(train, ["ts", "root", *_OWN, TARGET], cap, DAY, tile_units=LI_TILE)
-        models[f"{cap:05d}"] = mod.fit_trees(materialise(sample), _OWN, TARGET, roots=LI_ROOTS).transform
+        models[f"{cap:05d}"] = mod.fit_trees(materialise(sample), _OWN, TARGET).transform
     table = met.regression_metrics(
         mod.score(held, models).select("model", TARGET, "prediction"), ["model"], TARGET, "prediction", spearman=False
     )
@@ -182,24 +183,22 @@ def training_size_study(spark, sf_dir):
     )
 
 
+def scored_models(held, features, pooled, effects, dedicated):
+    """(fold, model, root, target, prediction): every held row by the pooled model and by its root's own."""
+    keep = ("fold", "model", "root", TARGET, "prediction")
+    by_all = lin.score_linear(held, features, pooled, effects).withColumn("model", F.lit("pooled"))
+    by_own = lin.score_linear(held, features, dedicated, on=("fold", "root")).withColumn("model", F.lit("dedicated"))
+    return by_all.select(*keep).unionByName(by_own.select(*keep))
+
+
 @register("dedicated_vs_pooled")
 def dedicated_vs_pooled(spark, sf_dir):
-    """One ridge per root against the pooled ridge, on each root's own test rows."""
+    """One ridge per root against the pooled ridge, on each root's own test rows; one pass over the training rows."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
-    train, held = wide.where("split = 'train'"), wide.where("split = 'test'")
-    pooled = mod.fit_ridge(train, _OWN, TARGET, roots=LI_ROOTS).column()
-    own = F.lit(None).cast("double")
-    for root in LI_ROOTS:
-        fitted = mod.fit_ridge(
-            train.where(F.col("root") == root), _OWN, TARGET, roots=(), include_root=False
-        )
-        own = F.when(F.col("root") == root, fitted.column()).otherwise(own)
-    pairs = F.array(
-        F.struct(F.lit("pooled").alias("model"), pooled.alias("prediction")),
-        F.struct(F.lit("dedicated").alias("model"), own.alias("prediction")),
-    )
-    scored = held.select("root", TARGET, F.explode(pairs).alias("_m")).select("root", TARGET, "_m.*")
-    table = met.regression_metrics(scored, ["root", "model"], TARGET, "prediction")
+    stats = lin.fold_statistics(wide.where("split = 'train'"), _OWN, TARGET)
+    held = wide.where("split = 'test'").withColumn("fold", F.lit("all"))
+    scored = scored_models(held, _OWN, *lin.fit_pooled(stats), lin.fit_per_root(stats))
+    table = met.regression_metrics(scored.drop("fold"), ["root", "model"], TARGET, "prediction")
     return report(stab.paired_deltas(table, ["root"], "model", "dedicated", "pooled"))
 
 
@@ -207,27 +206,184 @@ def dedicated_vs_pooled(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     """R² lost on all validation rows when one feature is shuffled."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
-    model = mod.fit_ridge(wide.where("split = 'train'"), _OWN, TARGET, roots=LI_ROOTS)
+    model = mod.fit_ridge(wide.where("split = 'train'"), _OWN, TARGET)
     held = wide.where("split = 'validation'").select("ts", "root", *_OWN, TARGET)
     return report(
         mod.permutation_importance(held, _OWN, TARGET, model.transform, DAY, tile_units=LI_TILE)
     )
 
 
+def training_ends(folds):
+    """Fold names and the ends of their training rows, and the common start."""
+    return {f.fold: f.train_end for f in folds}, folds[0].train_start
+
+
 @register("walk_forward_ridge")
 def walk_forward_ridge(spark, sf_dir):
-    """Ridge refitted on each expanding fold with its own medians, scored on the fold's evaluation."""
-    rows = materialise(features_li(spark, sf_dir).where(qual.eligible(DAY, TARGET)))
+    """A and B ridges, pooled and per root, refitted on all rows of each expanding fold, scored on its evaluation.
+
+    The sums of products of all folds come from one pass; A is part of B.
+    """
+    rows = materialise(market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET)))
+    ends, start = training_ends(folds_li())
+    stats = lin.fold_statistics(rows, cross.experiment_features("B", DAY, LI_ANCHORS), TARGET, ends, start)
+    held = materialise(spl.with_evaluation_folds(rows, folds_li()))
     scored = None
-    for fold in folds_li():
-        train = mod.training_sample(
-            rows.where(spl.in_training(fold)), ["ts", "root", *_OWN, TARGET], 400, DAY, tile_units=LI_TILE
-        )
-        model = mod.fit_ridge(materialise(train), _OWN, TARGET, roots=LI_ROOTS)
-        part = model.transform(rows.where(spl.in_evaluation(fold))).select(
-            F.lit(fold.fold).alias("fold"), F.lit("ridge").alias("model"), "root", TARGET, "prediction"
-        )
+    for name in ("A", "B"):
+        features = cross.experiment_features(name, DAY, LI_ANCHORS)
+        part = scored_models(held, features, *lin.fit_pooled(stats, features), lin.fit_per_root(stats, features))
+        part = part.withColumn("experiment", F.lit(name))
         scored = part if scored is None else scored.unionByName(part)
-    per_fold = met.regression_metrics(scored, ["fold", "model"], TARGET, "prediction")
-    return report(stab.metric_stability(stab.long_metrics(per_fold, ["model"]), ["model"]))
+    keys = ["experiment", "model"]
+    per_fold = met.regression_metrics(scored.drop("root"), ["fold", *keys], TARGET, "prediction")
+    return report(stab.metric_stability(stab.long_metrics(per_fold, keys), keys))
+
+
+# --- ridge per fold over supplier roots, with closed forms in SQL ---------------------------------
+
+ANCHOR = "S1_return_1d"
+SUPPLIER_FEATURES = {"A": PAIR, "B": (*PAIR, ANCHOR)}
+
+
+def supplier_rows(spark, sf_dir):
+    """Supplier bars with returns, the anchor return of the same day, and the label: one exchange of the bars."""
+    bars = feat.add_families(
+        seg_su(spark, sf_dir), [feat.returns(DAY, (1, 5)), lab.labels(DAY, (1,))], 5, 1
+    ).select("root", "ts", *PAIR, TARGET)
+    stored = materialise(bars)
+    anchor = stored.where(F.col("root") == "S1").select("ts", F.col("log_return_1d").alias(ANCHOR))
+    return materialise(stored.join(anchor, "ts", "left").where(F.col(TARGET).isNotNull()))
+
+
+def _solve_sql(source: str, keys: str, unknowns: int, name: str) -> str:
+    """Gaussian elimination, one step per CTE; column k of `source`'s g_i_j (i <= j) is the right side."""
+    k, parts, last = unknowns, [], source
+    for s in range(k - 1):
+        columns = [f"g_{i}_{j}" for i in range(s + 1) for j in range(i, k + 1)]
+        columns += [
+            f"g_{i}_{j} - g_{s}_{i} * g_{s}_{j} / g_{s}_{s} AS g_{i}_{j}" for i in range(s + 1, k) for j in range(i, k + 1)
+        ]
+        parts.append(f"{name}_e{s} AS (SELECT {keys}, n, {', '.join(columns)} FROM {last})")
+        last = f"{name}_e{s}"
+    for s in reversed(range(k)):
+        known = "".join(f" - g_{s}_{j} * b{j}" for j in range(s + 1, k))
+        parts.append(f"{name}_b{s} AS (SELECT *, (g_{s}_{k}{known}) / g_{s}_{s} AS b{s} FROM {last})")
+        last = f"{name}_b{s}"
+    parts.append(f"{name} AS (SELECT * FROM {last})")
+    return ",\n".join(parts)
+
+
+def _fit_sql(name: str, features, keys: str, effects: bool) -> str:
+    """CTE `name`: solution b0, b1.. per keys, with med_, mu_, sd_ of each feature; `tr` holds the training rows."""
+    p, own = len(features), [f"x{i + 1}" for i in range(len(features))]
+    listed = ", ".join(f"{f} AS {x}" for f, x in zip(features, own))
+    d = ["1.0", *[f"(({x}i - mu_{x}) / sd_{x})" for x in own], "y"]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 2)]
+    penalty = {(i, i): " + 1" for i in range(1, p + 1)}
+    products = ", ".join(f"sum({d[i]} * {d[j]}){penalty.get((i, j), '')} AS h_{i}_{j}" for i, j in pairs)
+    gone = ", ".join(f"sum(z{i} * z{j} / (z0 + 1)) AS h_{i}_{j}" for i, j in pairs)
+    parts = [
+        f"{name}_t AS (SELECT {keys}, root AS rt, y, {listed} FROM tr)",
+        f"{name}_m AS (SELECT {keys}, {', '.join(f'median({x}) AS med_{x}' for x in own)} FROM {name}_t GROUP BY ALL)",
+        f"{name}_i AS (SELECT t.*, {', '.join(f'coalesce({x}, med_{x}, 0.0) AS {x}i' for x in own)} FROM {name}_t t JOIN {name}_m USING ({keys}))",
+        f"{name}_s AS (SELECT {keys}, {', '.join(f'avg({x}i) AS mu_{x}, CASE WHEN var_pop({x}i) > 1e-12 * avg({x}i * {x}i) THEN stddev_pop({x}i) ELSE 1.0 END AS sd_{x}' for x in own)} FROM {name}_i GROUP BY ALL)",
+        f"{name}_g0 AS (SELECT {keys}, count(*) AS n, {products} FROM {name}_i JOIN {name}_s USING ({keys}) GROUP BY {keys})",
+    ]
+    if effects:
+        sums = ", ".join(f"sum({c}) AS z{i}" for i, c in enumerate(d))
+        parts += [
+            f"{name}_z AS (SELECT {keys}, rt, {sums} FROM {name}_i JOIN {name}_s USING ({keys}) GROUP BY {keys}, rt)",
+            f"{name}_r AS (SELECT {keys}, {gone} FROM {name}_z GROUP BY {keys})",
+            f"{name}_g AS (SELECT {keys}, n, {', '.join(f'a.h_{i}_{j} - r.h_{i}_{j} AS g_{i}_{j}' for i, j in pairs)} "
+            f"FROM {name}_g0 a JOIN {name}_r r USING ({keys}))",
+        ]
+    else:
+        parts.append(f"{name}_g AS (SELECT {keys}, n, {', '.join(f'h_{i}_{j} AS g_{i}_{j}' for i, j in pairs)} FROM {name}_g0)")
+    parts.append(_solve_sql(f"{name}_g", keys, p + 1, f"{name}_w"))
+    parts.append(f"{name} AS (SELECT * FROM {name}_w JOIN {name}_s USING ({keys}) JOIN {name}_m USING ({keys}))")
+    return ",\n".join(parts)
+
+
+_SUPPLIERS_SQL = (
+    q.BARS_SU, q.SEGMENTS, q.returns(q.DAYS, (1, 5)), q.labels(q.DAYS, (1,)),
+    f"sup AS (SELECT l.root, l.ts, {', '.join('l.' + c for c in PAIR)}, a.log_return_1d AS {ANCHOR}, l.{TARGET} AS y "
+    f"FROM lab l LEFT JOIN (SELECT ts, log_return_1d FROM lab WHERE root = 'S1') a USING (ts) WHERE l.{TARGET} IS NOT NULL)",
+    FOLDS_SQL,
+    "tr AS (SELECT f.fold, s.* FROM sup s JOIN folds f ON s.ts >= f.ts0 AND s.ts < f.ts1)",
+    "ev AS (SELECT f.fold, s.* FROM sup s JOIN folds f ON s.ts >= f.es AND s.ts < f.ee)",
+)
+
+
+def _coefficients_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS experiment, fold, '{f}' AS feature, {q.rd(f'b{i + 1}')} AS coefficient, n AS training_rows FROM fit{name}"
+        for name, features in SUPPLIER_FEATURES.items() for i, f in enumerate(features)
+    )
+
+
+@register(
+    "fold_ridge_coefficients",
+    q.query(
+        *_SUPPLIERS_SQL, *[_fit_sql(f"fit{n}", f, "fold", True) for n, f in SUPPLIER_FEATURES.items()],
+        select=_coefficients_sql(),
+    ),
+)
+def fold_ridge_coefficients(spark, sf_dir):
+    """Standardised weights of the pooled A and B ridges, with an effect per supplier, for every expanding fold."""
+    ends, start = training_ends(folds_li())
+    stats = lin.fold_statistics(supplier_rows(spark, sf_dir), SUPPLIER_FEATURES["B"], TARGET, ends, start)
+    out = None
+    for name, features in SUPPLIER_FEATURES.items():
+        models, _ = lin.fit_pooled(stats, features)
+        part = models.select(
+            F.lit(name).alias("experiment"), "fold",
+            F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("coefficients").alias("coefficient"))).alias("_w"),
+            "training_rows",
+        ).select("experiment", "fold", "_w.*", "training_rows")
+        out = part if out is None else out.unionByName(part)
+    return report(out)
+
+
+def _scored_sql(name: str, features) -> str:
+    def linear(w: str) -> str:
+        return f"{w}.b0" + "".join(
+            f" + {w}.b{i + 1} * (coalesce(e.{f}, {w}.med_x{i + 1}, 0.0) - {w}.mu_x{i + 1}) / {w}.sd_x{i + 1}"
+            for i, f in enumerate(features)
+        )
+
+    # an effect per root: the rest of its sums that the weights leave, over its rows plus alpha
+    rest = "z.z{y}".format(y=len(features) + 1) + "".join(f" - w.b{i} * z.z{i}" for i in range(len(features) + 1))
+    return f"""eff{name} AS (SELECT z.fold, z.rt AS root, ({rest}) / (z.z0 + 1) AS effect FROM fit{name}_z z JOIN fit{name} w USING (fold)),
+sc{name} AS (
+  SELECT '{name}' AS experiment, 'pooled' AS model, e.fold, e.y AS a, {linear('w')} + coalesce(x.effect, 0) AS p
+  FROM ev e JOIN fit{name} w USING (fold) LEFT JOIN eff{name} x ON x.fold = e.fold AND x.root = e.root UNION ALL
+  SELECT '{name}', 'dedicated', e.fold, e.y, {linear('w')} FROM ev e LEFT JOIN own{name} w ON w.fold = e.fold AND w.root = e.root)"""
 
+
+@register(
+    "fold_ridge_errors",
+    q.query(
+        *_SUPPLIERS_SQL, *[_fit_sql(f"fit{n}", f, "fold", True) for n, f in SUPPLIER_FEATURES.items()],
+        *[_fit_sql(f"own{n}", f, "fold, root", False) for n, f in SUPPLIER_FEATURES.items()],
+        *[_scored_sql(n, f) for n, f in SUPPLIER_FEATURES.items()],
+        "sc AS (" + " UNION ALL ".join(f"SELECT * FROM sc{n}" for n in SUPPLIER_FEATURES) + ")",
+        select=f"SELECT experiment, model, fold, count(*) FILTER (WHERE p IS NOT NULL) AS observations, "
+        f"{q.rd('avg(abs(a - p))')} AS mae, {q.rd('sqrt(avg((a - p) ** 2))')} AS rmse, "
+        f"{q.rd('1 - sum((a - p) ** 2) / (var_pop(a) FILTER (WHERE p IS NOT NULL) * count(*) FILTER (WHERE p IS NOT NULL))', 6)} AS r2 "
+        "FROM sc GROUP BY ALL",
+    ),
+)
+def fold_ridge_errors(spark, sf_dir):
+    """Pooled and dedicated A and B ridges over supplier roots, scored on every fold's evaluation rows."""
+    rows, folds = supplier_rows(spark, sf_dir), folds_li()
+    ends, start = training_ends(folds)
+    stats = lin.fold_statistics(rows, SUPPLIER_FEATURES["B"], TARGET, ends, start)
+    held = materialise(spl.with_evaluation_folds(rows, folds))
+    out = None
+    for name, features in SUPPLIER_FEATURES.items():
+        scored = scored_models(held, features, *lin.fit_pooled(stats, features), lin.fit_per_root(stats, features))
+        part = scored.withColumn("experiment", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    keys = ["experiment", "model", "fold"]
+    table = met.regression_metrics(out.drop("root"), keys, TARGET, "prediction", spearman=False)
+    return report(table.select(*keys, "observations", "mae", "rmse", "r2"), special={"r2": 6})

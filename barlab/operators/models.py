@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock
 from barlab.functions.numeric import finite
+from barlab.operators.boosting import BoostedTrees, Boosting, fit_boosting
+from barlab.operators.linear import fit_pooled, fold_statistics, pooled_medians
 from barlab.operators.metrics import r_squared
-from barlab.operators.profile import long_features
-from barlab.operators.ranks import add_stable_position, quantiles
+from barlab.operators.order_stats import wide_quantiles
+from barlab.operators.ranks import add_stable_position
 from barlab.operators.sampling import even_sample, even_samples
 from barlab.operators.tiles import TILE_UNITS, ordered_index
-from barlab.session import materialise
+from barlab.session import broadcast_if_small, materialise
 
-# Parameters of the boosted-tree and ridge baselines.
-TREE_PARAMETERS = {"stepSize": 0.08, "maxIter": 150, "maxDepth": 5, "minInstancesPerNode": 100, "maxBins": 255}
+# Fixed value: the penalty of the ridge baseline.
 RIDGE_ALPHA = 1.0
 SEED = 42
 
@@ -56,9 +56,7 @@ class Preprocessor:
 def training_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact interpolated median of the finite training values of each feature."""
     stored = materialise(train.select(*features))
-    return quantiles(
-        long_features(stored, features), ["feature"], "value", linear={"median": 0.5}
-    ).select("feature", "median")
+    return wide_quantiles(stored, [], features, linear={"median": 0.5}).select("feature", "median")
 
 
 def fit_preprocessor(
@@ -93,86 +91,69 @@ def fit_preprocessor(
 
 @dataclass(frozen=True)
 class RidgeModel:
-    """A fitted ridge; prediction is one linear column expression."""
+    """A fitted ridge. Features are one column expression; root effects, if any, are a table (root, effect)."""
 
     prep: Preprocessor
     intercept: float
     coefficients: dict[str, float]
     training_rows: int
-    root_effects: dict[str, float] = field(default_factory=dict)
+    effects: DataFrame | None = None
 
     def column(self) -> Column:
+        """The prediction without root effects."""
         terms = [self.prep.scaled(f) * w for f, w in self.coefficients.items()]
-        terms += [self.prep.is_root(r) * w for r, w in self.root_effects.items()]
         return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", self.column())
+        """Add `prediction`; a root without training rows adds nothing."""
+        if self.effects is None:
+            return df.withColumn("prediction", self.column())
+        joined = df.join(broadcast_if_small(self.effects.withColumnRenamed("effect", "_effect")), "root", "left")
+        total = self.column() + F.coalesce("_effect", F.lit(0.0))
+        return joined.withColumn("prediction", total).select(*df.columns, "prediction")
 
     def weights(self) -> dict[str, float]:
-        return {**self.coefficients, **{f"root_{r}": w for r, w in self.root_effects.items()}}
-
-
-def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum z'z over the partition, z = (1, design, target); one output row per matrix row."""
-    gram = None
-    for batch in batches:
-        z = np.column_stack([np.asarray(c, dtype=np.float64) for c in batch.columns])
-        gram = z.T @ z if gram is None else gram + z.T @ z
-    if gram is not None:
-        yield pa.RecordBatch.from_pydict(
-            {"i": pa.array(range(len(gram)), pa.int32()),
-             "row": pa.array([r.tolist() for r in gram], pa.list_(pa.float64()))}
-        )
-
-
-def gram_matrix(design: DataFrame) -> np.ndarray:
-    """X'X over all columns of ``design``; every partition sends one small matrix."""
-    partial = design.mapInArrow(_gram_batches, "i int, row array<double>")
-    cells = (
-        partial.select("i", F.posexplode("row").alias("j", "v"))
-        .groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    )
-    width = len(design.columns)
-    out = np.zeros((width, width))
-    for c in cells:
-        out[c["i"], c["j"]] = c["v"]
-    return out
+        """All weights by name, for reports: reads the table of root effects."""
+        effects = [] if self.effects is None else self.effects.orderBy("root").collect()
+        return {**self.coefficients, **{f"root_{r['root']}": r["effect"] for r in effects}}
 
 
 def fit_ridge(
     train: DataFrame, features: Sequence[str], target: str, alpha: float = RIDGE_ALPHA,
-    roots: Sequence[str] | None = None, medians: dict[str, float] | None = None,
-    include_root: bool = True,
+    medians: dict[str, float] | None = None, include_root: bool = True,
 ) -> RidgeModel:
     """Exact ridge over every training row by sufficient statistics; the intercept is free.
 
-    Rows without a finite target are no training rows.
+    Rows without a finite target are no training rows. Root indicators are eliminated, see `linear`.
     """
-    train = train.where(finite(F.col(target)))
-    prep = fit_preprocessor(train, features, roots, medians)
-    known = prep.roots if include_root else ()
-    design = train.select(
-        F.lit(1.0).alias("_one"),
-        *[prep.scaled(f).alias(f"x{i}") for i, f in enumerate(prep.features)],
-        *[prep.is_root(r).alias(f"r{i}") for i, r in enumerate(known)],
-        F.col(target).cast("double").alias("_y"),
-    )
-    gram = gram_matrix(design)
-    penalty = np.eye(len(gram) - 1) * alpha
-    penalty[0, 0] = 0.0
-    solution = np.linalg.solve(gram[:-1, :-1] + penalty, gram[:-1, -1])
-    cut = 1 + len(prep.features)
+    features = tuple(features)
+    if "root" not in train.columns and include_root:
+        raise ValueError("root effects need a root column")
+    stats = fold_statistics(train, features, target)
+    given = None if medians is None else {0: np.array([medians[f] for f in features], np.float64)}
+    models, effects = fit_pooled(stats, features, alpha, include_root, given)
+    row = models.first()
+    if given is None:
+        found = pooled_medians(stats, features)[0]
+        missing = [f for f, m in zip(features, found) if not np.isfinite(m)]
+        if missing:
+            raise ValueError(f"no finite training value in {missing}")
+    medians_, means, scales = (dict(zip(features, row[c])) for c in ("medians", "means", "scales"))
+    shifted = sum(w * m for w, m in zip(row["weights"], row["means"]))
     return RidgeModel(
-        prep, float(solution[0]),
-        dict(zip(prep.features, map(float, solution[1:cut]))), int(gram[0, 0]),
-        dict(zip(known, map(float, solution[cut:]))),
+        Preprocessor(features, medians_, means, scales, ()), row["intercept"] + shifted,
+        dict(zip(features, row["coefficients"])), row["training_rows"],
+        materialise(effects.select("root", "effect")) if include_root else None,
     )
 
 
 def coefficient_table(df: DataFrame, model: RidgeModel, top: int | None = None) -> DataFrame:
     """Weights by falling magnitude with their sign (one row per design column)."""
-    rows = df.sparkSession.createDataFrame(list(model.weights().items()), "feature string, coefficient double")
+    rows = df.sparkSession.createDataFrame(list(model.coefficients.items()), "feature string, coefficient double")
+    if model.effects is not None:
+        rows = rows.unionByName(
+            model.effects.select(F.concat(F.lit("root_"), "root").alias("feature"), F.col("effect").alias("coefficient"))
+        )
     table = rows.withColumns(
         {
             "sign": F.when(F.col("coefficient") >= 0, "positive").otherwise("negative"),
@@ -208,28 +189,11 @@ def assemble(df: DataFrame, prep: Preprocessor, scaled: bool, include_root: bool
     return VectorAssembler(inputCols=names + hot, outputCol="features").transform(wide).drop(*names, *hot)
 
 
-@dataclass(frozen=True)
-class TreeModel:
-    prep: Preprocessor
-    fitted: object
-    include_root: bool
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.fitted.transform(assemble(df, self.prep, False, self.include_root))
-        return scored.drop("features")
-
-
 def fit_trees(
-    train: DataFrame, features: Sequence[str], target: str, include_root: bool = True,
-    roots: Sequence[str] | None = None, **parameters,
-) -> TreeModel:
-    """Gradient-boosted trees on median-imputed features and root indicators; needs finite targets."""
-    train = train.where(finite(F.col(target)))
-    prep = fit_preprocessor(train, features, roots)
-    settings = {**TREE_PARAMETERS, "seed": SEED, **parameters}
-    assembled = assemble(train, prep, False, include_root).select("features", target)
-    regressor = GBTRegressor(featuresCol="features", labelCol=target, **settings)
-    return TreeModel(prep, regressor.fit(assembled), include_root)
+    train: DataFrame, features: Sequence[str], target: str, include_root: bool = True, **parameters
+) -> BoostedTrees:
+    """Leaf-wise boosted trees with the baseline's parameters; `parameters` replace fields of `Boosting`."""
+    return fit_boosting(train, features, target, replace(Boosting(), **parameters), include_root)
 
 
 def root_pipeline(numeric: Sequence[str]) -> Pipeline:
@@ -285,11 +249,12 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and spread of the R² lost when one feature is shuffled over the sample.
 
-    A shuffle is a join of two numberings of the same rows: by (root, time) and by a seeded hash.
-    Both numberings are distributed; nothing is permuted on the driver.
+    A repeat shuffles rows once: a join of two numberings of the same rows, by (root, time) and by a seeded hash.
+    Every feature in turn takes its value from the row met, so only `repeats` joins of whole rows are shuffled; the
+    copies for the single features exist inside a task, between the join and the score. Nothing is permuted on the
+    driver.
     """
     features = list(features)
-    spark = sample.sparkSession
     rows = materialise(
         ordered_index(
             sample.select("ts", "root", *features, target).withColumn("_all", F.lit(0)),
@@ -297,30 +262,27 @@ def permutation_importance(
         ).withColumnRenamed("row_index", "_id").drop("_all", "group_rows")
     )
     baseline = scorer(rows).agg(r_squared(target, "prediction").alias("r2")).first()["r2"]
-    tries = F.array(*[F.lit(i) for i in range(repeats)])
-    cells = materialise(
-        rows.select("_id", "ts", "root", F.explode(F.array(*[F.lit(f) for f in features])).alias("_f"))
-        .withColumn("_try", F.explode(tries))
-        .withColumn(
-            "_hash", F.xxhash64(F.lit(seed), F.col("_try"), F.col("_f"), F.col("_id")).cast("double")
-        )
+    tries = materialise(
+        rows.select("_id", F.explode(F.array(*[F.lit(i) for i in range(repeats)])).alias("_try"))
+        .withColumn("_hash", F.xxhash64(F.lit(seed), "_try", "_id").cast("double"))
     )
-    placed = add_stable_position(cells, ["_f", "_try"], "_hash", ["_id"], F.col("_id"))
-    receivers = placed.select("_f", "_try", "_id", F.col("position").alias("_from"))
-    donors = long_features(rows, features, ["_id"]).select(
-        F.col("feature").alias("_f"), F.col("_id").alias("_from"), F.col("value").alias("_value")
+    placed = add_stable_position(tries, ["_try"], "_hash", ["_id"], F.col("_id"))
+    donors = rows.select(F.col("_id").alias("_from"), *[F.col(f).alias(f"_d{i}") for i, f in enumerate(features)])
+    met = (
+        placed.select("_id", "_try", F.col("position").alias("_from"))
+        .join(donors, "_from").join(rows, "_id")
+        .withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(features))])))
     )
-    swapped = receivers.join(donors, ["_f", "_from"]).join(rows, "_id")
-    kinds = dict(rows.dtypes)
-    shuffled = swapped.select(
+    shuffled = met.select(
         "_f", "_try", "root", target,
-        *[F.when(F.col("_f") == f, F.col("_value").cast(kinds[f])).otherwise(F.col(f)).alias(f) for f in features],
+        *[F.when(F.col("_f") == i, F.col(f"_d{i}")).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)],
     )
     drops = scorer(shuffled).groupBy("_f", "_try").agg(
         (F.lit(baseline) - r_squared(target, "prediction")).alias("drop")
     )
+    named = F.get(F.array(*[F.lit(f) for f in features]), F.col("_f"))
     return (
-        drops.groupBy(F.col("_f").alias("feature"))
+        drops.groupBy(named.alias("feature"))
         .agg(F.avg("drop").alias("mean_r2_decrease"), F.stddev_pop("drop").alias("standard_deviation"))
         .orderBy(F.desc("mean_r2_decrease"), "feature")
         .limit(top)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock
 from barlab.functions.numeric import finite, safe_ratio
-from barlab.operators.ranks import order_statistics, quantiles
+from barlab.operators.order_stats import wide_quantiles
 from barlab.operators.sampling import every_nth, pooled_even_sample
 from barlab.operators.tiles import TILE_UNITS
 from barlab.session import broadcast_if_small, materialise
@@ -28,16 +28,21 @@ def distribution_profile(
 ) -> DataFrame:
     """Rows, finite rows, missing rate, exact quartiles and spread of each feature.
 
-    The wide columns are stored once; the long form exists only inside each aggregation.
+    All features are counted side by side on the wide rows, which are stored once.
     """
     by = [*keys, "feature"]
-    values = long_features(materialise(df.select(*keys, *features)), features, keys)
-    counts = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.count_if(finite(F.col("value"))).alias("finite_observations"),
+    rows = materialise(df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]))
+    pairs = [
+        F.struct(F.lit(f).alias("feature"), F.count_if(finite(F.col(f))).alias("finite_observations"))
+        for f in features
+    ]
+    counts = (
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.array(*pairs).alias("_f"))
+        .where("observations > 0")
+        .select(*keys, "observations", F.inline("_f"))
     )
-    found = quantiles(
-        values, by, "value", nearest={"q1": 0.25, "q3": 0.75}, linear={"median": 0.5}
+    found = wide_quantiles(
+        rows, keys, features, nearest={"q1": 0.25, "q3": 0.75}, linear={"median": 0.5}
     ).drop("finite_rows")
     return counts.join(found, by, "left").select(
         *by,
@@ -76,7 +81,8 @@ def drift_profile(
 def tertiles(df: DataFrame, column: str, keys: Sequence[str] = ("root",)) -> DataFrame:
     """Nearest-rank 1/3 and 2/3 points of the finite values of each key."""
     points = {"low_max": 1 / 3, "medium_max": 2 / 3}
-    return quantiles(materialise(df.select(*keys, column)), keys, column, nearest=points).drop("finite_rows")
+    rows = materialise(df.select(*keys, column))
+    return wide_quantiles(rows, keys, [column], nearest=points).drop("feature", "finite_rows")
 
 
 def regime(value: Column, low_max: Column, medium_max: Column) -> Column:
@@ -105,19 +111,16 @@ def sampled_ranges(
 ) -> DataFrame:
     """Minimum, 1 %, median, 99 % and maximum of each feature over every ``step``-th row per root."""
     sample = every_nth(df.select("root", "ts", *features), step, clock, tile_units=tile_units)
-    values = long_features(materialise(sample.select(*features)), features)
-    rank = {"minimum": F.lit(0).cast("bigint"), "maximum": (F.col("group_rows") - 1).cast("bigint")}
-    ends = order_statistics(values, ["feature"], "value", rank)
-    inner = quantiles(
-        values, ["feature"], "value", nearest={"p01": 0.01, "p99": 0.99}, linear={"median": 0.5}
+    return wide_quantiles(
+        materialise(sample.select(*features)), [], features, nearest={"p01": 0.01, "p99": 0.99},
+        linear={"median": 0.5}, ends={"minimum": 0, "maximum": -1},
     )
-    return ends.join(inner.drop("finite_rows"), "feature")
 
 
 def linear_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float]:
     """A few interpolated quantiles of one column, as driver numbers (pass stored rows)."""
     names = {f"q{i}": q for i, q in enumerate(at)}
-    row = quantiles(df.select(F.lit(0).alias("_all"), column), ["_all"], column, linear=names).first()
+    row = wide_quantiles(df, [], [column], linear=names).first()
     if row is None:
         raise ValueError(f"{column} has no finite value")
     return [row[n] for n in names]

@@ -2,6 +2,7 @@
 
 import json
 import os
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barlab.functions.clock import DAY, MINUTE
 from barlab.operators import models as mod
+from barlab.operators.boosting import Boosting
 from barlab.operators import prospective as pro
 from barlab.operators import quality as qual
 from barlab.operators.profile import distribution_profile, tertiles
@@ -55,7 +57,8 @@ def test_ridge_equals_the_closed_form(spark):
     predicted = [r["prediction"] for r in model.transform(df).orderBy("ts").collect()]
     assert predicted == pytest.approx(list(design @ want), rel=1e-10)
     assert model.training_rows == len(rows)
-    ml = mod.ridge_by_ml(df, model.prep, "y").transform(mod.assemble(df, model.prep, True))
+    prep = mod.fit_preprocessor(df, FEATURES)
+    ml = mod.ridge_by_ml(df, prep, "y").transform(mod.assemble(df, prep, True))
     assert [r["prediction"] for r in ml.orderBy("ts").collect()] == pytest.approx(predicted, rel=1e-8)
 
 
@@ -70,14 +73,14 @@ def test_medians_come_from_training_rows_only(spark):
 
 def test_trees_and_score(spark):
     rows, df = ridge_rows(spark, 200)
-    trees = mod.fit_trees(df, FEATURES, "y", maxIter=3, maxDepth=2, minInstancesPerNode=5)
+    trees = mod.fit_trees(df, FEATURES, "y", rounds=3, leaves=4, leaf_rows=5)
     scored = mod.score(df, {"trees": trees.transform, "zero": lambda d: d.withColumn("prediction", F.lit(0.0))})
     assert scored.count() == 400 and set(scored.columns) == {*df.columns, "model", "prediction"}
     errors = {r["model"]: r["e"] for r in scored.groupBy("model").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("e")).collect()}
     assert errors["trees"] < errors["zero"]
 
 
-SHORT_TREES = {"maxIter": 2, "maxDepth": 2}
+SHORT_TREES = {"rounds": 2, "leaves": 3}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -86,13 +89,13 @@ def test_registered_tree_queries_ask_for_the_full_baseline(spark, monkeypatch, n
     asked, fit = [], mod.fit_trees
 
     def short(*args, **given):
-        asked.append({**mod.TREE_PARAMETERS, **{k: v for k, v in given.items() if k in mod.TREE_PARAMETERS}})
+        asked.append(replace(Boosting(), **{k: v for k, v in given.items() if k != "include_root"}))
         return fit(*args, **{**given, **SHORT_TREES})
 
     monkeypatch.setattr(mod, "fit_trees", short)
     entry.queries()[name](spark, SF)
-    assert asked == [mod.TREE_PARAMETERS] * fits
-    assert (mod.TREE_PARAMETERS["maxIter"], mod.TREE_PARAMETERS["maxDepth"]) == (150, 5)
+    assert asked == [Boosting()] * fits
+    assert (asked[0].rounds, asked[0].leaves, asked[0].leaf_rows, asked[0].l2, asked[0].rate) == (150, 31, 100, 0.1, 0.08)
 
 
 def test_root_one_hot_has_no_column_for_unknown_roots(spark):
