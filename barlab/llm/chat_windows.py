@@ -3,7 +3,8 @@
 A turn is written as `### role`, its text, and `</turn>`, each on lines of its own. Control strings inside a text are
 escaped and can be restored exactly. Windows are cut between turns: prefix sums of turn tokens choose the longest span
 that fits what the budget leaves after the system turn and the repeated history. Every window holds the conversation's
-first system turn, then up to HISTORY_TOKENS of the turns before the span, then the span. The loss mask covers
+first system turn, then up to HISTORY_TOKENS of the turns before the span (fewer, without the oldest, where the next
+turn would not fit beside them), then the span. The loss mask covers
 the text of the span's assistant turns only, so that text repeated as system turn or history is never a target twice.
 
 Turns are dealt out by tiles of TILE turn numbers, so a long conversation is spread over many tasks; windows end at
@@ -11,8 +12,9 @@ tile borders, and a tile gets copies of the last turns of the tile before it for
 with a bounded stretch of turns in memory.
 
 Defined results: null texts and roles count as empty; a null conversation id is a conversation like any other, a null
-turn number comes first; equal turn numbers are ordered by role, then text; repeated rows are repeated turns; roles other
-than `assistant` are never targets; a turn longer than the budget stands alone (its window is marked `over_budget`);
+turn number comes first; equal turn numbers are ordered by role, then by the text as it is written (escaped); repeated rows are repeated turns;
+roles other than `assistant` are never targets; a turn that does not fit beside the system turn stands alone with it
+(only such windows are marked `over_budget`); rows that repeat one turn number stay in one tile;
 extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -115,8 +117,13 @@ class _Tile:
         starts = []
         for i in range(first_new, len(self.held)):
             begin = history_start(tokens, i, self.history, self.turns)
+            used = self.repeated(begin, i)[1]
+            while begin < i and used + tokens[i] > self.budget:
+                # the oldest repeated turn makes way for the new one
+                begin += 1
+                used = self.repeated(begin, i)[1]
             starts.append(begin)
-            room.append(self.budget - self.repeated(begin, i)[1])
+            room.append(self.budget - used)
         cut = spans(tokens[first_new:], room)
         if not last:
             cut = cut[:-1]
@@ -214,7 +221,11 @@ def windows(
         .select("conv_id", F.col("_next").alias("tile"), "turn", "role", "formatted", "n_tokens", F.lit(False).alias("fresh"))
     )
     rows = turns.withColumn("fresh", F.lit(True)).unionByName(tails)
-    rows = rows.join(system.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    # the system turn goes to every tile of its conversation, so that turns meet it by tile and stay spread
+    named = system.withColumnRenamed("conv_id", "_named")
+    per_tile = tiles.join(named, F.col("_conv").eqNullSafe(F.col("_named"))).select("_conv", "_tile", "system")
+    here = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("tile") == F.col("_tile"))
+    rows = rows.join(per_tile, here, "left").drop("_conv", "_tile")
     kind = conversations.schema["conv_id"].dataType.simpleString()
     schema = (
         f"conv_id {kind}, tile long, window long, text string, n_repeated long, n_turns long, n_tokens long, "
