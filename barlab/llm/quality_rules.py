@@ -213,6 +213,8 @@ def judged(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> t
 def clean_documents(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """Accepted documents with their failing lines removed; same columns (n_chars follows the text)."""
     out, verdict = judged(docs, text, max_lost)
+    # a generator of one row: filter and columns read its result, so that no text is judged twice
+    out = out.withColumn(verdict, F.explode(F.array(F.col(verdict))))
     columns = []
     for c in docs.columns:
         if c == text:

@@ -69,6 +69,14 @@ def base(text):
     return sorted(found)
 
 
+def test_cleaning_judges_each_text_once(real):
+    d = real("documents")
+    cleaned, report = (
+        f(d)._jdf.queryExecution().optimizedPlan().toString() for f in (quality.clean_documents, quality.quality_report)
+    )
+    assert cleaned.count("lambdafunction(") == report.count("lambdafunction(") > 0
+
+
 def test_secret_spans_equal_plain_patterns(docs):
     random.seed(1)
     bits = ["token", "SECRET", "api_key", "=", ":", " ", '"', "'", "abc", "abcdef", "AKIA", "ABCDEFGH12345678", "é"]
