@@ -78,7 +78,8 @@ def gathered(pieces: pa.ListArray, cache: PieceCache, dtype: np.dtype) -> Ids:
     own = sizes[index]
     ends = np.cumsum(own)
     total = int(ends[-1]) if len(ends) else 0
-    places = np.arange(total) + np.repeat(starts[index] - (ends - own), own)
+    small = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    places = np.arange(total, dtype=small) + np.repeat((starts[index] - (ends - own)).astype(small), own)
     per_text = np.concatenate([[0], ends])[pieces.offsets.to_numpy()[1:] - pieces.offsets.to_numpy()[0]]
     return Ids(ids[places], per_text)
 
@@ -139,13 +140,111 @@ def library_encoder(tokenizer, dtype: np.dtype) -> Encode:
     return encode
 
 
+# The pattern and normalizers of the word-level pre-tokenizer that `PretokenEncoder` knows.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_END = "</w>"
+# Pieces of these characters only are their own normal form but for case, and cut like the pattern by _PRETOKEN.
+_PLAIN = re.compile(r"[!-&(-;=-~\xa1-\xff]+")  # no blank, control character, apostrophe or <
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SMALL = frozenset("abcdefghijklmnopqrstuvwxyz")
+_PRETOKEN = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+class PretokenEncoder:
+    """Pieces by their pre-tokens, which repeat far more often than pieces with capitals and punctuation do.
+
+    New pre-tokens are encoded many at once; the last id of each ends a word, which tells them apart. Words of a-z go
+    to the tiktoken library, which is several times as fast: there a capital stands for a last letter with its word
+    end, so that each symbol is one byte. The others are joined by blanks for the tokenizers library. Pieces with
+    other characters go to `rest`.
+    """
+
+    def __init__(self, tokenizer, dtype: np.dtype, rest: Encode, entries: int = 400_000):
+        self.tokenizer, self.dtype, self.rest, self.entries = tokenizer, dtype, rest, entries
+        self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        ranks = {}
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith(WORD_END)
+            own = token.removesuffix(WORD_END)
+            if own and set(own) <= _SMALL:
+                ranks[(own[:-1] + own[-1].upper() if self.ends[i] else own).encode()] = i
+        self.letters = self._coder(ranks) if self._in_merge_order() else None
+        self.known: dict[str, bytes] = {}
+
+    def _in_merge_order(self) -> bool:
+        """Whether ids rise with the merges that make them, so that the least id is the first merge."""
+        model = json.loads(self.tokenizer.to_str())["model"]
+        made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        singles = [model["vocab"][c + e] for c in _SMALL for e in ("", WORD_END)]
+        return all(a < b for a, b in zip(made, made[1:])) and max(singles) < made[0]
+
+    @staticmethod
+    def _coder(ranks: dict[bytes, int]):
+        import tiktoken
+
+        # the library wants a rank for every byte; none of the others is ever met
+        spare = iter(range(max(ranks.values()) + 1, max(ranks.values()) + 257))
+        whole = {**{bytes([b]): next(spare) for b in range(256) if bytes([b]) not in ranks}, **ranks}
+        return tiktoken.Encoding("words", pat_str="[a-z]*[A-Z]", mergeable_ranks=whole, special_tokens={})
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        steps = (data["normalizer"] or {}).get("normalizers", [])
+        cuts = (data["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            data["model"]["type"] == "BPE" and data["model"]["end_of_word_suffix"] == WORD_END
+            and [n["type"] for n in steps] == WORD_NORMALIZERS
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": WORD_PATTERN} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+            and all("<" in t["content"] for t in data["added_tokens"])
+        )
+
+    def __call__(self, pieces: Sequence[str]) -> list[bytes]:
+        plain, cut = _PLAIN.fullmatch, _PRETOKEN.findall
+        parts = [cut(p.lower()) if plain(p) else None for p in pieces]
+        odd = [p for p, c in zip(pieces, parts) if c is None]
+        others = iter(self.rest(odd)) if odd else iter(())
+        known = self.known
+        new = list(dict.fromkeys(w for c in parts if c for w in c if w not in known))
+        if len(known) + len(new) > self.entries:
+            self.known = known = {}
+            new = list(dict.fromkeys(w for c in parts if c for w in c))
+        ascii_, others_ = [], []
+        for w in new:
+            (ascii_ if self.letters and w.isascii() and w.isalpha() else others_).append(w)
+        for words, encode in ((ascii_, self._small), (others_, self._joined)):
+            for start in range(0, len(words), 4096):
+                known.update(zip(words[start : start + 4096], self._by_word(words[start : start + 4096], encode)))
+        return [next(others) if c is None else b"".join([known[w] for w in c]) for c in parts]
+
+    def _small(self, words: list[str]) -> np.ndarray:
+        return self.letters.encode_to_numpy("".join([w[:-1] + w[-1].upper() for w in words]))
+
+    def _joined(self, words: list[str]) -> np.ndarray:
+        return self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+
+    def _by_word(self, words: list[str], encode: Callable) -> list[bytes]:
+        ids = np.asarray(encode(words)).astype(self.dtype)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+        if len(stops) != len(words):
+            raise ValueError("pre-tokens and word ends differ")
+        flat, stops = ids.tobytes(), stops.tolist()
+        return [flat[i:j] for i, j in zip([0, *stops[:-1]], stops)]
+
+
 class BareEncoder:
     """For pre-tokenizers that drop blanks: spaces and line breaks separate, the rest goes to the library."""
 
     def __init__(self, path: str):
         tokenizer = load_tokenizer(path)
         self.dtype = id_type(tokenizer)
-        self.cache = PieceCache(library_encoder(tokenizer, self.dtype))
+        encode = library_encoder(tokenizer, self.dtype)
+        if PretokenEncoder.fits(path):
+            encode = PretokenEncoder(tokenizer, self.dtype, encode)
+        self.cache = PieceCache(encode, CACHE_ENTRIES * 2 // 3)
 
     def ids(self, texts: pa.Array) -> Ids:
         return gathered(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), self.cache, self.dtype)
@@ -202,13 +301,36 @@ def token_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
     return {bytes(to_byte[c] for c in token): i for token, i in vocabulary.items()}
 
 
+# The coder's pattern engine keeps a state per blank of a run and gives up at about a million.
+LONG_RUN = 100_000
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # White_Space
+_LONG_BLANKS = re.compile(f"[{_BLANK}]{{{LONG_RUN},}}")
+
+
+def cut_long_blanks(text: str, specials: tuple[str, ...] = ()) -> list[tuple[str, bool]]:
+    """The text in parts that share no pre-token; True marks a pre-token that is a long run of blanks.
+
+    A run before other characters leaves its last blank to what follows, as the pre-tokenizer does; a special string
+    ends a text for it.
+    """
+    out, at = [], 0
+    for m in _LONG_BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) or text.startswith(specials, m.end()) else m.end() - 1
+        out += [(text[at : m.start()], False), (text[m.start() : end], True)]
+        at = end
+    out.append((text[at:], False))
+    return [p for p in out if p[0]]
+
+
 class ByteEncoder:
     """Byte-level BPE whose ids are its merge ranks, run by the tiktoken library on the same vocabulary file.
 
-    Same ids as the tokenizers library in well under half the time; a file of another kind is refused.
+    Same ids as the tokenizers library in well under half the time; a file of another kind is refused. Runs of
+    LONG_RUN blanks and more, which that library can't take, are merged by the queue of `merge_queue`.
     """
 
     def __init__(self, path: str):
+        self.path = path
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -229,6 +351,15 @@ class ByteEncoder:
         )
 
     def ids(self, texts: pa.Array) -> Ids:
-        parts = [self.coder.encode_to_numpy(t, allowed_special="all").astype(self.dtype) for t in texts.to_pylist()]
+        parts = [self.one(t) for t in texts.to_pylist()]
         flat = np.concatenate(parts) if parts else np.zeros(0, self.dtype)
         return Ids(flat, np.cumsum([len(p) for p in parts], dtype=np.int64))
+
+    def one(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not _LONG_BLANKS.search(text):
+            return self.coder.encode_to_numpy(text, allowed_special="all").astype(self.dtype)
+        from barlab.llm.merge_queue import QueueBpe
+
+        queue = per_worker(QueueBpe, self.path)
+        parts = cut_long_blanks(text, tuple(self.coder.special_tokens_set))
+        return np.concatenate([np.array(queue.word(part), self.dtype) if run else self.one(part) for part, run in parts])

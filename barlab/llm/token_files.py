@@ -9,9 +9,10 @@ The hash is a cascade of bit arrays: a key whose bit no other key of its level w
 go to the next level; a key's slot is the number of set bits before its own. Level positions and fingerprints come
 from one 64-bit mix of (key, occurrence).
 
-Defined results: null and empty texts hold only the end id; a null key comes first; repeated keys are told apart
-by their occurrence number in the shard; a key that holds very many rows is spread over several shards; an empty
-table writes no shard. Files are written under a temporary name and renamed, and a repeated task writes the same bytes.
+Defined results: null and empty texts hold only the end id; null keys come first, before all others; repeated keys are
+told apart by their occurrence number, which counts over all shards (`prior` is what earlier shards hold of a shard's
+first key); a key that holds very many rows is spread over several shards; an empty table writes no shard. Files are
+written under a temporary name and renamed. The shared folder must be of a scheme that pyarrow's file systems know.
 """
 
 from __future__ import annotations
@@ -175,6 +176,9 @@ def read_index(raw: bytes) -> Index:
     return Index(keys, occurrences_of(keys), perfect, fingerprints, offsets, counts)
 
 
+_SHARD = ["shard", "width", "first_key", "last_key", "n_null", "n_docs", "n_tokens", "at_last"]
+
+
 def write_shards(
     docs: DataFrame,
     folder: str,
@@ -185,7 +189,8 @@ def write_shards(
 ) -> DataFrame:
     """Write all documents below `folder` in ascending key order; the manifest is returned and stored there.
 
-    Manifest: shard, width (bytes of an id), first_key, last_key, n_docs, n_tokens, start (ids in earlier shards).
+    Manifest: shard, width (bytes of an id), first_key, last_key (null keys as the least integer), n_null (null keys),
+    n_docs, n_tokens, start (ids in earlier shards), prior (rows of first_key in earlier shards).
     """
     path = tokenizer_path(tokenizer)
 
@@ -194,12 +199,13 @@ def write_shards(
         width = encoder.dtype.itemsize
         end = np.array([end_id], encoder.dtype)
         shard = TaskContext.get().partitionId()
-        keys, counts = [], []
+        keys, counts, nulls = [], [], 0
         out = None
         for batch in each_batch(batches, 2048):
             if out is None:
                 out = ShardFile(folder, f"shard-{shard}.ids")
             ids = encoder.ids(batch.column(1))
+            nulls += batch.column(0).null_count
             keys.append(batch.column(0).fill_null(NULL_KEY).to_numpy())
             counts.append(np.diff(ids.ends, prepend=0) + 1)
             out.write(np.insert(ids.flat, ids.ends, end).tobytes())
@@ -210,11 +216,9 @@ def write_shards(
         index = ShardFile(folder, f"shard-{shard}.index")
         index.write(index_bytes(all_keys, all_counts))
         index.close()
-        row = [shard, width, all_keys[0], all_keys[-1], len(all_keys), all_counts.sum()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(x)], pa.int64()) for x in row],
-            names=["shard", "width", "first_key", "last_key", "n_docs", "n_tokens"],
-        )
+        at_last = (all_keys == all_keys[-1]).sum()
+        row = [shard, width, all_keys[0], all_keys[-1], nulls, len(all_keys), all_counts.sum(), at_last]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=_SHARD)
 
     tie = free_name(docs, "row")
     ordered = (
@@ -224,15 +228,23 @@ def write_shards(
         .sortWithinPartitions("key", tie)
         .drop(tie)
     )
-    made = map_batches(
-        ordered, run, "shard long, width long, first_key long, last_key long, n_docs long, n_tokens long"
-    )
+    made = map_batches(ordered, run, ", ".join(f"{c} long" for c in _SHARD))
     spark = docs.sparkSession
     made.write.parquet(f"{folder}/shards")
     # one row per shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = spark.read.parquet(f"{folder}/shards").withColumn(
-        "start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
+    shards = spark.read.parquet(f"{folder}/shards")
+    # shards that end with a key: all but the first of them hold nothing else
+    ending = shards.groupBy(F.col("last_key").alias("first_key")).agg(
+        F.collect_list(F.struct("shard", "at_last")).alias("_by_shard")
+    )
+    held = F.filter("_by_shard", lambda x: x["shard"] < F.col("shard"))
+    prior = F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["at_last"])
+    manifest = (
+        shards.join(ending, "first_key", "left")
+        .withColumn("prior", F.coalesce(prior, F.lit(0)))
+        .withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+        .select("shard", "width", "first_key", "last_key", "n_null", "n_docs", "n_tokens", "start", "prior")
     )
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -275,15 +287,27 @@ class ShardReader:
         offset, count = self.index.find(at, np.array([occurrence]))
         return None if offset[0] < 0 else self.ids_at(offset[0], count[0])
 
+    def all_of(self, key: int | None, nulls: int, prior: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(occurrence over all shards, ids) of a key's documents here; `nulls` rows of the shard have no key."""
+        start = nulls if key == NULL_KEY else 0
+        before = prior if len(self.index.keys) and self.index.keys[0] == (NULL_KEY if key is None else key) else 0
+        number = start
+        while key is not None or number < nulls:
+            ids = self.ids(key, number)
+            if ids is None:
+                return
+            yield before + number - start, ids
+            number += 1
+
 
 def read_all(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """Every document of the shards by keyed access: key, start, n_tokens, ids (little-endian 32-bit)."""
-    manifest = spark.read.parquet(f"{folder}/manifest").select("shard", "width", "start")
+    manifest = spark.read.parquet(f"{folder}/manifest").select("shard", "width", "start", "n_null")
     schema = f"`{key}` long, start long, n_tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, width, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, width, start, nulls in zip(*(c.to_pylist() for c in batch.columns)):
                 reader = ShardReader(folder, shard, width)
                 index = reader.index
                 offsets, counts = index.find(index.keys, index.occurrences)
@@ -294,9 +318,10 @@ def read_all(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
                         for o, c in zip(offsets[part].tolist(), counts[part].tolist())
                     ]
                     keys = index.keys[part]
+                    unnamed = np.arange(at, at + len(keys)) < nulls
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(keys, pa.int64(), mask=keys == NULL_KEY),
+                            pa.array(keys, pa.int64(), mask=unnamed),
                             pa.array(offsets[part] + start),
                             pa.array(counts[part]),
                             pa.array(ids, pa.binary()),
@@ -309,6 +334,48 @@ def read_all(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
     return map_batches(spread, run, schema)
 
 
+def lookup(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
+    """(key, occurrence, ids) of every document that has one of the keys; ids are little-endian 32-bit.
+
+    The manifest routes: a key goes to the shards whose range holds it, and each shard met is opened by one task, which
+    asks its index. Keys that no shard holds give no row; a null key asks for the documents without key; a key asked
+    for several times is answered once. Only the manifest, one row per shard, is read by the driver.
+    """
+    spark = keys.sparkSession
+    shards = sorted(spark.read.parquet(f"{folder}/manifest").collect(), key=lambda r: r["shard"])
+    first, last = (np.array([r[c] for r in shards], np.int64) for c in ("first_key", "last_key"))
+    asked = keys.select(F.col(key).cast("long").alias("key")).distinct()
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).fill_null(NULL_KEY).to_numpy()
+            low, high = np.searchsorted(last, own, "left"), np.searchsorted(first, own, "right")
+            spread = np.maximum(high - low, 0)
+            row = np.repeat(np.arange(len(own)), spread)
+            shard = np.arange(len(row)) - np.repeat(np.cumsum(spread) - spread, spread) + low[row]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(row))], names=["at", "key"])
+
+    routed = map_batches(asked, route, "at long, key long").repartition("at").sortWithinPartitions("at")
+    facts = [(r["shard"], r["width"], r["n_null"], r["prior"]) for r in shards]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reader = -1, None
+        for batch in each_batch(batches):
+            rows = []
+            for place, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard, width, nulls, prior = facts[place]
+                if place != at:
+                    at, reader = place, ShardReader(folder, shard, width)
+                rows += [(own, n, ids.astype("<u4").tobytes()) for n, ids in reader.all_of(own, nulls, prior)]
+            columns = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))],
+                names=[key, "occurrence", "ids"],
+            )
+
+    return map_batches(routed, find, f"`{key}` long, occurrence long, ids binary")
+
+
 def shard_digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """Write the documents' ids, read them back and give each document's place and checksum."""
     spark = docs.sparkSession

@@ -12,6 +12,8 @@ from barlab.llm import chat_windows as chat
 from barlab.llm import dart_minhash as darts
 from barlab.llm import disclosure
 from barlab.llm import vector_forest as forest
+from barlab.llm.chunks import ByteEncoder
+from barlab.llm.common import tokenizer_path
 from barlab.llm.components import components
 
 
@@ -238,6 +240,23 @@ def test_windows_keep_the_budget_and_read_back(spark):
     assert chat.windows(spark.createDataFrame([], kinds)).count() == 0
 
 
+def test_a_turn_that_fits_alone_is_never_pushed_over_the_budget(spark):
+    random.seed(8)
+    kinds = "conv_id long, turn long, role string, text string"
+    rows = [(1, i, "user", "word " * n) for i, n in enumerate((94, 84, 994))]
+    for c in range(2, 40):
+        rows += [(c, 0, "system", "rule " * random.randint(1, 120))] * (c % 2)
+        rows += [(c, 1 + i, ["user", "assistant"][i % 2], "word " * random.randint(0, 1100)) for i in range(25)]
+    made = chat.windows(spark.createDataFrame(rows, kinds)).collect()
+    coder = ByteEncoder(tokenizer_path("byte_bpe_50k.json"))
+    cost = {(c, t): len(coder.one(chat.turn_text(r, x))) for c, t, r, x in rows}
+    over = [r for r in made if r.n_tokens > chat.BUDGET]
+    assert sorted(r.conv_id for r in made if r.over_budget) == sorted(r.conv_id for r in over)
+    alone = sorted(c for c, t, r, _ in rows if r != "system" and cost[c, t] + cost.get((c, 0), 0) * (c > 1) > chat.BUDGET)
+    assert sorted(r.conv_id for r in over) == alone and all(r.n_turns == 1 for r in over)
+    assert [r.n_repeated for r in made if r.conv_id == 1 and r.n_tokens > 900] == [0]
+
+
 def recall_of(vectors, ids, found, k=20):
     shares = []
     by_query = defaultdict(list)

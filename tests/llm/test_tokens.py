@@ -42,6 +42,38 @@ def test_cut_texts_have_the_ids_of_whole_texts(texts, make, path):
     assert [g.tolist() for g in got] == [w.ids for w in want]
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\t" * 2_000_000, "\n" * 2_000_000, "\u3000 " * 60_000])
+def test_very_long_runs_of_blanks_have_the_ids_of_the_merge_queue(run):
+    coder, queue = chunks.ByteEncoder(BYTE), merge_queue.QueueBpe(BYTE)
+    texts = [run, "a" + run, run + "b c", "x 1" + run + "y" + run + "\nz ", run[:-1] + "<|endoftext|>" + run]
+    for text in texts:
+        want = np.frombuffer(queue.encode([text])[0], queue.dtype)
+        assert np.array_equal(coder.ids(pa.array([text])).flat, want)
+
+
+def test_long_blanks_at_the_limit_have_the_ids_of_the_library(monkeypatch):
+    monkeypatch.setattr(chunks, "LONG_RUN", 5)
+    monkeypatch.setattr(chunks, "_LONG_BLANKS", chunks.re.compile(f"[{chunks._BLANK}]{{5,}}"))
+    coder, library = chunks.ByteEncoder(BYTE), chunks.load_tokenizer(BYTE)
+    random.seed(3)
+    for _ in range(800):
+        text = "".join(random.choice(["a", "'s", "7", "!", " " * 6, "\n" * 5, "\t", " ", "\x1c" * 6, "\u2003" * 5, "<|endoftext|>"]) for _ in range(9))
+        assert coder.ids(pa.array([text])).flat.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_pretokens_have_the_ids_of_the_library():
+    assert chunks.PretokenEncoder.fits(WORD) and not chunks.PretokenEncoder.fits(BYTE)
+    encoder, library = chunks.BareEncoder(WORD), chunks.load_tokenizer(WORD)
+    random.seed(5)
+    letters = [chr(c) for c in range(1, 0x180)] + ["'s", "'LL", "\u0301", "\u030c", "J", "\u0130", "\u212b", "<|STARTOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 12))) for _ in range(4000)]
+    texts += [a + c + b for c in letters for a, b in (("a", "B"), ("1", "2"), (".", "!"))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.ids(pa.array(texts)).slices()] == want
+    small = chunks.PretokenEncoder(library, encoder.dtype, chunks.library_encoder(library, encoder.dtype), entries=3)
+    assert small(["The", "cat,", "THE", "cat", "d'or"]) == encoder.cache.of(["The", "cat,", "THE", "cat", "d'or"])
+
+
 def test_cache_stays_bounded():
     cache = chunks.PieceCache(lambda pieces: [p.encode() for p in pieces], entries=10)
     for i in range(50):
@@ -138,6 +170,33 @@ def test_token_files_round_trip(docs, tmp_path, spark):
     assert token_files.shard_digest(docs([])).count() == 0
 
 
+def test_lookup_routes_keys_over_shards(docs, tmp_path, spark):
+    random.seed(9)
+    least = -(1 << 63)
+    rows = [(random.randrange(-50, 50), f"w{i} " + "x " * random.randint(0, 9)) for i in range(400)]
+    rows += [(7, f"hot {i}") for i in range(600)] + [(None, "no key"), (None, None), (least, "least"), (least, "least two")]
+    library = chunks.load_tokenizer(WORD)
+    want = {}
+    for k, t in rows:
+        want.setdefault(k, []).append(tuple(library.encode(t or "", add_special_tokens=False).ids + [2]))
+    folder = f"file://{tmp_path}/routed"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = token_files.write_shards(docs(rows).repartition(5), folder).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(m.first_key <= 7 <= m.last_key for m in manifest) > 1 and sum(m.n_null for m in manifest) == 2
+    asked = spark.createDataFrame([(k,) for k in [*want, 1000, -1000, 7, None]], "doc_id long")
+    got = {}
+    for r in token_files.lookup(asked, folder).collect():
+        got.setdefault(r.doc_id, {})[r.occurrence] = tuple(np.frombuffer(r.ids, "<u4").tolist())
+    assert set(got) == set(want)
+    for k, own in got.items():
+        assert sorted(own) == list(range(len(own))) and sorted(own.values()) == sorted(want[k])
+    back = [r.doc_id for r in token_files.read_all(spark, folder).collect()]
+    assert sorted(map(str, back)) == sorted(str(k) for k, _ in rows)
+    token_files.write_shards(docs([]), f"file://{tmp_path}/none")
+    assert token_files.lookup(asked, f"file://{tmp_path}/none").count() == 0
+
+
 def check_packing(rows, pieces):
     library = chunks.load_tokenizer(BYTE)
     want = sorted(library.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows)
