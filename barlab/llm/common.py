@@ -34,6 +34,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scratch_uri(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below spark.checkpoint.dir as a URI, for files that tasks read and write by pyarrow.fs."""
+    folder = scratch_path(spark, purpose)
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -21,17 +21,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.llm.chunks import ByteEncoder, per_worker
-from barlab.llm.common import each_batch, map_batches, stored, text_column, tokenizer_path
+from barlab.llm.common import each_batch, map_batches, scratch_uri, stored, text_column, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
 BINS = 256
 BROADCAST_OFFSETS = 300_000  # rows of (split, tail length, rank offset), about 24 bytes each
+SPLIT_GROUP = 64  # splits whose offsets stand in one file
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: str = "text") -> DataFrame:
@@ -204,6 +207,44 @@ def plan_tails(histogram: dict[int, int], window: int = WINDOW, bins: int = BINS
     return Plan(*(table[:, i].copy() for i in range(5)), windows=windows, stream=stream)
 
 
+class SplitBases:
+    """What earlier input splits hold: rows of each tail length (place 0: full windows), by split."""
+
+    def __init__(self, held: dict[int, tuple[np.ndarray, np.ndarray]] | None, folder: str | None, group: int = SPLIT_GROUP):
+        self.held, self.folder, self.group, self.last = held, folder, group, (None, None)
+
+    def of(self, part: int, window: int) -> np.ndarray:
+        if self.last[0] != part:
+            tails, bases = self.held[part] if self.held is not None else self._read(part)
+            table = np.zeros(window, np.int64)
+            table[tails] = bases
+            self.last = (part, table)
+        return self.last[1]
+
+    def _read(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        system, root = fs.FileSystem.from_uri(self.folder)
+        rows = pq.read_table(
+            f"{root}/group={part // self.group}", filesystem=system, filters=[("part", "==", part)], partitioning=None
+        )
+        return rows.column("tail").to_numpy(), rows.column("base").to_numpy()
+
+
+def split_bases(offsets: DataFrame, rows: int) -> SplitBases:
+    """Few offsets are sent to all tasks; many are written to the shared folder, where a task reads those of its split.
+
+    Either way the ids stay where they are.
+    """
+    if rows <= BROADCAST_OFFSETS:
+        held: dict[int, list] = {}
+        for r in offsets.collect():
+            held.setdefault(r["part"], []).append((r["tail"], r["base"]))
+        return SplitBases({p: tuple(np.array(x, np.int64) for x in zip(*own)) for p, own in held.items()}, None)
+    folder = scratch_uri(offsets.sparkSession, "packing-bases")
+    grouped = offsets.withColumn("group", F.expr(f"part div {SPLIT_GROUP}"))
+    grouped.repartition("group").sortWithinPartitions("group", "part").write.partitionBy("group").parquet(folder)
+    return SplitBases(None, folder, SPLIT_GROUP)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str = "byte_bpe_50k.json",
@@ -225,23 +266,15 @@ def pack(
     so_far = Window.rowsBetween(Window.unboundedPreceding, -1)
     by_tail = so_far.partitionBy("tail").orderBy("part")
     offsets = per_split.select(
-        "part", "tail", F.coalesce(F.sum("rows").over(by_tail), F.lit(0)).alias("rank_base")
+        "part", "tail", F.coalesce(F.sum("rows").over(by_tail), F.lit(0)).alias("base")
     )
-    # one row per input split
+    # one row per input split; tail 0 stands for its full windows
     by_part = so_far.orderBy("part")
-    splits = fulls.select("part", F.coalesce(F.sum("full").over(by_part), F.lit(0)).alias("full_base"))
-    if per_split.count() <= BROADCAST_OFFSETS:
-        offsets, splits = F.broadcast(offsets), F.broadcast(splits)
-    placed = tokens.join(offsets, ["part", "tail"], "left").join(splits, ["part"], "left")
-    placed = placed.select(
-        "doc_id",
-        "ids",
-        "width",
-        "n",
-        "tail",
-        (F.coalesce("rank_base", F.lit(0)) + F.col("nth")).alias("rank"),
-        (F.col("before") + F.col("full_base")).alias("first"),
+    splits = fulls.select(
+        "part", F.lit(0).cast("long").alias("tail"), F.coalesce(F.sum("full").over(by_part), F.lit(0)).alias("base")
     )
+    bases = split_bases(offsets.unionByName(splits), per_split.count())
+    placed = tokens.select("doc_id", "ids", "width", "n", "tail", "nth", "before", "part")
     shared = spark.sparkContext.broadcast((plan, full, window))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
@@ -254,22 +287,27 @@ def pack(
         for batch in each_batch(batches):
             rows: list[tuple] = []
             owner: list[int] = []
-            tails = batch.column(4).to_numpy()
-            ranks = batch.column(5).to_numpy()
+            tails, parts = batch.column(4).to_numpy(), batch.column(7).to_numpy()
+            base = np.empty((2, len(tails)), np.int64)
+            for part in np.unique(parts).tolist():
+                own = parts == part
+                table = bases.of(part, window)
+                base[0, own], base[1, own] = table[tails[own]], table[0]
+            ranks = batch.column(5).to_numpy() + np.where(tails > 0, base[0], 0)
+            firsts = (batch.column(6).to_numpy() + base[1]).tolist()
             found = np.searchsorted(keys, tails * (1 << 40) + ranks, side="right") - 1
-            for i, (raw, width, n, tail, rank, first) in enumerate(
-                zip(*(batch.column(c).to_pylist() for c in range(1, 7)))
-            ):
+            listed = [*(batch.column(c).to_pylist() for c in range(1, 5)), ranks.tolist(), firsts]
+            for i, (raw, width, n, tail, rank, first) in enumerate(zip(*listed)):
                 ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
                 pieces = [(k * window, window, first + k, 0) for k in range(n // window)]
                 at = n - tail
                 if tail:
                     p = found[i]
-                    base, past = int(plan.base[p]), rank - int(plan.low[p])
+                    run_base, past = int(plan.base[p]), rank - int(plan.low[p])
                     if plan.offset[p] >= 0:
-                        pieces.append((at, tail, full + base + past, int(plan.offset[p])))
+                        pieces.append((at, tail, full + run_base + past, int(plan.offset[p])))
                     else:
-                        place = base + past * tail
+                        place = run_base + past * tail
                         head = min(tail, window - place % window)
                         where = full + plan.windows + place // window
                         pieces.append((at, head, where, place % window))

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlab.llm.chunks import BareEncoder, per_worker
-from barlab.llm.common import each_batch, free_name, map_batches, text_column, tokenizer_path
-from barlab.session import scratch_path
+from barlab.llm.common import each_batch, free_name, map_batches, scratch_uri, text_column, tokenizer_path
 
 END_ID = 2
 MAGIC = b"MPHIDX01"
@@ -379,8 +378,6 @@ def lookup(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
 def shard_digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """Write the documents' ids, read them back and give each document's place and checksum."""
     spark = docs.sparkSession
-    folder = scratch_path(spark, "token-files")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = scratch_uri(spark, "token-files")
     write_shards(docs, folder, tokenizer)
     return read_all(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

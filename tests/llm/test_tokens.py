@@ -233,9 +233,16 @@ def test_packing_places_every_id_once(docs):
 
 def test_packing_of_repeated_rows_and_without_broadcast(docs, monkeypatch):
     monkeypatch.setattr(packing, "BROADCAST_OFFSETS", 0)
+    monkeypatch.setattr(packing, "SPLIT_GROUP", 2)
     rows = [(7, "same text")] * 30 + [(None, "other")] * 3
     padding, n, _ = check_packing(rows, packing.pack(docs(rows)).collect())
     assert n == 1
+    random.seed(2)
+    rows = [(i, "some words " * random.randint(0, 1500)) for i in range(80)]
+    packed = packing.pack(docs(rows).repartition(7))
+    check_packing(rows, packed.collect())
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
 
 
 def test_plan_uses_every_row_once():
