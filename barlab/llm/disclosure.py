@@ -24,10 +24,12 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+from xxhash import xxh64_intdigest
 
 from barlab.llm.common import each_batch, free_name, map_batches, stored, text_column
 
@@ -36,7 +38,12 @@ ANY = "*"  # stands for any entity in the counts
 CONTEXT = 20
 MIN_DOCS = 1  # texts that a pair needs: every pair is scored
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
-BROADCAST_TERMS = 200_000  # terms in a broadcast, about 100 bytes each
+# Revealing terms are sent to all tasks up to so many bytes, each with what a table entry costs besides its letters.
+BROADCAST_BYTES, TERM_BYTES = 64 << 20, 120
+FILTER_BYTES, FILTER_TASKS, PROBES = 8 << 20, 8, 5
+FILTER_CACHE = 400_000  # words whose answer a task remembers
+HELD_PAIRS = 800_000  # (term, text) pairs that a task holds
+SALT = 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -195,13 +202,13 @@ def revealing_terms(
     counted = stored(counted.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "disclosure-pairs")
     entity = counted.filter("term is null").select("entity", F.col("n").alias("n_e"))
     pairs = counted.filter((F.col("entity") != ANY) & F.col("term").isNotNull() & (F.col("n") >= int(min_docs)))
-    pairs = pairs.select("entity", "term", F.col("n").alias("n_et")).join(entity, "entity")
+    pairs = salted(pairs.select("entity", "term", F.col("n").alias("n_et")), entity, "entity", "term")
     # a term is in at least as many texts as it is near any entity, which bounds its disclosure
     near_any = counted.filter(F.col("entity") == ANY).select("term", F.col("n").alias("n_near"))
     most = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_near")))
     most = most / F.log(F.lit(float(total)) / F.col("n_e"))
-    pairs = pairs.join(near_any, "term").filter((F.col("n_e") < total) & (most >= generalise_at - 1e-9)).drop("n_near")
-    pairs = stored(pairs, "disclosure-candidates")
+    pairs = salted(pairs, near_any, "term", "entity").filter((F.col("n_e") < total) & (most >= generalise_at - 1e-9))
+    pairs = stored(pairs.drop("n_near"), "disclosure-candidates")
     # the largest n(t) with which the term still reaches generalise_at
     enough = F.lit(float(total)) * F.col("n_et") / F.col("n_e")
     enough = enough * F.pow(F.col("n_e") / F.lit(float(total)), F.lit(float(generalise_at)))
@@ -209,30 +216,69 @@ def revealing_terms(
     frequency = document_counts(texts, stored(candidates, "disclosure-terms"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
-    scored = pairs.join(frequency, "term")
+    scored = salted(pairs, frequency, "term", "entity")
     strongest = scored.groupBy("term").agg(F.max(pmi / ic).alias("disclosure"))
     return strongest.filter(F.col("disclosure") >= generalise_at).select(
         "term", "disclosure", (F.col("disclosure") >= remove_at).alias("remove")
     )
 
 
+class BitFilter:
+    """A Bloom filter of words: no member is refused, some others pass. At most FILTER_BYTES long, whatever it holds."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.size = bits, np.uint64(len(bits) * 8)
+        self.seen: dict[str, bool] = {}
+
+    @staticmethod
+    def places(words: list[str], size: int) -> np.ndarray:
+        """PROBES places for every word, by double hashing."""
+        h = np.array([xxh64_intdigest(w.encode()) for w in words], np.uint64)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(h + step * np.uint64(i)) % np.uint64(size) for i in range(PROBES)])
+
+    def passes(self, word: str) -> bool:
+        known = self.seen.get(word)
+        if known is None:
+            at = self.places([word], int(self.size))[:, 0]
+            known = bool(((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all())
+            if len(self.seen) >= FILTER_CACHE:
+                self.seen.clear()
+            self.seen[word] = known
+        return known
+
+
+def bit_filter(words: DataFrame, count: int) -> np.ndarray:
+    """The bits of a `BitFilter` of the column `term`: made by few tasks, joined here; about 10 bits a word."""
+    size = 8 * min(FILTER_BYTES, max(64, count * 10 // 8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = BitFilter.places(batch.column(0).to_pylist(), size).ravel()
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    made = map_batches(words.select("term").coalesce(FILTER_TASKS), run, "bits binary").toLocalIterator()
+    out = np.zeros(size // 8, np.uint8)
+    for r in made:
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, n_t): in how many different texts (by `h`) each wanted term occurs.
 
-    The count is exact up to `at_most`; of a more frequent term it is only known to be larger, as a task passes on no
-    more than `at_most` + 1 texts of it. Few terms (by count) are sent to the tasks; otherwise all terms are counted up
-    to the largest `at_most`, then joined. A task holds a bounded number of pairs.
+    Tasks know the wanted terms by a bit filter of bounded size and pass on (term, text) pairs of terms that pass, each
+    pair once; a join with the wanted terms drops the others. The count is exact up to the largest `at_most`; of a
+    more frequent term it is only known to be larger, as a task passes on no more than that many texts of it, and one.
     """
-    few = wanted.count() <= BROADCAST_TERMS
     most = wanted.agg(F.max("at_most")).first()[0] or 0
-    held = texts.sparkSession.sparkContext.broadcast(
-        {r["term"]: r["at_most"] for r in wanted.collect()} if few else None
-    )
+    held = texts.sparkSession.sparkContext.broadcast(bit_filter(wanted, wanted.count()))
+    limit = HELD_PAIRS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = held.value
-        if chosen is not None and not chosen:
-            return
+        chosen = BitFilter(held.value)
         found: dict[str, set[int]] = {}
         told: set[str] = set()
         n = 0
@@ -246,31 +292,36 @@ def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch in each_batch(batches):
             for h, t in zip(*(c.to_pylist() for c in batch.columns)):
-                own = terms_of(t)
-                for w in own if chosen is None else own & chosen.keys():
-                    if w in told:
+                for w in terms_of(t):
+                    if not chosen.passes(w) or w in told:
                         continue
                     keys = found.setdefault(w, set())
                     n += h not in keys
                     keys.add(h)
-                    if len(keys) > (most if chosen is None else chosen[w]):
+                    if len(keys) > most:
                         told.add(w)
-                if n > 4 * BROADCAST_TERMS:
+                if n > limit:
                     yield pairs()
                     found.clear()
                     n = 0
         yield pairs()
 
-    pairs = map_batches(texts, count, "term string, h long")
-    if not few:
-        pairs = pairs.join(wanted, "term", "left_semi")
+    pairs = map_batches(texts, count, "term string, h long").join(wanted.select("term"), "term", "left_semi")
     return pairs.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
+def salted(large: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on `key` where the large side may hold one key very often: its rows are dealt by `by` to SALT copies."""
+    spread = large.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)))
+    copies = small.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")))
+    return spread.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def with_spans(docs: DataFrame, text: str = "text", **limits: float) -> tuple[DataFrame, str, str]:
     """The table with two columns more and their names: spans (base kinds first) and the cleaned text."""
     terms = stored(revealing_terms(docs, text, **limits).select("term", "remove"), "disclosure-found")
-    few = terms.count() <= BROADCAST_TERMS
+    size = terms.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     held = docs.sparkSession.sparkContext.broadcast(
         {r["term"]: r["remove"] for r in terms.collect()} if few else None
     )
@@ -306,10 +357,12 @@ def with_spans(docs: DataFrame, text: str = "text", **limits: float) -> tuple[Da
 def _join_terms(docs: DataFrame, terms: DataFrame, text: str, name: str) -> DataFrame:
     """Rows with a map of the revealing terms of their own text, found by a shuffle join on the term."""
     h = F.xxhash64(text_column(text))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(terms, terms.count()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = BitFilter(held.value)
         for batch in each_batch(batches):
-            rows = {(i, w) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for w in terms_of(t)}
+            rows = {(i, w) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for w in terms_of(t) if chosen.passes(w)}
             hashes, words = zip(*rows) if rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.int64()), pa.array(words, pa.string())], names=["h", "term"]

@@ -145,7 +145,7 @@ def test_terms_that_reveal_an_entity_are_found_and_cleaned(docs, monkeypatch):
     assert "@" not in clean[0] and "[email]" in clean[0] and "Contact" not in clean[0]
     assert disclosure.sanitise(d).columns == d.columns
     first = sorted(map(tuple, disclosure.span_digest(d).collect()))
-    monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(disclosure, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, disclosure.span_digest(d).collect())) == first
     assert disclosure.span_digest(docs([])).count() == 0
     row = next(r for r in first if r[0] == 0)
@@ -159,13 +159,53 @@ def test_terms_beside_an_entity_of_one_text_are_found_and_copies_count_once(docs
     terms = {r.term: r for r in disclosure.revealing_terms(docs(rows)).collect()}
     assert terms["quillfeather"].disclosure == pytest.approx(1) and terms["quillfeather"].remove
     assert "please" not in terms and "number" not in terms  # in 31 and 90 of 91 texts
-    monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(disclosure, "BROADCAST_BYTES", -1)
     more = docs(rows + [(300 + i, one) for i in range(40)] + [(400 + i, FACTS[0]) for i in range(40)])
     assert {r.term: r for r in disclosure.revealing_terms(more).collect()} == terms
     clean = {r.doc_id: r.text for r in disclosure.sanitise(docs(rows)).collect()}
     assert "Quillfeather" not in clean[100] and "please" in clean[100] and clean[3] == FACTS[3]
 
 
+def brute_disclosure(texts, context=disclosure.CONTEXT):
+    """Term to its greatest disclosure over different texts, by counting everything."""
+    texts = list(dict.fromkeys(texts))
+    total, n_e, n_t, n_et = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        spans = disclosure.base_spans(t or "")
+        n_t.update(disclosure.terms_of(t or ""))
+        for entity, own in disclosure.context_terms(t or "", spans, context).items():
+            n_e[entity] += 1
+            n_et.update((entity, w) for w in own)
+    best = {}
+    for (e, w), n in n_et.items():
+        if n_e[e] < total:
+            value = np.log(total * n / (n_e[e] * n_t[w])) / np.log(total / n_e[e])
+            best[w] = max(best.get(w, -9), value)
+    return best
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_disclosures_equal_a_full_count(real, monkeypatch, tight):
+    if tight:  # a filter that lets nearly everything pass, and small holds
+        for name, value in (("FILTER_BYTES", 8), ("HELD_PAIRS", 50), ("FILTER_CACHE", 5)):
+            monkeypatch.setattr(disclosure, name, value)
+    table = real("documents")
+    found = {r.term: r for r in disclosure.revealing_terms(table).collect()}
+    want = {w: v for w, v in brute_disclosure([r.text for r in table.collect()]).items() if v >= disclosure.GENERALISE_AT - 1e-12}
+    assert set(found) == set(want) and len(want) > 20
+    for w, r in found.items():
+        assert r.disclosure == pytest.approx(want[w]) and r.remove == (want[w] >= disclosure.REMOVE_AT - 1e-12)
+
+
+def test_a_bit_filter_refuses_no_member_and_few_others(spark):
+    words = [f"w{i}" for i in range(5000)]
+    table = spark.createDataFrame([(w,) for w in words], "term string")
+    chosen = disclosure.BitFilter(disclosure.bit_filter(table, 5000))
+    assert all(map(chosen.passes, words)) and sum(chosen.passes(f"x{i}") for i in range(5000)) < 250
+    none = disclosure.BitFilter(disclosure.bit_filter(table.limit(0), 0))
+    assert not any(map(none.passes, words))
+
+
 def test_overlapping_spans_are_covered_whole():
     for text, want in (
         ("at 10.0.0.4 111 1111 1111 1111 now", "at [ip] now"),
