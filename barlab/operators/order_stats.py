@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from barlab.functions.numeric import finite
-from barlab.operators.ranks import nearest_rank, quantiles
+from barlab.operators.ranks import quantiles
 from barlab.session import BROADCAST_ROWS, map_arrow, materialise
 
 DIGIT_BITS = 16
@@ -220,20 +220,20 @@ def _regrouped(counts: DataFrame, keys: Sequence[str], spread: dict[str, Column]
 
 
 def wide_order_statistics(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: dict[str, Column],
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], names: Sequence[str], ranks: Column,
     spread: dict[str, Column] | None = None, open_rows: int = OPEN_ROWS, max_cells: int = MAX_CELLS,
 ) -> DataFrame | None:
-    """(keys, feature, finite_rows, one column per rank): the values at 0-based ranks of each group and column.
+    """(keys, feature, finite_rows, one column per name): the values at 0-based ranks of each group and column.
 
-    `ranks` maps names to expressions over `group_rows`, the finite values of the group. Pass stored rows. Columns
-    without a finite value in a group have no row. None where the wanted cells pass `max_cells`.
+    `ranks` is an array of bigint, one per name, over `group_rows`, the finite values of the group. Pass stored rows.
+    Columns without a finite value in a group have no row. None where the wanted cells pass `max_cells`.
 
     `spread` replaces `keys` by other groups: it maps an output key to an array over `keys`, and a row belongs to
     every combination. Counts are summed per group of `keys` first, so rows of one interval serve all folds that
     contain it and are read and counted once. Keys must be strings or integers.
     """
     spark, keys, columns = df.sparkSession, list(keys), list(columns)
-    names, out_keys = list(ranks), list(spread) if spread else list(keys)
+    names, out_keys = list(names), list(spread) if spread else list(keys)
     counted = _leading(df, keys, columns)
     if spread:
         counted = materialise(counted)
@@ -241,9 +241,9 @@ def wide_order_statistics(
     else:
         counts = counted
     first = _hits(counts, [*out_keys, "column"], "code")
-    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), r.alias("rank")) for i, r in enumerate(ranks.values())]))
-    inside = (F.col("want.rank") >= F.col("before")) & (F.col("want.rank") < F.col("before") + F.col("n"))
-    found = materialise(first.withColumn("want", asked).where(inside))
+    asked = F.transform(ranks, lambda r, i: F.struct(i.alias("stat"), r.alias("rank")))
+    inside = F.filter(asked, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n")))
+    found = materialise(first.withColumn("want", F.explode(inside)))
     if found.count() > max_cells:
         return None
     outs: dict[tuple, int] = {}
@@ -319,23 +319,28 @@ def wide_quantiles(
     groups, see `wide_order_statistics`. Pass stored rows.
     """
     nearest, linear, ends = nearest or {}, linear or {}, ends or {}
-    last = F.col("group_rows") - 1
-    ranks = {n: nearest_rank(q) for n, q in nearest.items()}
-    for n, q in linear.items():
-        ranks[f"_lo_{n}"] = F.floor(last * F.lit(float(q))).cast("bigint")
-        ranks[f"_hi_{n}"] = F.ceil(last * F.lit(float(q))).cast("bigint")
-    for n, at in ends.items():
-        ranks[n] = F.lit(at).cast("bigint") if at >= 0 else F.col("group_rows") + F.lit(at)
-    stats = wide_order_statistics(df, keys, columns, ranks, spread, open_rows, max_cells)
+    rows = F.col("group_rows")
+
+    def at(shares: Sequence[float], rounded) -> Column:
+        listed = F.array(*[F.lit(float(q)) for q in shares]).cast("array<double>")
+        return F.transform(listed, lambda q: rounded((rows - 1) * q).cast("bigint"))
+
+    edges = F.array(*[F.lit(e) for e in ends.values()]).cast("array<bigint>")
+    ranks = F.concat(
+        at(nearest.values(), F.round), at(linear.values(), F.floor), at(linear.values(), F.ceil),
+        F.transform(edges, lambda e: F.when(e >= 0, e).otherwise(rows + e)),
+    )
+    names = [*nearest, *[f"_lo_{n}" for n in linear], *[f"_hi_{n}" for n in linear], *ends]
+    stats = wide_order_statistics(df, keys, columns, names, ranks, spread, open_rows, max_cells)
     if stats is None and spread:
         raise ValueError("too many groups for a spread: cut them into blocks of groups")
     if stats is None:
         return _by_column(df, keys, columns, nearest, linear, ends)
     keys = list(spread) if spread else keys
-    at = F.col("finite_rows") - 1
+    last = F.col("finite_rows") - 1
     out = {n: F.col(n) for n in [*nearest, *ends]}
     for n, q in linear.items():
-        part = at * F.lit(float(q)) - F.floor(at * F.lit(float(q)))
+        part = last * F.lit(float(q)) - F.floor(last * F.lit(float(q)))
         out[n] = F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part
     return stats.select(*keys, "feature", "finite_rows", *[c.alias(n) for n, c in out.items()])
 
