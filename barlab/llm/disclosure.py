@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -237,15 +237,18 @@ class BitFilter:
         step = (h >> np.uint64(32)) | np.uint64(1)
         return np.stack([(h + step * np.uint64(i)) % np.uint64(size) for i in range(PROBES)])
 
-    def passes(self, word: str) -> bool:
-        known = self.seen.get(word)
-        if known is None:
-            at = self.places([word], int(self.size))[:, 0]
-            known = bool(((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all())
-            if len(self.seen) >= FILTER_CACHE:
-                self.seen.clear()
-            self.seen[word] = known
-        return known
+    def among(self, lists: Sequence[Collection[str]]) -> list[list[str]]:
+        """Of every list the words that pass; words not met before are looked up together."""
+        seen = self.seen
+        new = list({w for own in lists for w in own if w not in seen})
+        if len(seen) + len(new) > FILTER_CACHE:
+            self.seen = seen = {}
+            new = list({w for own in lists for w in own})
+        if new:
+            at = self.places(new, int(self.size))
+            bits = self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
+            seen.update(zip(new, (bits & 1).all(axis=0).tolist()))
+        return [[w for w in own if seen[w]] for own in lists]
 
 
 def bit_filter(words: DataFrame, count: int) -> np.ndarray:
@@ -291,9 +294,10 @@ def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
         for batch in each_batch(batches):
-            for h, t in zip(*(c.to_pylist() for c in batch.columns)):
-                for w in terms_of(t):
-                    if not chosen.passes(w) or w in told:
+            lists = chosen.among([terms_of(t) for t in batch.column(1).to_pylist()])
+            for h, own in zip(batch.column(0).to_pylist(), lists):
+                for w in own:
+                    if w in told:
                         continue
                     keys = found.setdefault(w, set())
                     n += h not in keys
@@ -362,7 +366,8 @@ def _join_terms(docs: DataFrame, terms: DataFrame, text: str, name: str) -> Data
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = BitFilter(held.value)
         for batch in each_batch(batches):
-            rows = {(i, w) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for w in terms_of(t) if chosen.passes(w)}
+            lists = chosen.among([terms_of(t) for t in batch.column(1).to_pylist()])
+            rows = {(i, w) for i, own in zip(batch.column(0).to_pylist(), lists) for w in own}
             hashes, words = zip(*rows) if rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.int64()), pa.array(words, pa.string())], names=["h", "term"]
