@@ -97,6 +97,29 @@ def dataset_resume(spark, sf_dir):
     )
 
 
+@register(
+    "dataset_rebuild",
+    q.query(
+        q.BARS_LI, q.SEGMENTS,
+        select="SELECT root, count(*) AS expected_rows, count(*) AS stored_rows, root = 'N' AS rebuilt, "
+        "count(*) FILTER (WHERE roll_event) AS rolls FROM seg GROUP BY root",
+    ),
+)
+def dataset_rebuild(spark, sf_dir):
+    """A committed dataset whose root N lost its first year gets that root back; readers see all rows again."""
+    rows = materialise(seg_li(spark, sf_dir))
+    path = scratch_path(spark, "rebuilt")
+    expected = materialise(
+        rows.groupBy("root").agg(
+            F.count(F.lit(1)).alias("expected_rows"), F.count_if("roll_event").alias("expected_rolls")
+        )
+    )
+    dataset.commit_roots(spark, path, rows.where((F.col("root") != "N") | (F.year("ts") > 1995)))
+    done = dataset.rebuild_roots(spark, path, rows, expected)
+    rolls = dataset.read_committed(spark, path).groupBy("root").agg(F.count_if("roll_event").alias("rolls"))
+    return report(done.join(rolls, "root"))
+
+
 @register(
     "stored_rollovers",
     q.query(

@@ -27,10 +27,12 @@ from barlab.functions.clock import DAY, MINUTE
 from barlab.operators import cross
 from barlab.operators import features as feat
 from barlab.operators import labels as lab
+from barlab.operators.lineage import lineage_table
 from barlab.operators import profile as prof
 from barlab.operators import quality as qual
 from barlab.operators import sampling as samp
 from barlab.operators import stability as stab
+from barlab.operators.tiles import ordered_index
 from barlab.session import materialise
 
 CUTOFF = datetime(2000, 1, 1)
@@ -141,28 +143,42 @@ def experiment_sizes(spark, sf_dir):
     return report(parts[0].unionByName(parts[1]).unionByName(parts[2]), 6)
 
 
+def _picked_sql(name: str, view: str) -> str:
+    """CTEs ``at_<name>`` (root, position, ts): the even sample of one experiment's view, numbered."""
+    own = even_sql("v_" + name, 100).replace("pos AS", f"pos_{name} AS").replace("FROM pos ", f"FROM pos_{name} ")
+    own = own.replace("FROM pos)", f"FROM pos_{name})").replace("picks AS", f"picks_{name} AS").replace("JOIN picks ", f"JOIN picks_{name} ")
+    own = own.replace("picked AS", f"picked_{name} AS")
+    return (
+        f"v_{name} AS ({view}), {own}, at_{name} AS (SELECT root, ts, row_number() OVER (PARTITION BY root ORDER BY ts) - 1 AS position "
+        f"FROM picked_{name})"
+    )
+
+
 @register(
     "experiment_row_identity",
     q.query(
         *LI_B, f"e AS (SELECT * FROM b WHERE {TARGET} IS NOT NULL AND rolling_vwap_240d IS NOT NULL)",
-        even_sql("e", 100),
-        select="SELECT root, count(*) AS rows, CAST(0 AS BIGINT) AS differences FROM picked GROUP BY root",
+        _picked_sql("a", "SELECT root, ts FROM e"), _picked_sql("b2", f"SELECT root, ts, {LI_ANCHOR_COLS[0]} FROM e"),
+        _picked_sql("c", f"SELECT root, ts, log_return_1d - {LI_ANCHOR_COLS[0]} AS d FROM e"),
+        "bad AS (SELECT coalesce(x.root, y.root) AS root FROM at_a x FULL JOIN at_b2 y USING (root, position) WHERE x.ts IS DISTINCT FROM y.ts "
+        "UNION ALL SELECT coalesce(x.root, y.root) FROM at_a x FULL JOIN at_c y USING (root, position) WHERE x.ts IS DISTINCT FROM y.ts)",
+        select="SELECT root, count(*) AS rows, (SELECT count(*) FROM bad WHERE bad.root = at_a.root) AS differences FROM at_a GROUP BY root",
     ),
 )
 def experiment_row_identity(spark, sf_dir):
-    """The B and C samples hold the same (root, ts) rows as the A sample."""
+    """The B and C samples hold the same (root, ts) rows at the same places as the A sample."""
     rows = materialise(market_li(spark, sf_dir).where(qual.eligible(DAY, TARGET)))
-    sample = {
-        name: samp.even_sample(
-            cross.experiment_view(rows, name, DAY, LI_ANCHORS, TARGET).select("root", "ts"),
-            100, DAY, tile_units=LI_TILE,
-        )
-        for name in ("A", "B", "C")
-    }
+
+    def numbered(name):
+        view = cross.experiment_view(rows, name, DAY, LI_ANCHORS, TARGET).select("root", "ts")
+        sample = samp.even_sample(view, 100, DAY, tile_units=LI_TILE).drop("group_rows")
+        return ordered_index(sample, ["root"], DAY, tile_units=LI_TILE).withColumnRenamed("row_index", "position")
+
+    sample = {name: materialise(numbered(name)) for name in ("A", "B", "C")}
     base = sample["A"].groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
     bad = (
-        samp.identity_differences(sample["A"], sample["B"])
-        .unionByName(samp.identity_differences(sample["A"], sample["C"]))
+        samp.ordered_differences(sample["A"], sample["B"])
+        .unionByName(samp.ordered_differences(sample["A"], sample["C"]))
         .groupBy("root").agg(F.count(F.lit(1)).alias("differences"))
     )
     return report(
@@ -257,56 +273,67 @@ def availability(spark, sf_dir):
     )
 
 
-LINEAGE = [
-    # Family, source columns, look-back and normalisation of the feature set.
-    ("log_return", ["close", "ts", "contract_segment_id"], "exact clock units", "log ratio"),
-    ("candle", ["open", "high", "low", "close"], "current bar", "ratio"),
-    ("ema", ["close"], "5, 20 and 50 observations", "log ratio"),
-    ("rsi", ["close"], "14 observations", "0 to 100"),
-    ("atr", ["high", "low", "close"], "14 observations", "price ratio"),
-    ("realized_vol", ["close", "ts"], "5, 15 and 60 clock units", "standard deviation"),
-    ("volume", ["volume"], "20 and 60 observations", "z-score and ratio"),
-    ("vwap", ["high", "low", "close", "volume"], "60 and 240 observations", "price ratio"),
-    ("clock", ["ts"], "current bar", "cyclical"),
-    ("anchor", ["ts", "anchor log return"], "exact clock units", "log return"),
-    ("label", ["close", "ts", "contract_segment_id"], "none (looks ahead)", "log ratio"),
-]
-
-
-def family(name: str) -> str:
-    for prefix, fam in (
-        ("log_return", "log_return"), ("future_return", "label"), ("close_to_ema", "ema"), ("ema", "ema"),
-        ("rsi", "rsi"), ("atr", "atr"), ("realized_vol", "realized_vol"), ("close_minus_vwap", "vwap"),
-        ("chicago", "clock"), ("hour_", "clock"), ("day_of_week", "clock"),
-    ):
-        if name.startswith(prefix):
-            return fam
-    if name in feat.CANDLE_FEATURES:
-        return "candle"
-    return "volume" if "volume" in name else "anchor"
+SOURCES = ("open", "high", "low", "close", "volume", "ts")
+
+
+def _stated_sources(column: str) -> tuple[str, ...]:
+    """What the SQL twin says that a column is made from, by its formula."""
+    own = {
+        "return_open_to_close": ("open", "close"), "range_pct": ("high", "low", "close"),
+        "upper_wick_pct": ("open", "high", "close"), "lower_wick_pct": ("open", "low", "close"),
+        "close_location_in_bar": ("high", "low", "close"), "atr_14_normalized": ("high", "low", "close"),
+    }
+    if column in own:
+        return own[column]
+    if "vwap" in column:
+        return ("high", "low", "close", "volume")
+    if "volume" in column:
+        return ("volume",)
+    return ("ts",) if column.startswith(("chicago", "hour", "day_of")) else ("close",)
+
+
+_STATED = 'src("column", source_column) AS (VALUES ' + ", ".join(
+    f"('{c}', '{x}')" for c in _AUDITED for x in _stated_sources(c)
+) + ")"
+
+
+def derived_market(spark, sf_dir):
+    """The market table with its whole plan from the segmented bars on, for its lineage."""
+    own = features_li(spark, sf_dir)
+    return cross.add_cross_market(own, cross.anchor_table(own, DAY, LI_ANCHORS))
+
+
+@register(
+    "feature_sources",
+    q.query(
+        q.BARS_LI, _STATED,
+        select="SELECT \"column\", string_agg(source_column, ',' ORDER BY source_column) AS sources, "
+        "(SELECT count(*) FROM bars) AS bars FROM src GROUP BY \"column\"",
+    ),
+)
+def feature_sources(spark, sf_dir):
+    """The data contract: every audited column with the bar columns that its plan takes values from."""
+    market = derived_market(spark, sf_dir)
+    pairs = lineage_table(market, _AUDITED, SOURCES)
+    rows = market.agg(F.count(F.lit(1)).alias("bars"))
+    listed = pairs.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("source_column")), ",").alias("sources"))
+    return report(listed.withColumn("bars", F.lit(rows.first()["bars"])))
 
 
 @register(
     "source_column_lineage",
     q.query(
-        *_FULL_B,
-        "fam(\"column\", source_column) AS (VALUES " + ", ".join(
-            f"('{c}', '{s}')" for c in _AUDITED for f, src, _, _ in LINEAGE if f == family(c) for s in src
-        ) + ")",
+        *_FULL_B, _STATED,
         select="SELECT source_column, count(DISTINCT \"column\") AS derived_columns, CAST(sum(nulls) AS BIGINT) AS nulls, "
-        "CAST(sum(rows) AS BIGINT) AS rows FROM nul JOIN fam USING (\"column\") GROUP BY source_column",
+        "CAST(sum(rows) AS BIGINT) AS rows FROM nul JOIN src USING (\"column\") GROUP BY source_column",
     ),
 )
 def source_column_lineage(spark, sf_dir):
-    """The data contract joined with the audit: nulls of everything derived from a source column."""
-    spec = spark.createDataFrame(
-        [(c, f, s, b, n) for c in _AUDITED for f, s, b, n in LINEAGE if f == family(c)],
-        "column string, family string, source_columns array<string>, lookback string, normalization string",
-    )
+    """The lineage joined with the audit: nulls of everything derived from a source column."""
+    pairs = lineage_table(derived_market(spark, sf_dir), _AUDITED, SOURCES)
     counts = qual.null_counts(market_li(spark, sf_dir), _AUDITED)
     return report(
-        counts.join(spec, "column")
-        .select("column", "rows", "nulls", F.explode("source_columns").alias("source_column"))
+        counts.join(F.broadcast(pairs), "column")
         .groupBy("source_column")
         .agg(F.count_distinct("column").alias("derived_columns"), F.sum("nulls").alias("nulls"), F.sum("rows").alias("rows"))
     )

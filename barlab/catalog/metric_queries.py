@@ -99,16 +99,21 @@ def naive_li(spark, sf_dir, *extra):
     return met.naive_predictions(rows, LAST)
 
 
-@register(
-    "split_counts",
-    q.query(
-        q.BARS_SU,
-        "span AS (SELECT epoch_us(min(ts)) AS s, epoch_us(max(ts)) AS e FROM bars)",
-        """cut AS (SELECT make_timestamp(CAST(floor((s + round((e - s) * 0.7)) / 60000000) * 60000000 AS BIGINT)) AS b1,
+LABELLED_SU = (
+    q.BARS_SU,
+    "span AS (SELECT epoch_us(min(ts)) AS s, epoch_us(max(ts)) AS e FROM bars)",
+    """cut AS (SELECT make_timestamp(CAST(floor((s + round((e - s) * 0.7)) / 60000000) * 60000000 AS BIGINT)) AS b1,
   make_timestamp(CAST(floor((s + round((e - s) * 0.85)) / 60000000) * 60000000 AS BIGINT)) AS b2 FROM span)""",
-        f"""lab AS (SELECT b.*, b1, b2, CASE WHEN ts < b1 - INTERVAL {PURGE} DAY THEN 'train'
+    f"""lab AS (SELECT b.*, b1, b2, CASE WHEN ts < b1 - INTERVAL {PURGE} DAY THEN 'train'
   WHEN ts >= b1 + INTERVAL {PURGE} DAY AND ts < b2 - INTERVAL {PURGE} DAY THEN 'validation'
   WHEN ts >= b2 + INTERVAL {PURGE} DAY THEN 'test' ELSE 'purged' END AS split FROM bars b, cut)""",
+)
+
+
+@register(
+    "split_counts",
+    q.query(
+        *LABELLED_SU,
         select="SELECT root, split, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, "
         "min(b1) AS train_validation_boundary, min(b2) AS validation_test_boundary FROM lab GROUP BY root, split",
     ),
@@ -134,8 +139,10 @@ def split_counts(spark, sf_dir):
 @register(
     "split_integrity",
     q.query(
-        q.BARS_SU,
-        select="SELECT CAST(0 AS BIGINT) AS violations, count(DISTINCT ts) AS timestamps FROM bars",
+        *LABELLED_SU,
+        "per AS (SELECT ts, min(split) FILTER (WHERE split <> 'purged') AS lo, max(split) FILTER (WHERE split <> 'purged') AS hi, "
+        "min(b2) AS b2 FROM lab GROUP BY ts)",
+        select="SELECT count(*) FILTER (WHERE lo <> hi OR (hi = 'test' AND ts < b2)) AS violations, count(*) AS timestamps FROM per",
     ),
 )
 def split_integrity(spark, sf_dir):
@@ -170,8 +177,9 @@ def fold_declaration(spark, sf_dir):
     "fold_reconciliation",
     q.query(
         *FEAT_LI, ELIGIBLE_LI, FOLDS_SQL,
-        select="SELECT fold, root, count(*) AS evaluated_rows, CAST(0 AS BIGINT) AS mismatch FROM elig, folds "
-        "WHERE ts >= es AND ts < ee GROUP BY fold, root",
+        "decl AS (SELECT fold, root, count(*) FILTER (WHERE ts >= es AND ts < ee) AS e FROM elig, folds GROUP BY fold, root)",
+        "got AS (SELECT fold, root, count(*) AS n FROM elig JOIN folds ON ts >= es AND ts < ee GROUP BY fold, root)",
+        select="SELECT fold, root, n AS evaluated_rows, CAST(n IS DISTINCT FROM e AS BIGINT) AS mismatch FROM got LEFT JOIN decl USING (fold, root)",
     ),
 )
 def fold_reconciliation(spark, sf_dir):
@@ -246,6 +254,21 @@ def training_caps(spark, sf_dir):
     return report(sample_counts(rows, (50, 100, 200, 5000), DAY, LI_TILE))
 
 
+@register(
+    "selected_row_digest",
+    q.query(
+        *FEAT_LI, ELIGIBLE_LI, even_sql("elig", 100),
+        """ln AS (SELECT root, ts, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(31) || root || chr(31) || instrument_id
+  || chr(31) || contract_segment_id || chr(10) AS line FROM picked)""",
+        select="SELECT root, count(*) AS rows, sha256(string_agg(line, '' ORDER BY ts)) AS digest FROM ln GROUP BY root",
+    ),
+)
+def selected_row_digest(spark, sf_dir):
+    """The digest of each root's capped training rows, as one stream in time order."""
+    rows = eligible_li(spark, sf_dir, "root", "ts", "instrument_id", "contract_segment_id")
+    return report(samp.selected_row_digest(samp.even_sample(rows, 100, DAY, tile_units=LI_TILE)))
+
+
 @register(
     "sample_fingerprint",
     q.query(
@@ -267,11 +290,11 @@ def sample_fingerprint(spark, sf_dir):
     "roll_context",
     q.query(
         q.BARS_SU, q.SEGMENTS,
-        """pos AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts) AS rn FROM seg),
-near AS (SELECT root, contract_segment_id AS roll_segment, rn AS roll_rn, rn + d.i AS rn
-  FROM pos, range(-5, 6) d(i) WHERE roll_event)""",
-        select="""SELECT p.root, p.ts, roll_segment, CAST(p.rn - roll_rn AS BIGINT) AS offset_rows
-FROM near n JOIN pos p ON p.root = n.root AND p.rn = n.rn""",
+        """pos AS MATERIALIZED (SELECT root, ts, roll_event, contract_segment_id,
+  row_number() OVER (PARTITION BY root ORDER BY ts) AS rn FROM seg),
+near AS MATERIALIZED (SELECT root, contract_segment_id AS roll_segment, rn AS roll_rn, unnest(range(rn - 5, rn + 6)) AS rn
+  FROM pos WHERE roll_event)""",
+        select="SELECT root, ts, roll_segment, CAST(rn - roll_rn AS BIGINT) AS offset_rows FROM near JOIN pos USING (root, rn)",
     ),
 )
 def roll_context(spark, sf_dir):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from barlab.catalog import sql as q
 from barlab.catalog.bars import LI_ANCHORS, LI_TILE, seg_su
-from barlab.catalog.market_queries import market_li
+from barlab.catalog.log_queries import DAYS_AFTER, NOW, moment
+from barlab.catalog.market_queries import CUTOFF, market_li
 from barlab.catalog.metric_queries import (
     ELIGIBLE_LI,
     FEAT_LI,
@@ -20,14 +23,18 @@ from barlab.catalog.registry import register, report
 from barlab.functions.clock import DAY
 from barlab.operators import cross
 from barlab.operators import features as feat
+from barlab.operators import frozen as fro
 from barlab.operators import labels as lab
 from barlab.operators import linear as lin
 from barlab.operators import metrics as met
 from barlab.operators import models as mod
+from barlab.operators import prospective as pro
 from barlab.operators import quality as qual
+from barlab.operators import sampling as samp
 from barlab.operators import splits as spl
 from barlab.operators import stability as stab
-from barlab.session import materialise
+from barlab.session import materialise, scratch_path
+from barlab.sources import eventlog
 
 PAIR = ("log_return_1d", "log_return_5d")
 
@@ -169,10 +176,14 @@ def training_size_study(spark, sf_dir):
     """Trees on growing even samples; the best size by validation correlation."""
     wide = splits_li(spark, sf_dir, *_OWN, TARGET)
     train, held = wide.where("split = 'train'"), wide.where("split = 'validation'")
-    models = {}
-    for cap in (100, 200, 400):
+    # a fit is a long row of small jobs, so the fits run side by side
+    def fitted(cap):
         sample = mod.training_sample(train, ["ts", "root", *_OWN, TARGET], cap, DAY, tile_units=LI_TILE)
-        models[f"{cap:05d}"] = mod.fit_trees(materialise(sample), _OWN, TARGET).transform
+        return mod.fit_trees(materialise(sample), _OWN, TARGET).transform
+
+    caps = (100, 200, 400)
+    with ThreadPoolExecutor(len(caps)) as pool:
+        models = dict(zip([f"{cap:05d}" for cap in caps], pool.map(fitted, caps)))
     table = met.regression_metrics(
         mod.score(held, models).select("model", TARGET, "prediction"), ["model"], TARGET, "prediction", spearman=False
     )
@@ -245,14 +256,20 @@ ANCHOR = "S1_return_1d"
 SUPPLIER_FEATURES = {"A": PAIR, "B": (*PAIR, ANCHOR)}
 
 
-def supplier_rows(spark, sf_dir):
+def supplier_table(spark, sf_dir):
     """Supplier bars with returns, the anchor return of the same day, and the label: one exchange of the bars."""
     bars = feat.add_families(
         seg_su(spark, sf_dir), [feat.returns(DAY, (1, 5)), lab.labels(DAY, (1,))], 5, 1
-    ).select("root", "ts", *PAIR, TARGET)
+    ).select("root", "ts", "instrument_id", "contract_segment_id", *PAIR, TARGET)
     stored = materialise(bars)
     anchor = stored.where(F.col("root") == "S1").select("ts", F.col("log_return_1d").alias(ANCHOR))
-    return materialise(stored.join(anchor, "ts", "left").where(F.col(TARGET).isNotNull()))
+    return stored.join(anchor, "ts", "left")
+
+
+def supplier_rows(spark, sf_dir):
+    """Rows that can train or be scored."""
+    rows = supplier_table(spark, sf_dir).where(F.col(TARGET).isNotNull())
+    return materialise(rows.select("root", "ts", *PAIR, TARGET, ANCHOR))
 
 
 def _solve_sql(source: str, keys: str, unknowns: int, name: str) -> str:
@@ -387,3 +404,60 @@ def fold_ridge_errors(spark, sf_dir):
     keys = ["experiment", "model", "fold"]
     table = met.regression_metrics(out.drop("root"), keys, TARGET, "prediction", spearman=False)
     return report(table.select(*keys, "observations", "mae", "rmse", "r2"), special={"r2": 6})
+
+
+# --- models frozen at a cutoff and followed by the event log ---------------------------------------
+
+
+def _frozen_sql(name: str, features) -> str:
+    p = "w.b0" + "".join(
+        f" + w.b{i + 1} * (coalesce(e.{f}, w.med_x{i + 1}, 0.0) - w.mu_x{i + 1}) / w.sd_x{i + 1}" for i, f in enumerate(features)
+    )
+    return f"fz{name} AS (SELECT '{name}' AS experiment, e.root, e.ts, e.y AS a, {p} AS p FROM ev e JOIN fr{name} w USING (root))"
+
+
+_CUT = f"TIMESTAMP '{CUTOFF}'"
+
+
+@register(
+    "frozen_model_deltas",
+    q.query(
+        *_SUPPLIERS_SQL[:5],
+        f"tr AS (SELECT * FROM sup WHERE ts < {_CUT})", f"ev AS (SELECT * FROM sup WHERE ts > {_CUT})",
+        *[_fit_sql(f"fr{n}", f, "root", False) for n, f in SUPPLIER_FEATURES.items()],
+        *[_frozen_sql(n, f) for n, f in SUPPLIER_FEATURES.items()],
+        "fz AS (SELECT * FROM fzA UNION ALL SELECT * FROM fzB)",
+        f"slow AS (SELECT min(m) AS m FROM (SELECT root, max(ts) AS m FROM lab WHERE ts > {_CUT} GROUP BY root))",
+        f"win AS (SELECT CAST(d AS BIGINT) AS days, {_CUT} + d * INTERVAL 1 DAY AS e FROM (VALUES {', '.join(f'({d})' for d in DAYS_AFTER)}) v(d), slow "
+        f"WHERE m >= {_CUT} + d * INTERVAL 1 DAY UNION ALL SELECT 0, TIMESTAMP '9999-01-01')",
+        """per AS (SELECT days, root, experiment, count(*) AS n, avg(abs(a - p)) AS mae, sqrt(avg((a - p) ** 2)) AS rmse
+  FROM fz JOIN win ON ts < e GROUP BY days, root, experiment)""",
+        select=f"SELECT days, root, x.n AS observations, {q.rd('y.mae - x.mae')} AS mae_delta, {q.rd('y.rmse - x.rmse')} AS rmse_delta "
+        "FROM per x JOIN per y USING (days, root) WHERE x.experiment = 'A' AND y.experiment = 'B'",
+    ),
+)
+def frozen_model_deltas(spark, sf_dir):
+    """Dedicated A and B ridges frozen at the cutoff, their logged predictions and outcomes, and B less A per closed window."""
+    rows = materialise(supplier_table(spark, sf_dir))
+    cutoff, known = moment(CUTOFF), F.col(TARGET).isNotNull()
+    sample = materialise(mod.training_sample(
+        rows.where((F.col("ts") < cutoff) & known), rows.columns, 100_000, DAY, tile_units=LI_TILE
+    ))
+    digests = samp.selected_row_digest(sample)
+    stats = lin.fold_statistics(sample, SUPPLIER_FEATURES["B"], TARGET)
+    tables = [
+        fro.frozen_table(lin.fit_per_root(stats, f), f, name, CUTOFF, digests) for name, f in SUPPLIER_FEATURES.items()
+    ]
+    models, log = scratch_path(spark, "frozen"), scratch_path(spark, "frozen-log")
+    fro.freeze(tables[0].unionByName(tables[1]), models)
+    inputs = materialise(rows.where(F.col("ts") > cutoff).select(*samp.IDENTITY, *SUPPLIER_FEATURES["B"]))
+    scored = fro.score_frozen(inputs, fro.read_frozen(spark, models), SUPPLIER_FEATURES)
+    events = pro.prediction_events(scored, F.col("model_id"), TARGET, "v1", moment(NOW))
+    eventlog.append_unique_events(events, log)
+    outcomes = rows.where((F.col("ts") > cutoff) & known).select(*samp.IDENTITY, TARGET)
+    logged = eventlog.read_event_log(spark, log, events.schema)
+    eventlog.append_unique_events(pro.attach_outcomes(logged, outcomes, TARGET, moment(NOW)), log)
+    done = eventlog.read_event_log(spark, log, events.schema).where(F.col("event_type") == pro.OUTCOME)
+    windows = pro.checkpoint_windows(inputs, CUTOFF, DAYS_AFTER)
+    table = fro.window_deltas(done, windows, TARGET, metrics=("mae", "rmse"))
+    return report(table.select(F.col("days").cast("bigint").alias("days"), "root", "observations", "mae_delta", "rmse_delta"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock, floor_div, micros
 from barlab.functions.numeric import finite, finite_or_null, safe_ratio
-from barlab.operators.ranks import add_average_ranks, add_stable_position, equal_bucket, quantiles
+from barlab.operators.ranks import add_average_ranks, add_stable_position, equal_bucket, quantiles, with_part
 from barlab.operators.tiles import TILE_UNITS
 from barlab.session import materialise
 
@@ -33,11 +33,6 @@ def finite_pairs(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.where(finite(F.col(actual)) & finite(F.col(predicted)))
 
 
-def with_pooled_scope(df: DataFrame, column: str = "root", scope: str = "scope") -> DataFrame:
-    """Each row twice: under its own group value and under the pooled one."""
-    return df.withColumn(scope, F.explode(F.array(F.lit(POOLED), F.col(column))))
-
-
 def correlation(x: str, y: str) -> Column:
     """Population correlation; null for fewer than two rows or zero spread."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
@@ -52,16 +47,76 @@ def r_squared(actual: str, predicted: str) -> Column:
     return F.when(F.count(F.lit(1)) > 1, F.when(total > 0, 1 - error / total).otherwise(flat))
 
 
-def moment_columns(actual: str, predicted: str) -> list[Column]:
-    a, p = F.col(actual), F.col(predicted)
-    return [
-        F.count(F.lit(1)).alias("observations"),
-        F.avg(F.abs(a - p)).alias("mae"),
-        F.sqrt(F.avg((a - p) ** 2)).alias("rmse"),
-        r_squared(actual, predicted).alias("r2"),
-        correlation(actual, predicted).alias("pearson"),
-        F.avg((F.signum(a) == F.signum(p)).cast("double")).alias("direction_accuracy"),
-    ]
+def moment_state(df: DataFrame, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
+    """Sums of each group's finite pairs that can be merged: rows, errors, means, and sums of squares about them.
+
+    Groups without a pair have 0 rows and null sums.
+    """
+    pair = finite(F.col(actual)) & finite(F.col(predicted))
+    a, p = F.when(pair, F.col(actual)), F.when(pair, F.col(predicted))
+    n = F.count(a)
+    return df.groupBy(*keys).agg(
+        n.alias("observations"),
+        F.sum(F.abs(a - p)).alias("absolute"),
+        F.sum((a - p) ** 2).alias("squared"),
+        F.sum((F.signum(a) == F.signum(p)).cast("double")).alias("same_sign"),
+        F.avg(a).alias("mean_a"),
+        F.avg(p).alias("mean_p"),
+        (F.var_pop(a) * n).alias("spread_a"),
+        (F.var_pop(p) * n).alias("spread_p"),
+        (F.covar_pop(a, p) * n).alias("joint"),
+    )
+
+
+def merged_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of finer groups added up: sums of squares are moved to the common mean."""
+    keys = list(keys)
+    whole = Window.partitionBy(*keys)
+    n = F.col("observations")
+
+    def shift(mean: str) -> Column:
+        return F.col(mean) - safe_ratio(F.sum(n * F.col(mean)).over(whole), F.sum(n).over(whole).cast("double"))
+
+    rows = state.withColumns({"_a": shift("mean_a"), "_p": shift("mean_p")})
+    return rows.groupBy(*keys).agg(
+        F.sum(n).alias("observations"),
+        *[F.sum(c).alias(c) for c in ("absolute", "squared", "same_sign")],
+        *[safe_ratio(F.sum(n * F.col(m)), F.sum(n).cast("double")).alias(m) for m in ("mean_a", "mean_p")],
+        F.sum(F.col("spread_a") + n * F.col("_a") ** 2).alias("spread_a"),
+        F.sum(F.col("spread_p") + n * F.col("_p") ** 2).alias("spread_p"),
+        F.sum(F.col("joint") + n * F.col("_a") * F.col("_p")).alias("joint"),
+    )
+
+
+def state_metrics(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The metric columns, but for Spearman, of merged or single states."""
+    n = F.col("observations")
+    flat = F.when(F.col("squared") == 0, 1.0).otherwise(0.0)
+    return state.select(
+        *keys,
+        n,
+        safe_ratio(F.col("absolute"), n).alias("mae"),
+        F.sqrt(safe_ratio(F.col("squared"), n)).alias("rmse"),
+        F.when(n > 1, F.when(F.col("spread_a") > 0, 1 - F.col("squared") / F.col("spread_a")).otherwise(flat)).alias("r2"),
+        F.when(n > 1, safe_ratio(F.col("joint"), F.sqrt("spread_a") * F.sqrt("spread_p"))).alias("pearson"),
+        safe_ratio(F.col("same_sign"), n).alias("direction_accuracy"),
+    )
+
+
+def with_spearman(table: DataFrame, narrow: DataFrame, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
+    """Add the correlation of exact average ranks (see ``ranks``) of the stored pairs."""
+    if not keys:
+        # all rows are one group
+        one = F.lit(0)
+        return with_spearman(
+            table.withColumn("_all", one), narrow.withColumn("_all", one), ["_all"], actual, predicted
+        ).drop("_all")
+    pairs = finite_pairs(narrow, actual, predicted)
+    ranked = add_average_ranks(pairs, keys, {actual: "_rank_a", predicted: "_rank_p"})
+    found = ranked.groupBy(*keys).agg(correlation("_rank_a", "_rank_p").alias("spearman"))
+    left, right = table.alias("g"), found.alias("f")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    return left.join(right, reduce(Column.__and__, same), "left").select("g.*", F.col("f.spearman").alias("spearman"))
 
 
 def regression_metrics(
@@ -69,36 +124,31 @@ def regression_metrics(
 ) -> DataFrame:
     """The metric row of each group, over finite pairs only.
 
-    All moments come from one partially aggregated pass. Spearman is the correlation of exact
-    average ranks (see ``ranks``); for it the narrow pairs are stored once and read from there. A group
-    without finite pairs has 0 observations and null metrics.
+    All moments come from one partially aggregated pass; for Spearman the narrow pairs are stored once and read from
+    there. A group without finite pairs has 0 observations and null metrics.
     """
     keys = list(keys)
     narrow = df.select(*keys, actual, predicted)
     if spearman:
-        narrow = materialise(narrow)
-    groups = narrow.groupBy(*keys).agg(F.lit(1).alias("_group"))
-    pairs = finite_pairs(narrow, actual, predicted)
-    moments = moment_columns(actual, predicted)
-    if spearman:
-        pairs = add_average_ranks(pairs, keys, {actual: "_rank_a", predicted: "_rank_p"})
-        moments.append(correlation("_rank_a", "_rank_p").alias("spearman"))
-    found = pairs.groupBy(*keys).agg(*moments)
-    left, right = groups.alias("g"), found.alias("f")
-    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    on = reduce(Column.__and__, same) if keys else F.lit(True)
-    return left.join(right, on, "left").select(
-        *[F.col(f"g.{k}").alias(k) for k in keys],
-        F.coalesce("f.observations", F.lit(0).cast("bigint")).alias("observations"),
-        *[F.col(f"f.{c}").alias(c) for c in found.columns if c not in (*keys, "observations")],
-    )
+        narrow = materialise(with_part(narrow))
+    table = state_metrics(moment_state(narrow, keys, actual, predicted), keys)
+    return with_spearman(table, narrow, keys, actual, predicted) if spearman else table
 
 
 def evaluate(
     df: DataFrame, keys: Sequence[str], actual: str, predicted: str, by: str = "root"
 ) -> DataFrame:
-    """Metrics per group value and pooled, in one pass (``scope`` = group value or ALL)."""
-    return regression_metrics(with_pooled_scope(df, by), [*keys, "scope"], actual, predicted)
+    """Metrics per group value and pooled (``scope`` = group value or ALL).
+
+    Rows are stored once; the pooled moments are merged from those of the groups.
+    """
+    keys, scoped = list(keys), [*keys, "scope"]
+    narrow = materialise(with_part(df.select(*keys, F.col(by).alias("scope"), actual, predicted)))
+    state = moment_state(narrow, scoped, actual, predicted)
+    pooled = state_metrics(merged_state(state, keys), keys)
+    each = with_spearman(state_metrics(state, scoped), narrow, scoped, actual, predicted)
+    whole = with_spearman(pooled, narrow, keys, actual, predicted).withColumn("scope", F.lit(POOLED))
+    return each.unionByName(whole.select(each.columns))
 
 
 def macro_average(per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -130,12 +180,15 @@ def prediction_deciles(
     df: DataFrame, keys: Sequence[str], actual: str, predicted: str, clock: Clock,
     tie_order: Sequence[str] = ("root", "ts"), tile_units: int = TILE_UNITS,
 ) -> DataFrame:
-    """Rows, mean prediction, mean and exact median outcome of each prediction decile."""
+    """Rows, mean prediction, mean and exact median outcome of each prediction decile.
+
+    A group of fewer than ten rows has deciles with 0 observations and null values.
+    """
     keys = list(keys)
-    pairs = finite_pairs(df, actual, predicted).select(*keys, *tie_order, actual, predicted)
+    pairs = finite_pairs(df, actual, predicted).select(*dict.fromkeys([*keys, *tie_order, actual, predicted]))
     rows = materialise(
-        with_decile(materialise(pairs), keys, predicted, clock, tie_order, tile_units=tile_units)
-        .select(*keys, "decile", actual, predicted)
+        with_decile(materialise(with_part(pairs)), keys, predicted, clock, tie_order, tile_units=tile_units)
+        .select(*keys, "decile", actual, predicted, "_part")
     )
     means = rows.groupBy(*keys, "decile").agg(
         F.count(F.lit(1)).alias("observations"),
@@ -143,7 +196,19 @@ def prediction_deciles(
         F.avg(actual).alias("mean_actual"),
     )
     medians = quantiles(rows, [*keys, "decile"], actual, linear={"median_actual": 0.5})
-    return means.join(medians.drop("finite_rows"), [*keys, "decile"])
+    found = means.join(medians.drop("finite_rows"), [*keys, "decile"])
+    # all ten of a group stand on one row, so that missing ones need no second look at the groups
+    values = ("observations", "mean_prediction", "mean_actual", "median_actual")
+    listed = found.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("decile", F.struct(*values)))).alias("_found")
+    )
+    every = listed.withColumn("decile", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn(
+        "_own", F.try_element_at("_found", F.col("decile"))
+    )
+    return every.select(
+        *keys, "decile", F.coalesce("_own.observations", F.lit(0).cast("bigint")).alias("observations"),
+        *[F.col(f"_own.{v}").alias(v) for v in values[1:]],
+    )
 
 
 def decile_summary(deciles: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,7 +216,7 @@ def decile_summary(deciles: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     group = Window.partitionBy(*keys)
     by_mean = group.orderBy("mean_actual")
-    ranked = deciles.withColumns(
+    ranked = deciles.where("observations > 0").withColumns(
         {
             "_rank": F.rank().over(by_mean)
             + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "mean_actual")) - 1) / 2,

@@ -61,7 +61,7 @@ def drift_profile(
 ) -> DataFrame:
     """Two profiles side by side; the shift is in units of the historical spread.
 
-    With ``spans`` (further keys of ``recent`` only) each of their values meets the whole history.
+    With ``spans`` (further keys of ``recent`` only, a handful of windows) each of their values meets the whole history.
     """
     by = [*keys, "feature"]
     picked = ("median", "iqr", "missing_rate")
@@ -72,8 +72,11 @@ def drift_profile(
         safe_ratio(F.col("prospective_median") - F.col("historical_median"), F.col("historical_iqr")),
     )
     if spans:
-        seen = recent.select(*spans).distinct().withColumn("_all", F.lit(0))
-        old = old.withColumn("_all", F.lit(0)).join(F.broadcast(seen), "_all").drop("_all")
+        seen = recent.select(*spans).distinct().collect()
+        listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in spans]) for r in seen])
+        old = old.withColumn("_span", F.explode(listed)) if seen else old.withColumn("_span", F.lit(None)).limit(0)
+        old = old.select(*[(F.col(f"_span.{c}") if seen else F.lit(None).cast(recent.schema[c].dataType)).alias(c) for c in spans], *by,
+                         *[f"historical_{c}" for c in picked])
         by = [*spans, *by]
     return old.join(new, by, "left").withColumn("median_shift_in_historical_iqr", shift)
 

@@ -32,9 +32,20 @@ def split_count(df: DataFrame) -> int:
     return 1 << (wanted.bit_length() - 1)
 
 
-def parts() -> Column:
-    """A part number that differs between rows of one task; results never depend on it."""
-    return F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+def with_part(df: DataFrame) -> DataFrame:
+    """Number the rows' parts, right before they are stored: what is read again has the part it was stored with.
+
+    A number made up later would differ if a lost task is run again on rows in another order, and a row could then be
+    dealt out twice or not at all.
+    """
+    return df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+
+
+def part_of(df: DataFrame) -> Column:
+    """The stored part of a row, or else a hash of the whole row; results never depend on it."""
+    if "_part" in df.columns:
+        return F.col("_part")
+    return F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)).cast("int")
 
 
 def split_points(df: DataFrame, keys: Sequence[str], values: Sequence[str], splits: int) -> DataFrame:
@@ -76,8 +87,8 @@ def bucketed(
     if points.count() <= max(1, BROADCAST_ROWS // splits):
         placed = present.join(F.broadcast(points), list(keys))
     else:
-        every = points.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        placed = present.withColumn("_part", parts()).join(every, [*keys, "_part"])
+        every = points.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        placed = present.withColumn("_dealt", part_of(present)).join(every, [*keys, "_dealt"])
     return placed.select(
         *df.columns,
         *[
@@ -141,7 +152,7 @@ def add_average_ranks(
     for i, (value, name) in enumerate(ranks.items()):
         here = offsets.where(F.col("_which") == i).drop("_which")
         placed = rows.withColumnRenamed(f"_bucket_{i}", "_bucket").withColumn(
-            "_piece", F.when(is_point(), parts()).otherwise(F.lit(0))
+            "_piece", F.when(is_point(), part_of(df)).otherwise(F.lit(0))
         )
         if few:
             placed = placed.join(F.broadcast(here), [*keys, "_bucket"])
@@ -230,7 +241,9 @@ def order_statistics(
     final pick): pass stored rows.
     """
     keys = list(keys)
-    rows = one_bucket(df.select(*keys, value), keys, value, splits)
+    dealt = ["_part"] if "_part" in df.columns else []
+    narrow = df.select(*keys, value, *dealt)
+    rows = one_bucket(narrow, keys, value, splits)
     offsets = bucket_offsets(rows, keys)
     wanted = offsets.select(
         "*",
@@ -241,7 +254,7 @@ def order_statistics(
         (F.col("_want.rank") >= F.col("_before"))
         & (F.col("_want.rank") < F.col("_before") + F.col("_n"))
     )
-    targets = broadcast_if_small(
+    targets = materialise(
         wanted.groupBy(*keys, "_bucket").agg(
             F.first("_before").alias("_before"),
             F.first("group_rows").alias("group_rows"),
@@ -249,7 +262,13 @@ def order_statistics(
         )
     )
     # A point bucket holds one value: one row of each task stays, whatever the copies.
-    hit = rows.join(targets, [*keys, "_bucket"])
+    if targets.count() <= BROADCAST_ROWS:
+        hit = rows.join(F.broadcast(targets), [*keys, "_bucket"])
+    else:
+        last = F.when(is_point(), F.lit(PARTS - 1)).otherwise(F.lit(0))
+        spread = targets.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+        pieces = rows.withColumn("_piece", F.when(is_point(), part_of(narrow)).otherwise(F.lit(0)))
+        hit = pieces.join(spread, [*keys, "_bucket", "_piece"])
     single = (
         hit.where(is_point())
         .groupBy(*keys, "_bucket")

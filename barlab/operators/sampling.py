@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock, micros
 from barlab.operators.tiles import TILE_UNITS, ordered_index, with_tile
-from barlab.session import BROADCAST_ROWS, broadcast_if_small, materialise
+from barlab.session import BROADCAST_ROWS, broadcast_if_small, map_arrow, materialise
 
 IDENTITY = ("ts", "root", "instrument_id", "contract_segment_id")
 
@@ -165,3 +167,62 @@ def identity_differences(
         right.select(*identity, F.lit(-1).alias("_s"))
     )
     return signed.groupBy(*identity).agg(F.sum("_s").alias("surplus")).where("surplus <> 0")
+
+
+def ordered_differences(
+    left: DataFrame, right: DataFrame, identity: Sequence[str] = ("ts",), keys: Sequence[str] = ("root",),
+    position: str = "position",
+) -> DataFrame:
+    """(keys, position) at which the two sides hold different rows, or only one side holds any. Must be empty.
+
+    Both sides carry the position of each row within its key, so rows that changed places are found, too.
+    """
+    at = [*keys, position]
+    sides = {
+        name: df.select(*at, F.struct(*identity).alias(f"_{name}"), F.lit(True).alias(f"_in_{name}"))
+        for name, df in (("left", left), ("right", right))
+    }
+    same = F.col("_in_left").eqNullSafe(F.col("_in_right")) & F.col("_left").eqNullSafe(F.col("_right"))
+    return sides["left"].join(sides["right"], at, "full").where(~same).select(*at)
+
+
+def selected_row_digest(sample: DataFrame, keys: Sequence[str] = ("root",)) -> DataFrame:
+    """(keys, rows, digest): SHA-256 over the identity lines of each key's rows in time order.
+
+    A line is the UTC time as 2024-01-01T00:00:00+00:00 (with 3, 6 or no digits of a second's fraction), root,
+    instrument and segment, parted by unit separators. The digest is one stream, so one task reads a key's rows: meant
+    for a capped sample, see ``row_fingerprint`` for whole tables.
+    """
+    fraction = F.date_format("ts", "SSSSSS")
+    shown = F.when(fraction == "000000", "").when(fraction.endswith("000"), F.concat(F.lit("."), F.left(fraction, F.lit(3))))
+    moment = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), shown.otherwise(F.concat(F.lit("."), fraction)), F.lit("+00:00"))
+    line = F.concat(
+        F.concat_ws("\u001f", moment, "root", F.col("instrument_id").cast("string"), F.col("contract_segment_id").cast("string")),
+        F.lit("\n"),
+    )
+    keys = list(keys)
+    ordered = sample.select(*keys, "ts", line.alias("line")).repartition(*keys).sortWithinPartitions(*keys, "ts", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest, rows, kinds = None, None, 0, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array([k], t) for k, t in zip(own, kinds)], pa.array([rows], pa.int64()), pa.array([digest.hexdigest()])],
+                names=[*keys, "rows", "digest"],
+            )
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(len(keys))]
+            for *key, text in zip(*[batch.column(i).to_pylist() for i in (*range(len(keys)), len(keys) + 1)]):
+                if key != own:
+                    if own is not None:
+                        yield done()
+                    own, digest, rows = key, hashlib.sha256(), 0
+                digest.update(text.encode())
+                rows += 1
+        if own is not None:
+            yield done()
+
+    kinds = ", ".join(f"`{k}` {dict(sample.dtypes)[k]}" for k in keys)
+    return map_arrow(ordered, run, f"{kinds}, rows long, digest string")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.numeric import nonfinite_to_null
+from barlab.operators.stability import count_mismatches, require_empty
+from barlab.session import materialise
+from barlab.sources.commits import Commits
+
+ATTEMPTS = 20
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
@@ -40,6 +46,16 @@ def read_dataset(
     return df
 
 
+def read_between(
+    spark: SparkSession, path: str, first: datetime, until: datetime, roots: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows with first <= ts < until (UTC); the years of the bounds prune partitions."""
+    last = until - timedelta(microseconds=1)
+    rows = read_dataset(spark, path, roots, (first.year, last.year))
+    bounds = [F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz").cast("timestamp") for t in (first, until)]
+    return rows.where((F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]))
+
+
 def read_root(spark: SparkSession, path: str, root: str) -> DataFrame:
     """One root in time order; an absent root is an error."""
     df = read_dataset(spark, path, [root])
@@ -61,3 +77,63 @@ def roots_to_rebuild(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return expected.join(stored, "root", "left").where(
         ~F.col("expected_rows").eqNullSafe(F.col("stored_rows"))
     )
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The committed rows of all roots of a rebuilt dataset; None before the first commit."""
+    _, record = Commits(spark, path).latest()
+    folders = [f"{folder}/root={root}" for root, folder in sorted(record.get("roots", {}).items())]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", f"{path.rstrip('/')}/parts").parquet(*folders).drop("commit")
+    return rows.withColumn("root", F.col("root").cast("string"))
+
+
+def commit_roots(spark: SparkSession, path: str, rows: DataFrame, expected: DataFrame | None = None) -> list[str]:
+    """Write the roots of ``rows`` to a folder of their own, check them, then switch readers to them.
+
+    ``expected`` holds (root, expected_rows, expected_rolls); a root whose stored rows or roll events differ stops the
+    run before the switch, and readers keep the old state. Roots not in ``rows`` keep their folder. A commit by
+    another writer meanwhile is respected: only this writer's roots are replaced in it.
+    """
+    commits = Commits(spark, path)
+    folder = commits.new_folder(commits.latest()[0] + 1)
+    write_dataset(rows, folder)
+    written = spark.read.parquet(folder).groupBy(F.col("root").cast("string").alias("root")).agg(
+        F.count(F.lit(1)).alias("expected_rows"),
+        F.count_if("roll_event").alias("expected_rolls"),
+    )
+    written = materialise(written)
+    names = [r["root"] for r in written.select("root").collect()]
+    if expected is not None:
+        own = expected.join(written.select("root"), "root", "left_semi")
+        bad = count_mismatches(own, written, ["root"], ["expected_rows", "expected_rolls"])
+        require_empty(bad, f"stored roots differ from what was expected, {folder} is not committed")
+    for _ in range(ATTEMPTS):
+        number, record = commits.latest()
+        if commits.commit(number + 1, {"roots": {**record.get("roots", {}), **dict.fromkeys(names, folder)}}):
+            return names
+    raise RuntimeError(f"other writers committed to {path} {ATTEMPTS} times meanwhile")
+
+
+def rebuild_roots(spark: SparkSession, path: str, source: DataFrame, expected: DataFrame) -> DataFrame:
+    """Bring every root whose committed row count is wrong or absent back from ``source``.
+
+    Returns (root, expected_rows, stored_rows, rebuilt). Roots that are right are not read beyond their count, and
+    a run that stops before its commit has changed nothing.
+    """
+    current = read_committed(spark, path)
+    counts = (
+        spark.createDataFrame([], "root string, stored_rows long") if current is None
+        else current.groupBy("root").agg(F.count(F.lit(1)).alias("stored_rows"))
+    )
+    todo = materialise(roots_to_rebuild(expected, counts).select("root"))
+    if not todo.isEmpty():
+        commit_roots(spark, path, source.join(todo, "root", "left_semi"), expected)
+    stored = read_committed(spark, path)
+    after = stored.groupBy("root").agg(F.count(F.lit(1)).alias("stored_rows")) if stored is not None else counts
+    return (
+        expected.join(after, "root", "left")
+        .join(todo.withColumn("_done", F.lit(True)), "root", "left")
+        .select("root", "expected_rows", "stored_rows", F.coalesce("_done", F.lit(False)).alias("rebuilt"))
+    )

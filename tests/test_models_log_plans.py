@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -153,12 +154,12 @@ def test_log_is_append_only_and_idempotent(spark, tmp_path):
     path = str(tmp_path / "log")
     events = events_of(source(spark, range(-2, 6)))
     assert eventlog.append_unique_events(events, path) == 5
-    before = {p.name for p in (tmp_path / "log").glob("*.parquet")}
+    before = {p.name for p in (tmp_path / "log").rglob("*.parquet")}
     assert eventlog.append_unique_events(events, path) == 0
     outcomes = pro.prospective_outcomes(source(spark, range(6)), MINUTE, moment(0), TARGET)
     attached = pro.attach_outcomes(eventlog.read_event_log(spark, path, events.schema), outcomes, TARGET, moment(100))
     assert eventlog.append_unique_events(attached, path) == 3
-    assert before <= {p.name for p in (tmp_path / "log").glob("*.parquet")}
+    assert before <= {p.name for p in (tmp_path / "log").rglob("*.parquet")}
     log = eventlog.read_event_log(spark, path, events.schema)
     assert log.count() == 8
     assert {r[TARGET] for r in log.where("event_type = 'outcome'").collect()} == {0.9}
@@ -195,8 +196,8 @@ def test_repeated_keys_in_a_batch_are_refused(spark, tmp_path):
     with pytest.raises(RuntimeError):
         eventlog.append_unique_events(events.unionByName(events), str(tmp_path / "log"))
     outcomes = pro.prospective_outcomes(source(spark, [1, 1]), MINUTE, moment(0), TARGET)
-    with pytest.raises(RuntimeError):
-        pro.attach_outcomes(events, outcomes, TARGET, moment(9))
+    with pytest.raises(SparkRuntimeException, match="repeat a row identity"):
+        pro.attach_outcomes(events, outcomes, TARGET, moment(9)).collect()
 
 
 def test_stream_adds_each_file_once(spark, tmp_path):
