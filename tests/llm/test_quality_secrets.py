@@ -105,6 +105,63 @@ def test_markov_models_tell_random_strings_from_identifiers(real):
         assert rows[i] == (f"markov:4:{4 + len(n)}" if n in keys else "")
 
 
+def plain_ratio(ratios, value):
+    """The summed ratio of a string's pairs, read off the table."""
+    size, total, before = len(secrets.ALPHABET) + 1, 0.0, 0
+    for c in value:
+        total, before = total + ratios[before * size + secrets.ALPHABET.index(c) + 1], secrets.ALPHABET.index(c) + 1
+    return total
+
+
+def plain_markov(ratios, text):
+    taken, out = base(text), []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        free = not any(a < m.end() and m.start() < b for a, _, b in taken)
+        ratio = plain_ratio(ratios, m[0])
+        if free and re.search("[A-Za-z]", m[0]) and ratio >= max(secrets.MIN_RATIO, secrets.MIN_PER_CHAR * len(m[0])):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def random_string(alphabet, length):
+    return "".join(random.choice(alphabet) for _ in range(length))
+
+
+ALPHABETS = {
+    "hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "base64": secrets.ALPHABET[:64],
+    "letters and digits": secrets.ALPHABET[:62], "capitals and digits": secrets.ALPHABET[:26] + "0123456789",
+}
+
+
+def test_markov_spans_equal_a_plain_model(real):
+    random.seed(6)
+    d = real("documents").select("doc_id", "text")
+    ratios = secrets.pair_ratios(secrets.labelled_samples(d))
+    texts = [" é ".join(random_string(random.choice([*ALPHABETS.values(), "aeiourst_-"]), random.randint(15, 60)) for _ in range(6)) for _ in range(120)]
+    texts.append("key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY and 3F2504E04F8941D39A0C0305E82C3301AB")
+    more = d.sparkSession.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], d.schema)
+    table = d.unionByName(more)
+    monkey = {r.doc_id: r.spans for r in secrets.secret_digest(table).collect()}
+    own = secrets.pair_ratios(secrets.labelled_samples(table))
+    for r in table.collect():
+        found = [x for x in monkey[r.doc_id].split(",") if x.startswith("markov")]
+        assert found == plain_markov(own, r.text or "")
+    assert monkey[10**6 + 120].count("markov") == 2 and len(ratios) == len(own)
+
+
+def test_held_out_error_rates(real):
+    random.seed(7)
+    d = real("documents").select("doc_id", "text")
+    ratios = secrets.pair_ratios(secrets.labelled_samples(d.where("doc_id % 2 = 0")))
+    judged = lambda v: plain_ratio(ratios, v) >= max(secrets.MIN_RATIO, secrets.MIN_PER_CHAR * len(v))
+    held = secrets.labelled_samples(d.where("doc_id % 2 = 1")).where("not random and length(value) >= 20").collect()
+    held = [r.value for r in held if set(r.value) <= set(secrets.ALPHABET) and re.search("[A-Za-z]", r.value)]
+    assert len(held) > 300 and sum(map(judged, held)) <= 0.002 * len(held)
+    for name, alphabet in ALPHABETS.items():
+        for length, least in ((20, 0.9), (32, 0.97), (40, 0.98)):
+            assert sum(judged(random_string(alphabet, length)) for _ in range(300)) >= least * 300, (name, length)
+
+
 def test_running_sums_cross_blocks(spark):
     n = list(range(1, 301))
     row = spark.createDataFrame([(n,)], "x array<int>").select(secrets.running_sums(secrets.F.col("x"))).first()[0]
