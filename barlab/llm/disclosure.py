@@ -7,10 +7,10 @@ terms of e) over N different texts,
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)),
 
-which is 1 when every text with t has it beside e. Terms at or above `remove_at` are removed, those at or above
+which is 1 when every text with t has it beside e. Besides, e must be beside t in at least `min_share` of t's texts,
+whatever N: the ratio of logarithms alone lets a rare term pass that stands in several texts without e. Terms at or above `remove_at` are removed, those at or above
 `generalise_at` are replaced by a general word, wherever they stand. Personal data rarely repeat, so pairs of one text
-count, too: the term's own n(t) is what weighs against chance (with n(e) = n(e,t) = 1, a term of up to N^0.15 texts
-reaches 0.85). A larger `min_docs` would ask for pairs of more texts.
+count, too: the term's own n(t) is what weighs against chance. A larger `min_docs` would ask for pairs of more texts.
 
 Defined results: null and empty texts have no span (a null text stays null); copies of a text count once (null and the
 empty text are two texts) and get equal results; an entity of all texts has no information content and reveals nothing; extra columns pass
@@ -37,6 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 ANY = "*"  # stands for any entity in the counts
 CONTEXT = 20
 MIN_DOCS = 1  # texts that a pair needs: every pair is scored
+MIN_SHARE = 0.5  # of a term's texts that hold the entity beside it
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
 # Revealing terms are sent to all tasks up to so many bytes, each with what a table entry costs besides its letters.
 BROADCAST_BYTES, TERM_BYTES = 64 << 20, 120
@@ -180,6 +181,7 @@ def revealing_terms(
     min_docs: int = MIN_DOCS,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
+    min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """(term, disclosure, remove): every term whose strongest disclosure of an entity reaches `generalise_at`."""
     texts = docs.select(text_key(text).alias("h"), text_column(text).alias("text"))
@@ -207,16 +209,19 @@ def revealing_terms(
     near_any = counted.filter(F.col("entity") == ANY).select("term", F.col("n").alias("n_near"))
     most = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_near")))
     most = most / F.log(F.lit(float(total)) / F.col("n_e"))
-    pairs = salted(pairs, near_any, "term", "entity").filter((F.col("n_e") < total) & (most >= generalise_at - 1e-9))
+    pairs = salted(pairs, near_any, "term", "entity").filter(
+        (F.col("n_e") < total) & (most >= generalise_at - 1e-9) & (F.col("n_et") >= min_share * F.col("n_near"))
+    )
     pairs = stored(pairs.drop("n_near"), "disclosure-candidates")
     # the largest n(t) with which the term still reaches generalise_at
     enough = F.lit(float(total)) * F.col("n_et") / F.col("n_e")
     enough = enough * F.pow(F.col("n_e") / F.lit(float(total)), F.lit(float(generalise_at)))
+    enough = F.least(enough, F.col("n_et") / F.lit(float(max(min_share, 1e-9))))
     candidates = pairs.groupBy("term").agg(F.max(F.floor(enough * (1 + 1e-9))).cast("long").alias("at_most"))
     frequency = document_counts(texts, stored(candidates, "disclosure-terms"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
-    scored = salted(pairs, frequency, "term", "entity")
+    scored = salted(pairs, frequency, "term", "entity").filter(F.col("n_et") >= min_share * F.col("n_t"))
     strongest = scored.groupBy("term").agg(F.max(pmi / ic).alias("disclosure"))
     return strongest.filter(F.col("disclosure") >= generalise_at).select(
         "term", "disclosure", (F.col("disclosure") >= remove_at).alias("remove")
