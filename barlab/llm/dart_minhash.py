@@ -359,10 +359,7 @@ def remaining_links(members: DataFrame, texts: DataFrame, size: int, threshold:
     dealt = rows.repartition("group", F.pmod(F.xxhash64("id"), F.lit(salt))).sortWithinPartitions("group", "id")
     kind = "group long, block string, ids array<long>, labels array<long>, sizes array<long>, elements binary"
     blocks = stored(map_batches(dealt.select("group", "id", "label", "text"), gather, kind), "dart-blocks")
-    other = blocks.select("group", *[F.col(c).alias(f"{c}2") for c in blocks.columns if c != "group"])
-    met = blocks.join(other, "group").filter("block <= block2").select(
-        "ids", "labels", "sizes", "elements", "ids2", "labels2", "sizes2", "elements2"
-    )
+    met = block_pairs(blocks).select("ids", "labels", "sizes", "elements", "ids2", "labels2", "sizes2", "elements2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,6 +372,26 @@ def remaining_links(members: DataFrame, texts: DataFrame, size: int, threshold:
 
 
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 250_000
+MAX_STRIPES = 64
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Every two blocks of a group, and each with itself, once; the second one's columns end in 2.
+
+    A group of B blocks is cut into about sqrt(B) stripes; its pairs are made in the cells of the grid of stripes, so
+    that one large group spreads over tasks while a block is copied once per stripe only.
+    """
+    sizes = blocks.groupBy("group").agg(F.count("*").alias("_n"))
+    stripes = F.least(F.ceil(F.sqrt("_n")).cast("int"), F.lit(MAX_STRIPES)).alias("_stripes")
+    small = stored(sizes.select("group", stripes), "dart-stripes")
+    small = F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+    own = blocks.join(small, "group").withColumn("_own", F.pmod(F.xxhash64("block"), F.col("_stripes")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1))
+    left = own.withColumn("_column", every).withColumnRenamed("_own", "_row").drop("_stripes")
+    right = own.withColumn("_row", every).withColumnRenamed("_own", "_column").drop("_stripes")
+    cell = ["group", "_row", "_column"]
+    right = right.select(*cell, *[F.col(c).alias(f"{c}2") for c in blocks.columns if c != "group"])
+    return left.join(right, cell).filter("block <= block2").drop("_row", "_column")
 
 
 def block_of(ids: list, labels: list, sizes: list, elements: bytes) -> tuple:

@@ -67,6 +67,16 @@ def test_a_chain_of_near_copies_is_one_class_and_one_stays(docs):
     assert darts.near_duplicates(docs([])).count() == 0 and darts.without_copies(docs([])).count() == 0
 
 
+def test_blocks_of_a_group_meet_once_and_in_many_cells(spark):
+    rows = [(1, f"b{i}") for i in range(30)] + [(2, "only"), (3, "x"), (3, "y")]
+    blocks = spark.createDataFrame(rows, "group long, block string")
+    made = darts.block_pairs(blocks)
+    got = sorted((r.group, r.block, r.block2) for r in made.collect())
+    want = sorted((g, a, b) for g, a in rows for h, b in rows if g == h and a <= b)
+    assert got == want
+    assert "_row" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     sets = []
@@ -178,7 +188,7 @@ def brute_disclosure(texts, context=disclosure.CONTEXT):
             n_et.update((entity, w) for w in own)
     best = {}
     for (e, w), n in n_et.items():
-        if n_e[e] < total:
+        if n_e[e] < total and n >= disclosure.MIN_SHARE * n_t[w]:
             value = np.log(total * n / (n_e[e] * n_t[w])) / np.log(total / n_e[e])
             best[w] = max(best.get(w, -9), value)
     return best
