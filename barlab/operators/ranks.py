@@ -87,8 +87,8 @@ def bucketed(
     if points.count() <= max(1, BROADCAST_ROWS // splits):
         placed = present.join(F.broadcast(points), list(keys))
     else:
-        every = points.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        placed = present.withColumn("_dealt", part_of(present)).join(every, [*keys, "_dealt"])
+        every = points.withColumn("_dealt_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        placed = present.withColumn("_dealt_part", part_of(present)).join(every, [*keys, "_dealt_part"])
     return placed.select(
         *df.columns,
         *[
