@@ -23,11 +23,11 @@ def segmented(df, tile=3):
 
 
 def test_returning_instrument_opens_a_new_segment(bars):
-    df = segmented(bars(range(5), [10, 10, 20, 20, 10]))
-    assert by_minute(df, "contract_segment_id") == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
-    assert by_minute(df, "roll_event") == {0: False, 1: False, 2: True, 3: False, 4: True}
-    assert by_minute(df, "segment_row") == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
-    assert by_minute(df, "segment_rows") == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1}
+    df = segmented(bars(range(6), [7, 9, 9, 9, 7, 7]))
+    assert by_minute(df, "contract_segment_id") == {0: 1, 1: 2, 2: 2, 3: 2, 4: 3, 5: 3}
+    assert by_minute(df, "roll_event") == {0: False, 1: True, 2: False, 3: False, 4: True, 5: False}
+    assert by_minute(df, "segment_row") == {0: 0, 1: 0, 2: 1, 3: 2, 4: 0, 5: 1}
+    assert by_minute(df, "segment_rows") == {0: 1, 1: 3, 2: 3, 3: 3, 4: 2, 5: 2}
 
 
 @pytest.mark.parametrize("tile", [1, 2, 7, 1000])
@@ -71,18 +71,17 @@ def test_rollover_table_and_audit(bars):
 
 
 def test_gap_does_not_shift_the_horizon(bars):
-    df = feat.add_exact_returns(segmented(bars([0, 1, 2, 3, 4, 6, 7, 8, 9, 10])), MINUTE, (1, 5))
-    five = by_minute(df, "log_return_5m")
-    assert five[10] is None
-    assert five[9] == pytest.approx(math.log(109 / 104))
-    assert by_minute(df, "log_return_1m")[6] is None
+    df = feat.add_exact_returns(segmented(bars([0, 2, 3, 4, 5, 7, 8, 11])), MINUTE, (1, 5))
+    five, one = by_minute(df, "log_return_5m"), by_minute(df, "log_return_1m")
+    assert five[11] is None and one[7] is None and one[11] is None
+    assert five[8] == pytest.approx(math.log(108 / 103)) and one[8] == pytest.approx(math.log(108 / 107))
 
 
 def test_nothing_crosses_a_segment(bars):
-    df = segmented(bars(range(8), [1, 1, 1, 1, 1, 2, 2, 2]))
-    assert by_minute(feat.add_exact_returns(df, MINUTE, (1,)), "log_return_1m")[5] is None
+    df = segmented(bars(range(7), [4, 4, 4, 8, 8, 8, 8]))
+    assert by_minute(feat.add_exact_returns(df, MINUTE, (1,)), "log_return_1m")[3] is None
     labels = by_minute(lab.add_future_labels(df, MINUTE, (1,)), "future_return_1m")
-    assert labels[4] is None and labels[3] == pytest.approx(math.log(104 / 103))
+    assert labels[2] is None and labels[1] == pytest.approx(math.log(102 / 101))
 
 
 def test_direction_label(bars):
