@@ -33,10 +33,16 @@ def finite_pairs(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.where(finite(F.col(actual)) & finite(F.col(predicted)))
 
 
+def varies(x: str | Column) -> Column:
+    """Whether a group holds two different values. Merged moments cannot tell: a constant's mean is rounded, which
+    leaves a spread of some 1e-30."""
+    return F.min(x) < F.max(x)
+
+
 def correlation(x: str, y: str) -> Column:
     """Population correlation; null for fewer than two rows or zero spread."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(F.count(F.lit(1)) > 1, safe_ratio(F.covar_pop(x, y), spread))
+    return F.when(varies(x) & varies(y), safe_ratio(F.covar_pop(x, y), spread))
 
 
 def r_squared(actual: str, predicted: str) -> Column:
@@ -44,7 +50,7 @@ def r_squared(actual: str, predicted: str) -> Column:
     error = F.sum((F.col(actual) - F.col(predicted)) ** 2)
     total = F.var_pop(actual) * F.count(F.lit(1))
     flat = F.when(error == 0, 1.0).otherwise(0.0)
-    return F.when(F.count(F.lit(1)) > 1, F.when(total > 0, 1 - error / total).otherwise(flat))
+    return F.when(F.count(F.lit(1)) > 1, F.when(varies(actual) & (total > 0), 1 - error / total).otherwise(flat))
 
 
 def moment_state(df: DataFrame, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
@@ -65,6 +71,7 @@ def moment_state(df: DataFrame, keys: Sequence[str], actual: str, predicted: str
         (F.var_pop(a) * n).alias("spread_a"),
         (F.var_pop(p) * n).alias("spread_p"),
         (F.covar_pop(a, p) * n).alias("joint"),
+        *[f(c).alias(f"{name}_{of}") for of, c in (("a", a), ("p", p)) for name, f in (("low", F.min), ("high", F.max))],
     )
 
 
@@ -85,6 +92,7 @@ def merged_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.col("spread_a") + n * F.col("_a") ** 2).alias("spread_a"),
         F.sum(F.col("spread_p") + n * F.col("_p") ** 2).alias("spread_p"),
         F.sum(F.col("joint") + n * F.col("_a") * F.col("_p")).alias("joint"),
+        *[f(f"{name}_{of}").alias(f"{name}_{of}") for of in "ap" for name, f in (("low", F.min), ("high", F.max))],
     )
 
 
@@ -92,13 +100,15 @@ def state_metrics(state: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The metric columns, but for Spearman, of merged or single states."""
     n = F.col("observations")
     flat = F.when(F.col("squared") == 0, 1.0).otherwise(0.0)
+    # zero for a constant, whatever rounding its merged moments have left
+    spread_a, spread_p = (F.when(F.col(f"low_{of}") < F.col(f"high_{of}"), F.col(f"spread_{of}")).otherwise(0.0) for of in "ap")
     return state.select(
         *keys,
         n,
         safe_ratio(F.col("absolute"), n).alias("mae"),
         F.sqrt(safe_ratio(F.col("squared"), n)).alias("rmse"),
-        F.when(n > 1, F.when(F.col("spread_a") > 0, 1 - F.col("squared") / F.col("spread_a")).otherwise(flat)).alias("r2"),
-        F.when(n > 1, safe_ratio(F.col("joint"), F.sqrt("spread_a") * F.sqrt("spread_p"))).alias("pearson"),
+        F.when(n > 1, F.when(spread_a > 0, 1 - F.col("squared") / spread_a).otherwise(flat)).alias("r2"),
+        F.when(n > 1, safe_ratio(F.col("joint"), F.sqrt(spread_a) * F.sqrt(spread_p))).alias("pearson"),
         safe_ratio(F.col("same_sign"), n).alias("direction_accuracy"),
     )
 

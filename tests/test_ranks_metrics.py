@@ -207,3 +207,13 @@ def test_groups_without_pairs_keep_a_metric_row(spark):
         assert all(got["y"][m] is None for m in got["y"] if m not in ("root", "observations"))
     scopes = {r["scope"]: r["observations"] for r in met.evaluate(df, [], "a", "p").collect()}
     assert scopes == {"x": 2, "y": 0, "ALL": 2}
+
+
+def test_a_constant_has_no_correlation_however_its_moments_are_merged(spark):
+    rng = random.Random(7)
+    rows = [(f"g{g}", rng.gauss(0, 1), 0.1) for g in range(200) for _ in range(90 + g % 37)]
+    df = spark.createDataFrame(rows, "root string, a double, p double").repartition(7)
+    for table in (met.regression_metrics(df, ["root"], "a", "p"), met.evaluate(df, [], "a", "p")):
+        assert {(r["pearson"], r["spearman"]) for r in table.collect()} == {(None, None)}
+    swapped = met.regression_metrics(df, ["root"], "p", "a", spearman=False).collect()
+    assert {(r["pearson"], r["r2"]) for r in swapped} == {(None, 0.0)}
