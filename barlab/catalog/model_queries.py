@@ -33,7 +33,7 @@ from barlab.operators import quality as qual
 from barlab.operators import sampling as samp
 from barlab.operators import splits as spl
 from barlab.operators import stability as stab
-from barlab.session import materialise, scratch_path
+from barlab.session import broadcast_if_small, materialise, scratch_path
 from barlab.sources import eventlog
 
 PAIR = ("log_return_1d", "log_return_5d")
@@ -202,6 +202,16 @@ def scored_models(held, features, pooled, effects, dedicated):
     return by_all.select(*keep).unionByName(by_own.select(*keep))
 
 
+def fitted_experiments(stats, experiments):
+    """(name, features, pooled models, effects, models per root); the experiments share one look for medians."""
+    listed = list(dict.fromkeys(f for features in experiments.values() for f in features))
+    middle, own = lin.pooled_medians(stats, listed), materialise(lin.root_medians(stats, listed))
+    for name, features in experiments.items():
+        at = [listed.index(f) for f in features]
+        pooled = lin.fit_pooled(stats, features, medians={fold: m[at] for fold, m in middle.items()})
+        yield name, features, *pooled, lin.fit_per_root(stats, features, medians=own)
+
+
 @register("dedicated_vs_pooled")
 def dedicated_vs_pooled(spark, sf_dir):
     """One ridge per root against the pooled ridge, on each root's own test rows; one pass over the training rows."""
@@ -240,10 +250,9 @@ def walk_forward_ridge(spark, sf_dir):
     stats = lin.fold_statistics(rows, cross.experiment_features("B", DAY, LI_ANCHORS), TARGET, ends, start)
     held = materialise(spl.with_evaluation_folds(rows, folds_li()))
     scored = None
-    for name in ("A", "B"):
-        features = cross.experiment_features(name, DAY, LI_ANCHORS)
-        part = scored_models(held, features, *lin.fit_pooled(stats, features), lin.fit_per_root(stats, features))
-        part = part.withColumn("experiment", F.lit(name))
+    experiments = {name: cross.experiment_features(name, DAY, LI_ANCHORS) for name in ("A", "B")}
+    for name, features, *models in fitted_experiments(stats, experiments):
+        part = scored_models(held, features, *models).withColumn("experiment", F.lit(name))
         scored = part if scored is None else scored.unionByName(part)
     keys = ["experiment", "model"]
     per_fold = met.regression_metrics(scored.drop("root"), ["fold", *keys], TARGET, "prediction")
@@ -263,7 +272,8 @@ def supplier_table(spark, sf_dir):
     ).select("root", "ts", "instrument_id", "contract_segment_id", *PAIR, TARGET)
     stored = materialise(bars)
     anchor = stored.where(F.col("root") == "S1").select("ts", F.col("log_return_1d").alias(ANCHOR))
-    return stored.join(anchor, "ts", "left")
+    # one row a day at most; a join by day would deal all rows out anew, over few keys
+    return stored.join(broadcast_if_small(anchor), "ts", "left")
 
 
 def supplier_rows(spark, sf_dir):
@@ -397,9 +407,8 @@ def fold_ridge_errors(spark, sf_dir):
     stats = lin.fold_statistics(rows, SUPPLIER_FEATURES["B"], TARGET, ends, start)
     held = materialise(spl.with_evaluation_folds(rows, folds))
     out = None
-    for name, features in SUPPLIER_FEATURES.items():
-        scored = scored_models(held, features, *lin.fit_pooled(stats, features), lin.fit_per_root(stats, features))
-        part = scored.withColumn("experiment", F.lit(name))
+    for name, features, *models in fitted_experiments(stats, SUPPLIER_FEATURES):
+        part = scored_models(held, features, *models).withColumn("experiment", F.lit(name))
         out = part if out is None else out.unionByName(part)
     keys = ["experiment", "model", "fold"]
     table = met.regression_metrics(out.drop("root"), keys, TARGET, "prediction", spearman=False)
@@ -445,8 +454,9 @@ def frozen_model_deltas(spark, sf_dir):
     ))
     digests = samp.selected_row_digest(sample)
     stats = lin.fold_statistics(sample, SUPPLIER_FEATURES["B"], TARGET)
+    medians = materialise(lin.root_medians(stats, SUPPLIER_FEATURES["B"]))
     tables = [
-        fro.frozen_table(lin.fit_per_root(stats, f), f, name, CUTOFF, digests) for name, f in SUPPLIER_FEATURES.items()
+        fro.frozen_table(lin.fit_per_root(stats, f, medians=medians), f, name, CUTOFF, digests) for name, f in SUPPLIER_FEATURES.items()
     ]
     models, log = scratch_path(spark, "frozen"), scratch_path(spark, "frozen-log")
     fro.freeze(tables[0].unionByName(tables[1]), models)

@@ -35,6 +35,9 @@ HELD_BYTES = 64 << 20
 # First level at which one key's partial sums are added up.
 SALT = 64
 BROADCAST_BYTES = 64 << 20
+# Values of one root that a task may sort, and rows that it sorts at a time.
+ROOT_VALUES = 1 << 22
+SORTED_ROWS = 1 << 16
 SUMS = "sums array<double>"
 
 
@@ -344,32 +347,106 @@ def fit_pooled(
     return models, map_arrow(stats.sums.where(F.col("root").isNotNull()), own_effects, shape)
 
 
-def root_medians(stats: Statistics, features: Sequence[str], max_cells: int = MAX_CELLS) -> DataFrame:
-    """(root, fold, feature, median) of every root's own training rows; roots go in blocks that the driver may hold."""
-    spread = {"root": F.array("root"), "fold": F.sequence(F.col("interval"), F.lit(len(stats.folds) - 1))}
-    cells = stats.sums.count() * len(features) * 2
+def _sorted_medians(root: np.ndarray, interval: np.ndarray, values: list[np.ndarray], folds: int):
+    """(root number, fold, feature number, median) arrays of whole roots; a column without a finite value has no row."""
+    found = []
+    for c, column in enumerate(values):
+        order = np.lexsort((column, root))
+        order = order[np.isfinite(column[order])]
+        for fold in range(folds):
+            own = order[interval[order] <= fold]
+            if not len(own):
+                continue
+            first = np.flatnonzero(np.diff(root[own], prepend=-1))
+            last = np.diff(first, append=len(own)) - 1
+            low, high = column[own[first + last // 2]], column[own[first + (last + 1) // 2]]
+            found.append((root[own[first]], np.full(len(first), fold), np.full(len(first), c), low + (high - low) * (last % 2 / 2)))
+    return [np.concatenate(x) for x in zip(*found)] if found else None
+
+
+def _small_root_medians(rows: DataFrame, features: Sequence[str], folds: int) -> DataFrame:
+    """The medians of roots that a task may hold: one exchange by root, each root is sorted where it stands."""
+    features = list(features)
+    ordered = rows.select("root", "interval", *features).repartition("root").sortWithinPartitions("root")
+
+    def medians(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+        values = [pc.fill_null(table.column(2 + c), np.nan).to_numpy() for c in range(len(features))]
+        found = _sorted_medians(coded.indices.to_numpy().astype(np.int64), table.column(1).to_numpy(), values, folds)
+        if found is not None:
+            root, fold, feature, median = found
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(root)), pa.array(fold, pa.int32()),
+                 pa.array(features).take(pa.array(feature)), pa.array(median)],
+                names=["root", "fold", "feature", "median"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, wanted = [], 0, SORTED_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < wanted:
+                continue
+            table = pa.Table.from_batches(held)
+            coded = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            # the last root may go on in the next batch
+            cut = int(np.flatnonzero(coded != coded[-1])[-1]) + 1 if (coded != coded[-1]).any() else 0
+            if cut:
+                yield from medians(table.slice(0, cut))
+            held, size = table.slice(cut).to_batches(), size - cut
+            wanted = max(SORTED_ROWS, 2 * size)
+        if size:
+            yield from medians(pa.Table.from_batches(held))
+
+    return map_arrow(ordered, run, "root string, fold int, feature string, median double")
+
+
+def root_medians(
+    stats: Statistics, features: Sequence[str], max_cells: int = MAX_CELLS, most_values: int = ROOT_VALUES
+) -> DataFrame:
+    """(root, fold, feature, median) of every root's own training rows, in one pass over the rows however many roots.
+
+    Roots of up to `most_values` values are sorted by tasks. Larger ones, of which there are never more than values /
+    `most_values`, are counted by leading bits, in blocks that the driver may hold.
+    """
+    last = len(stats.folds) - 1
+    rows, same = stats.rows, F.col("r.root").eqNullSafe(F.col("l.root"))
+    large = materialise(
+        stats.sums.where((F.col("fold") == last) & (F.get("sums", F.lit(0)) * len(features) > most_values)).select("root")
+    )
+    many = large.count()
+    if not many:
+        return _small_root_medians(rows, features, len(stats.folds))
+    listed = F.broadcast(large).alias("l")
+    out = _small_root_medians(rows.alias("r").join(listed, same, "left_anti"), features, len(stats.folds))
+    spread = {"root": F.array("root"), "fold": F.sequence(F.col("interval"), F.lit(last))}
+    rest = materialise(rows.alias("r").join(listed, same, "left_semi"))
+    cells = many * len(stats.folds) * len(features) * 2
     blocks = -(-2 * cells // max_cells) if cells > max_cells else 1
-    out = None
     for block in range(blocks):
-        rows = stats.rows
+        own = rest
         if blocks > 1:
-            rows = materialise(rows.where(F.pmod(F.xxhash64("root"), F.lit(blocks)) == block))
+            own = materialise(rest.where(F.pmod(F.xxhash64("root"), F.lit(blocks)) == block))
         part = wide_quantiles(
-            rows, ["root", "interval"], list(features), linear={"median": 0.5}, spread=spread, max_cells=4 * max_cells
+            own, ["root", "interval"], list(features), linear={"median": 0.5}, spread=spread, max_cells=4 * max_cells
         ).select("root", "fold", "feature", "median")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
-def fit_per_root(stats: Statistics, features: Sequence[str] | None = None, alpha: float = ALPHA) -> DataFrame:
+def fit_per_root(
+    stats: Statistics, features: Sequence[str] | None = None, alpha: float = ALPHA, medians: DataFrame | None = None
+) -> DataFrame:
     """(fold, root, ...) models: one ridge per root and fold on the root's own rows, medians, means and scales.
 
-    Every root is solved where its sums lie; nothing is gathered.
+    Every root is solved where its sums lie; nothing is gathered. `medians` are those of these features or more, see
+    `root_medians`.
     """
     features = list(features or stats.features)
     at, width, folds, shifts = stats.pick(features), stats.width, stats.folds, stats.own_shifts(features)
     listed = (
-        root_medians(stats, features).groupBy("root", "fold")
+        (root_medians(stats, features) if medians is None else medians).groupBy("root", "fold")
         .agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("_m"))
         .select("root", "fold", F.array(*[F.try_element_at("_m", F.lit(f)) for f in features]).alias("medians"))
     )

@@ -89,6 +89,19 @@ def test_roots_in_blocks_have_the_same_medians(stats):
     assert sorted(map(tuple, lin.root_medians(stats, ["x", "z"], max_cells=12).collect())) == whole
 
 
+def test_medians_of_many_roots_take_one_pass(stats, monkeypatch):
+    def counted(*_, **__):
+        raise AssertionError("small roots are counted by leading bits")
+
+    monkeypatch.setattr(lin, "SORTED_ROWS", 50)
+    large = sorted(map(tuple, lin.root_medians(stats, NAMES, most_values=0).collect()))
+    some = sorted(map(tuple, lin.root_medians(stats, NAMES, max_cells=12, most_values=4 * 150).collect()))
+    monkeypatch.setattr(lin, "wide_quantiles", counted)
+    assert sorted(map(tuple, lin.root_medians(stats, NAMES, max_cells=12).collect())) == large == some
+    wanted = {(k, i, f): [r[("root", "ts", "x", "z", "far").index(f)] for r in training(e, k)] for i, e in enumerate(ENDS) for k in "abc" for f in ("x", "z", "far")}
+    assert {r[:3]: r[3] for r in large} == pytest.approx({k: np.median([x for x in v if x is not None]) for k, v in wanted.items()})
+
+
 def test_scores_meet_their_fold_and_an_unknown_root_adds_nothing(spark, stats):
     held = [("a", START, 0.5, None, 1e6, None, 0.0), ("q", START, None, 2.0, 1e6 + 1, None, 0.0)]
     df = spark.createDataFrame([(*r, "two") for r in held] + [(*held[0], "none")], SHAPE + ", fold string")
