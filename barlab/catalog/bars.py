@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.clock import DAY, MINUTE
-from barlab.operators.segments import add_contract_segments
+from barlab.operators.segments import add_contract_segments, add_short_contract_segments
 from barlab.session import materialise
 
 LI_ROOTS = ("A", "N", "R")
@@ -75,8 +75,8 @@ def bars_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(rows, F.col("value"), F.count(F.lit(1)), F.col("event_id"))
 
 
-# The derived bars are stored before they are segmented, as a bar dataset would be: the raw
-# rows are then aggregated once, though segmentation reads its input twice.
+# Bars of long roots are stored before they are segmented, as a bar dataset would be: the raw
+# rows are then aggregated once, though segmentation in tiles reads its input twice.
 
 
 def seg_li(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,8 @@ def seg_li(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_su(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_contract_segments(materialise(bars_su(spark, sf_dir)), DAY, LI_TILE)
+    """A supplier has a bar a day at most, so its segments need no tiles. Store it to read it more than once."""
+    return add_short_contract_segments(bars_su(spark, sf_dir))
 
 
 def seg_ev(spark: SparkSession, sf_dir: str) -> DataFrame:

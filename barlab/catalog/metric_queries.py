@@ -282,7 +282,7 @@ def selected_row_digest(spark, sf_dir):
     ),
 )
 def sample_fingerprint(spark, sf_dir):
-    sample = samp.even_sample(seg_su(spark, sf_dir), 100, DAY, tile_units=LI_TILE)
+    sample = samp.even_sample(materialise(seg_su(spark, sf_dir)), 100, DAY, tile_units=LI_TILE)
     return report(samp.row_fingerprint(sample, DAY, tile_units=LI_TILE))
 
 
@@ -298,7 +298,7 @@ near AS MATERIALIZED (SELECT root, contract_segment_id AS roll_segment, rn AS ro
     ),
 )
 def roll_context(spark, sf_dir):
-    rows = samp.around_rolls(seg_su(spark, sf_dir), 5)
+    rows = samp.around_rolls(materialise(seg_su(spark, sf_dir)), 5)
     return report(rows.select("root", "ts", "roll_segment", F.col("offset").alias("offset_rows")))
 
 

@@ -11,6 +11,7 @@ from barlab.functions.clock import MINUTE
 from barlab.operators import features as feat
 from barlab.operators import labels as lab
 from barlab.operators import segments as seg
+from barlab.session import materialise
 from tests.conftest import START
 
 
@@ -59,6 +60,15 @@ def test_segments_do_not_depend_on_the_tile_size(bars, tile):
             )
 
 
+def test_short_roots_have_the_same_segments_in_one_exchange(spark, bars):
+    stored = bars([0, 1, 3, 4, 7, 8, 9], [1, 2, 2, 1, 1, 3, 3]).unionByName(bars([2, 5], [4, 4], "ES"))
+    found = seg.add_short_contract_segments(stored)
+    wanted = seg.add_contract_segments(stored, MINUTE, 4)
+    assert found.dtypes == wanted.dtypes and sorted(found.collect()) == sorted(wanted.collect())
+    shaped = feat.add_trend(seg.add_short_contract_segments(materialise(stored)))
+    assert shaped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_rollover_table_and_audit(bars):
     df = bars([0, 1, 4, 5, 9], [1, 1, 1, 2, 2])
     table = {r["contract_segment_id"]: r for r in seg.rollover_table(df, MINUTE, 2).collect()}
