@@ -160,6 +160,43 @@ def running_sum(value: Column, base: str, rows: int, w: WindowSpec, decay: float
     return steps
 
 
+def running_deviation(base: str, rows: int, w: WindowSpec) -> Steps:
+    """``{base}_sd_{rows}``: sample deviation of the last ``rows`` values, for full frames only.
+
+    Laid beside the ``running_sum`` of the same base and length, whose partial sums it reads. Squares about the mean
+    of a block follow from those of its parts and the distances of the parts' means, so nothing cancels and the cost
+    grows with the logarithm of the frame. What is below the rounding of a constant counts as no spread.
+    """
+    def back(column: str, offset: int) -> Column:
+        return F.col(column) if offset == 0 else F.lag(column, offset, 0.0).over(w)
+
+    def merged(parts: Sequence[tuple[int, int]], whole: Column, length: int) -> Column:
+        mean = whole / length
+        terms = [
+            (back(f"{base}_sum_{size}", offset) / size - mean) ** 2 * size
+            + (back(f"{base}_about_{size}", offset) if size > 1 else F.lit(0.0))
+            for size, offset in parts
+        ]
+        return reduce(lambda x, y: x + y, terms)
+
+    sizes, steps = [1], [{}, {}]
+    while sizes[-1] * 8 <= rows:
+        small, big = sizes[-1], sizes[-1] * 8
+        steps.append({f"{base}_about_{big}": merged([(small, j * small) for j in range(8)], F.col(f"{base}_sum_{big}"), big)})
+        sizes.append(big)
+    parts, offset = [], 0
+    for size in reversed(sizes):
+        while rows - offset >= size:
+            parts.append((size, offset))
+            offset += size
+    total = F.col(f"{base}_last_{rows}")
+    about = F.col(f"{base}_about_last_{rows}")
+    steps.append({f"{base}_about_last_{rows}": merged(parts, total, rows)})
+    spread = F.when(about > 1e-28 * total * total / rows, about).otherwise(F.when(about.isNotNull(), 0.0))
+    steps.append({f"{base}_sd_{rows}": F.sqrt(spread / (rows - 1))})
+    return steps
+
+
 def side_by_side(*families: Steps) -> Steps:
     """Merge families that may run in the same steps."""
     out: Steps = [{} for _ in range(max(map(len, families)))]
@@ -252,15 +289,15 @@ def volumes(w: WindowSpec) -> Steps:
     volume = F.col("volume").cast("double")
     means = {n: F.col(f"_volume_last_{n}") / n for n in VOLUME_ROWS}
     sums = side_by_side(
-        [{f"_sd_{n}": F.stddev_samp(volume).over(last_rows(w, n)) for n in VOLUME_ROWS}],
         *[running_sum(volume, "_volume", n, w) for n in VOLUME_ROWS],
+        *[running_deviation("_volume", n, w) for n in VOLUME_ROWS],
     )
     return [
         *sums,
         {
             **{f"rolling_volume_mean_{n}": full(n, means[n]) for n in VOLUME_ROWS},
             **{
-                f"volume_zscore_{n}": full(n, safe_ratio(volume - means[n], F.col(f"_sd_{n}")))
+                f"volume_zscore_{n}": full(n, safe_ratio(volume - means[n], F.col(f"_volume_sd_{n}")))
                 for n in VOLUME_ROWS
             },
             "relative_volume_20": full(20, safe_ratio(volume, means[20])),

@@ -193,6 +193,21 @@ def test_running_sum_of_any_length(spark, bars):
         assert all(got[m] == sum(10.0 + k for k in range(max(0, m - n + 1), m + 1)) for m in range(200)), n
 
 
+def test_volume_deviation_is_merged_from_blocks_without_a_sliding_frame(spark, bars):
+    rng = random.Random(11)
+    values = [1e6 + 0.3] * 70 + [1e6 + rng.gauss(0, 1) for _ in range(130)]
+    found = feat.add_volume(segmented(bars(range(200)).withColumn("volume", F.get(F.array(*map(F.lit, values)), F.col("close").cast("int") - 100))))
+    assert "stddev" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for n in (20, 60):
+        got = by_minute(found, f"volume_zscore_{n}")
+        assert [got[i] for i in range(70)] == [None] * 70
+        for i in range(70, 200):
+            frame = values[i - n + 1 : i + 1]
+            mean = math.fsum(frame) / n
+            deviation = math.sqrt(math.fsum((v - mean) ** 2 for v in frame) / (n - 1))
+            assert got[i] == pytest.approx((values[i] - mean) / deviation, rel=1e-6, abs=1e-6)
+
+
 def test_chicago_clock(spark):
     ts = [START.replace(day=2, hour=h) for h in (6, 12, 18)]
     df = feat.add_clock_features(spark.createDataFrame([(t,) for t in ts], "ts timestamp"))
