@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ EV_ANCHORS = ("click", "view")
 # Small enough that every root spans several tiles even on the test tables.
 LI_TILE = 512
 EV_TILE = 4_096
+# Raw rows of one root that a task may sort.
+ROOT_ROWS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,31 +38,46 @@ def _bars(rows: DataFrame, price: Column, volume: Column, order: Column) -> Data
     )
 
 
-def _lineitem_bars(spark: SparkSession, sf_dir: str, root: Column) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _line_bars(rows: DataFrame, key: Sequence[str] = _LINE_KEY) -> DataFrame:
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return _bars(rows, price, F.sum("l_quantity"), F.struct(*key))
+
+
+def _lineitem_rows(spark: SparkSession, sf_dir: str, root: Column) -> DataFrame:
     day = F.date_trunc("day", "l_shipdate")
-    rows = li.select(
+    return table(spark, sf_dir, "lineitem").select(
         root.alias("root"),
         day.alias("ts"),
         (F.lit(1000) + F.floor((F.year(day) - 1995) / 2)).cast("long").alias("instrument_id"),
-        "l_extendedprice",
+        *_LINE_KEY,
         "l_quantity",
-        F.struct(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
-        ).alias("k"),
     )
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    return _bars(rows, price, F.sum("l_quantity"), F.col("k"))
 
 
 def bars_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars, three dense roots, four two-year contracts each."""
-    return _lineitem_bars(spark, sf_dir, F.col("l_returnflag"))
+    return _line_bars(_lineitem_rows(spark, sf_dir, F.col("l_returnflag")))
+
+
+def dealt_by_root(rows: DataFrame, key: str, most_rows: int = ROOT_ROWS) -> DataFrame:
+    """The rows dealt out by root, if no root, told by `key`, has more than a task may sort; else as they are.
+
+    A supplier has few line items a day, so combining them ahead of the exchange sorts all rows for nothing: dealt by
+    root, the rows are exchanged and sorted once for the bars and for the segments after them. A root of very many rows
+    is combined first, which leaves its days.
+    """
+    largest = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return rows.repartition("root") if largest <= most_rows else rows
 
 
-def bars_su(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars_su(spark: SparkSession, sf_dir: str, most_rows: int = ROOT_ROWS) -> DataFrame:
     """Sparse daily bars per supplier; the number of roots grows with the data."""
-    return _lineitem_bars(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    rows = _lineitem_rows(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    # the root tells the supplier, so its key orders nothing
+    return _line_bars(dealt_by_root(rows, "l_suppkey", most_rows), [c for c in _LINE_KEY if c != "l_suppkey"])
 
 
 def bars_ev(spark: SparkSession, sf_dir: str) -> DataFrame:

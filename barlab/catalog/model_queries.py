@@ -265,20 +265,22 @@ ANCHOR = "S1_return_1d"
 SUPPLIER_FEATURES = {"A": PAIR, "B": (*PAIR, ANCHOR)}
 
 
-def supplier_table(spark, sf_dir):
-    """Supplier bars with returns, the anchor return of the same day, and the label: one exchange of the bars."""
-    bars = feat.add_families(
-        seg_su(spark, sf_dir), [feat.returns(DAY, (1, 5)), lab.labels(DAY, (1,))], 5, 1
-    ).select("root", "ts", "instrument_id", "contract_segment_id", *PAIR, TARGET)
-    stored = materialise(bars)
+def supplier_table(spark, sf_dir, wanted):
+    """Wanted supplier bars with returns, the anchor return of the same day, and the label: one exchange of the lines.
+
+    Only the wanted rows and the anchor's are stored.
+    """
+    families = [feat.returns(DAY, (1, 5)), lab.labels(DAY, (1,))]
+    bars = feat.add_short_families(seg_su(spark, sf_dir), families).select(*samp.IDENTITY, *PAIR, TARGET)
+    stored = materialise(bars.where(wanted | (F.col("root") == "S1")))
     anchor = stored.where(F.col("root") == "S1").select("ts", F.col("log_return_1d").alias(ANCHOR))
     # one row a day at most; a join by day would deal all rows out anew, over few keys
-    return stored.join(broadcast_if_small(anchor), "ts", "left")
+    return stored.where(wanted).join(broadcast_if_small(anchor), "ts", "left")
 
 
 def supplier_rows(spark, sf_dir):
     """Rows that can train or be scored."""
-    rows = supplier_table(spark, sf_dir).where(F.col(TARGET).isNotNull())
+    rows = supplier_table(spark, sf_dir, F.col(TARGET).isNotNull())
     return materialise(rows.select("root", "ts", *PAIR, TARGET, ANCHOR))
 
 
@@ -447,12 +449,12 @@ _CUT = f"TIMESTAMP '{CUTOFF}'"
 )
 def frozen_model_deltas(spark, sf_dir):
     """Dedicated A and B ridges frozen at the cutoff, their logged predictions and outcomes, and B less A per closed window."""
-    rows = materialise(supplier_table(spark, sf_dir))
     cutoff, known = moment(CUTOFF), F.col(TARGET).isNotNull()
+    rows = supplier_table(spark, sf_dir, known | (F.col("ts") > cutoff))
     sample = materialise(mod.training_sample(
         rows.where((F.col("ts") < cutoff) & known), rows.columns, 100_000, DAY, tile_units=LI_TILE
     ))
-    digests = samp.selected_row_digest(sample)
+    digests = materialise(samp.selected_row_digest(sample))
     stats = lin.fold_statistics(sample, SUPPLIER_FEATURES["B"], TARGET)
     medians = materialise(lin.root_medians(stats, SUPPLIER_FEATURES["B"]))
     tables = [

@@ -12,12 +12,12 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barlab.functions.clock import Clock, local_clock_columns
+from barlab.functions.clock import Clock, local_clock_columns, micros
 from barlab.functions.numeric import log_ratio, safe_ratio
-from barlab.operators.tiles import BLOCK_ROWS, in_blocks
+from barlab.operators.tiles import BLOCK_ROWS, SEGMENT_KEYS, in_blocks
 
 # Horizons, spans and window lengths of the feature set.
 RETURN_HORIZONS = (1, 5, 15, 30, 60)
@@ -358,6 +358,13 @@ def add_families(
     return in_blocks(bars, lambda rows, w: run_steps(rows, w, families), back, ahead, size)
 
 
+def add_short_families(bars: DataFrame, families: Sequence[Family]) -> DataFrame:
+    """``add_families`` for segments that a task may hold (see ``segments.add_short_contract_segments``): windows over
+    whole segments, so rows need neither a number nor copies."""
+    rows = bars.withColumn("_t", micros(F.col("ts")))
+    return run_steps(rows, Window.partitionBy(*SEGMENT_KEYS).orderBy("_t"), families).drop("_t")
+
+
 def add_exact_returns(
     bars: DataFrame, clock: Clock, horizons: Sequence[int] = RETURN_HORIZONS, size: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -228,8 +228,14 @@ def training_sample(
     eligible: DataFrame, columns: Sequence[str], cap: int, clock: Clock,
     keys: Sequence[str] = ("root",), tile_units: int = TILE_UNITS,
 ) -> DataFrame:
-    """Narrow eligible training rows, evenly capped per key."""
-    narrow = eligible.select(*columns)
+    """Narrow eligible training rows, evenly capped per key; rows without a key or time are none.
+
+    Where no key has more rows than the cap, rows are counted but not ordered.
+    """
+    narrow = eligible.select(*columns).dropna(subset=[*keys, "ts"])
+    largest = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= cap:
+        return narrow
     return even_sample(narrow, cap, clock, keys, tile_units).drop("group_rows")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,6 +187,23 @@ def ordered_differences(
     return sides["left"].join(sides["right"], at, "full").where(~same).select(*at)
 
 
+def _runs_and_bytes(keys: Sequence[pa.Array], lines: pa.Array) -> tuple[list[int], list[memoryview]]:
+    """Where runs of equal keys start, and the text of each run's lines end to end, as it lies in the column."""
+    if not len(lines):
+        return [], []
+    changed = np.zeros(len(lines), bool)
+    changed[0] = True
+    for column in keys:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        changed[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(changed).tolist()
+    lines = lines.cast(pa.large_string())
+    places = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    text = memoryview(lines.buffers()[2])
+    ends = [*starts[1:], len(lines)]
+    return starts, [text[places[a] : places[b]] for a, b in zip(starts, ends)]
+
+
 def selected_row_digest(sample: DataFrame, keys: Sequence[str] = ("root",)) -> DataFrame:
     """(keys, rows, digest): SHA-256 over the identity lines of each key's rows in time order.
 
@@ -214,13 +232,18 @@ def selected_row_digest(sample: DataFrame, keys: Sequence[str] = ("root",)) -> D
 
         for batch in batches:
             kinds = [batch.column(i).type for i in range(len(keys))]
-            for *key, text in zip(*[batch.column(i).to_pylist() for i in (*range(len(keys)), len(keys) + 1)]):
+            lines = batch.column(len(keys) + 1)
+            if lines.null_count:
+                raise ValueError("a row without identity has no digest")
+            starts, text = _runs_and_bytes([batch.column(i) for i in range(len(keys))], lines)
+            for first, end, part in zip(starts, [*starts[1:], batch.num_rows], text):
+                key = [batch.column(i)[first].as_py() for i in range(len(keys))]
                 if key != own:
                     if own is not None:
                         yield done()
                     own, digest, rows = key, hashlib.sha256(), 0
-                digest.update(text.encode())
-                rows += 1
+                digest.update(part)
+                rows += end - first
         if own is not None:
             yield done()
 

@@ -153,17 +153,16 @@ def add_contract_segments(
 def add_short_contract_segments(bars: DataFrame) -> DataFrame:
     """The columns of ``add_contract_segments`` for roots that a task may hold, such as daily bars (36,525 a century).
 
-    All is told by windows inside a root: one exchange by root, which later windows by segment share; the bars are
-    read once and nothing is stored or joined.
+    All is told by windows inside a root: one exchange by root, which later windows by segment share, and none if the
+    bars are dealt by root already; the bars are read once and nothing is stored or joined.
     """
-    dealt = bars.repartition("root")
     by_time = Window.partitionBy("root").orderBy("ts")
     changed = F.col("instrument_id") != F.lag("instrument_id").over(by_time)
     segment = Window.partitionBy("root", "contract_segment_id").orderBy("ts")
     whole = segment.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     number = F.sum(F.col("roll_event").cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)) + 1
     return (
-        dealt.withColumn("roll_event", F.coalesce(changed, F.lit(False)))
+        bars.withColumn("roll_event", F.coalesce(changed, F.lit(False)))
         .withColumn("contract_segment_id", number)
         .withColumns(
             {

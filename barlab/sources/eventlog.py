@@ -58,7 +58,7 @@ def append_unique_events(events: DataFrame, path: str, attempts: int = ATTEMPTS)
     """
     batch = materialise(events)
     require_empty(duplicate_keys(batch, LOG_KEY), "event batch repeats a key")
-    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    first, last, rows = batch.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     if first is None:
         return 0
     spark, commits, known = events.sparkSession, Commits(spark=events.sparkSession, path=path), set()
@@ -66,10 +66,11 @@ def append_unique_events(events: DataFrame, path: str, attempts: int = ATTEMPTS)
         number, record = commits.latest()
         folders = record.get("folders", [])
         newer = [f for f in folders if f not in known]
-        logged = _between(_read(spark, newer, path, events.schema), first, last)
-        batch = materialise(batch.join(logged.select(*LOG_KEY), list(LOG_KEY), "left_anti"))
-        known.update(newer)
-        rows = batch.count()
+        if newer:
+            logged = _between(_read(spark, newer, path, events.schema), first, last)
+            batch = materialise(batch.join(logged.select(*LOG_KEY), list(LOG_KEY), "left_anti"))
+            known.update(newer)
+            rows = batch.count()
         if not rows:
             return 0
         folder = commits.new_folder(number + 1)
