@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.clock import DAY, MINUTE
 from barlab.operators.segments import add_contract_segments, add_short_contract_segments
-from barlab.session import materialise
+from barlab.session import broadcast_if_small, materialise
 
 LI_ROOTS = ("A", "N", "R")
 LI_ANCHORS = ("A", "N")
@@ -22,6 +23,9 @@ EV_TILE = 4_096
 # Raw rows of one root that a task may sort.
 ROOT_ROWS = 1 << 22
 
+_BAR = ("root", "ts", "instrument_id")
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -29,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bars(rows: DataFrame, price: Column, volume: Column, order: Column) -> DataFrame:
-    return rows.groupBy("root", "ts", "instrument_id").agg(
+    return rows.groupBy(*_BAR).agg(
         F.min_by(price, order).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -38,12 +42,8 @@ def _bars(rows: DataFrame, price: Column, volume: Column, order: Column) -> Data
     )
 
 
-_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-
-
-def _line_bars(rows: DataFrame, key: Sequence[str] = _LINE_KEY) -> DataFrame:
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    return _bars(rows, price, F.sum("l_quantity"), F.struct(*key))
+def _line_price(of: str = "") -> Column:
+    return F.col(f"{of}l_extendedprice") / F.col(f"{of}l_quantity")
 
 
 def _lineitem_rows(spark: SparkSession, sf_dir: str, root: Column) -> DataFrame:
@@ -57,9 +57,40 @@ def _lineitem_rows(spark: SparkSession, sf_dir: str, root: Column) -> DataFrame:
     )
 
 
+def _spans(rows: DataFrame) -> DataFrame:
+    """What plain numbers tell of every bar: the combining needs no sort. Null order keys come first."""
+    price, order = _line_price(), F.col("l_orderkey")
+    return rows.groupBy(*_BAR).agg(
+        F.when(F.count(order) == F.count(F.lit(1)), F.min(order)).alias("_lo"),
+        F.max(order).alias("_hi"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        F.sum("l_quantity").alias("l_quantity"),
+    )
+
+
 def bars_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars, three dense roots, four two-year contracts each."""
-    return _line_bars(_lineitem_rows(spark, sf_dir, F.col("l_returnflag")))
+    """Daily bars, three dense roots, four two-year contracts each.
+
+    A minimum by a struct sorts all rows ahead of the exchange. There are few bars of very many lines, so a first pass
+    finds each bar's first and last order, and only the lines of these two orders are told apart by the whole key.
+    """
+    rows = _lineitem_rows(spark, sf_dir, F.col("l_returnflag"))
+    spans = broadcast_if_small(_spans(rows)).alias("s")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _BAR]
+    at_end = F.col("r.l_orderkey").eqNullSafe(F.col("s._lo")) | F.col("r.l_orderkey").eqNullSafe(F.col("s._hi"))
+    ends = materialise(
+        rows.alias("r").join(spans, reduce(and_, same)).where(at_end)
+        .select(*[f"r.{c}" for c in _BAR], F.struct(*[f"r.{c}" for c in _LINE_KEY]).alias("k"),
+                _line_price("r.").alias("price"), "s.high", "s.low", F.col("s.l_quantity").alias("volume"))
+    )
+    return ends.groupBy(*_BAR).agg(
+        F.min_by("price", "k").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("price", "k").alias("close"),
+        F.max("volume").cast("double").alias("volume"),
+    )
 
 
 def dealt_by_root(rows: DataFrame, key: str, most_rows: int = ROOT_ROWS) -> DataFrame:
@@ -77,7 +108,8 @@ def bars_su(spark: SparkSession, sf_dir: str, most_rows: int = ROOT_ROWS) -> Dat
     """Sparse daily bars per supplier; the number of roots grows with the data."""
     rows = _lineitem_rows(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
     # the root tells the supplier, so its key orders nothing
-    return _line_bars(dealt_by_root(rows, "l_suppkey", most_rows), [c for c in _LINE_KEY if c != "l_suppkey"])
+    order = F.struct(*[c for c in _LINE_KEY if c != "l_suppkey"])
+    return _bars(dealt_by_root(rows, "l_suppkey", most_rows), _line_price(), F.sum("l_quantity"), order)
 
 
 def bars_ev(spark: SparkSession, sf_dir: str) -> DataFrame:

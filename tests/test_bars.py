@@ -3,8 +3,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from barlab.catalog.bars import bars_su
+from barlab.catalog import bars as cat
+from barlab.catalog.bars import bars_li, bars_su
 from barlab.functions.clock import DAY
 from barlab.operators import features as feat
 from barlab.operators import labels as lab
@@ -70,3 +72,13 @@ def test_keys_within_the_cap_are_counted_but_not_ordered(spark, cap):
     got = mod.training_sample(df, ["root", "ts", "v"], cap, DAY)
     assert sorted_rows(got) == sorted_rows(samp.even_sample(df, cap, DAY).select("root", "ts", "v"))
     assert ("Window" in plan_of(got)) == (cap < 4)
+
+
+def test_daily_bars_are_combined_without_sorting_the_lines(spark, lines):
+    rows = cat._lineitem_rows(spark, lines, F.col("l_returnflag"))
+    plain = cat._bars(rows, cat._line_price(), F.sum("l_quantity"), F.struct(*cat._LINE_KEY))
+    assert "SortAggregate" in plan_of(plain) and "Sort" not in plan_of(cat._spans(rows))
+    found = bars_li(spark, lines)
+    assert found.columns == plain.columns and sorted_rows(found) == sorted_rows(plain)
+    # the rows that are ordered are those of each bar's first and last order
+    assert "lineitem" not in plan_of(found)
