@@ -130,14 +130,15 @@ def fit_ridge(
     if "root" not in train.columns and include_root:
         raise ValueError("root effects need a root column")
     stats = fold_statistics(train, features, target)
-    given = None if medians is None else {0: np.array([medians[f] for f in features], np.float64)}
-    models, effects = fit_pooled(stats, features, alpha, include_root, given)
-    row = models.first()
-    if given is None:
-        found = pooled_medians(stats, features)[0]
-        missing = [f for f, m in zip(features, found) if not np.isfinite(m)]
+    if medians is None:
+        found = pooled_medians(stats, features)
+        missing = [f for f, m in zip(features, found[0]) if not np.isfinite(m)]
         if missing:
             raise ValueError(f"no finite training value in {missing}")
+    else:
+        found = {0: np.array([medians[f] for f in features], np.float64)}
+    models, effects = fit_pooled(stats, features, alpha, include_root, found)
+    row = models.first()
     medians_, means, scales = (dict(zip(features, row[c])) for c in ("medians", "means", "scales"))
     shifted = sum(w * m for w, m in zip(row["weights"], row["means"]))
     return RidgeModel(

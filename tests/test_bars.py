@@ -10,6 +10,7 @@ from barlab.catalog.bars import bars_li, bars_su
 from barlab.functions.clock import DAY
 from barlab.operators import features as feat
 from barlab.operators import labels as lab
+from barlab.operators import linear as lin
 from barlab.operators import models as mod
 from barlab.operators import sampling as samp
 from barlab.operators import segments as seg
@@ -82,3 +83,13 @@ def test_daily_bars_are_combined_without_sorting_the_lines(spark, lines):
     assert found.columns == plain.columns and sorted_rows(found) == sorted_rows(plain)
     # the rows that are ordered are those of each bar's first and last order
     assert "lineitem" not in plan_of(found)
+
+
+def test_a_ridge_looks_for_its_medians_once(spark, monkeypatch):
+    looks = []
+    for place in (mod, lin):
+        look = place.pooled_medians
+        monkeypatch.setattr(place, "pooled_medians", lambda *a, look=look: looks.append(1) or look(*a))
+    rows = spark.createDataFrame([(f"R{i % 2}", float(i % 7), float(i)) for i in range(40)], "root string, x double, y double")
+    assert mod.fit_ridge(rows, ["x"], "y").training_rows == 40
+    assert len(looks) == 1
