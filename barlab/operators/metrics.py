@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from barlab.functions.clock import Clock, floor_div, micros
 from barlab.functions.numeric import finite, finite_or_null, safe_ratio
-from barlab.operators.ranks import add_average_ranks, add_stable_position, equal_bucket, quantiles, with_part
+from barlab.operators.ranks import (
+    add_average_ranks,
+    add_short_average_ranks,
+    add_stable_position,
+    equal_bucket,
+    quantiles,
+    with_part,
+)
 from barlab.operators.tiles import TILE_UNITS
 from barlab.session import materialise
 
@@ -53,10 +60,10 @@ def r_squared(actual: str, predicted: str) -> Column:
     return F.when(F.count(F.lit(1)) > 1, F.when(varies(actual) & (total > 0), 1 - error / total).otherwise(flat))
 
 
-def moment_state(df: DataFrame, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
+def moment_state(df: DataFrame, keys: Sequence[str], actual: str, predicted: str, *also: Column) -> DataFrame:
     """Sums of each group's finite pairs that can be merged: rows, errors, means, and sums of squares about them.
 
-    Groups without a pair have 0 rows and null sums.
+    Groups without a pair have 0 rows and null sums. ``also`` names further aggregates of the same pass.
     """
     pair = finite(F.col(actual)) & finite(F.col(predicted))
     a, p = F.when(pair, F.col(actual)), F.when(pair, F.col(predicted))
@@ -72,6 +79,7 @@ def moment_state(df: DataFrame, keys: Sequence[str], actual: str, predicted: str
         (F.var_pop(p) * n).alias("spread_p"),
         (F.covar_pop(a, p) * n).alias("joint"),
         *[f(c).alias(f"{name}_{of}") for of, c in (("a", a), ("p", p)) for name, f in (("low", F.min), ("high", F.max))],
+        *also,
     )
 
 
@@ -96,8 +104,8 @@ def merged_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def state_metrics(state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The metric columns, but for Spearman, of merged or single states."""
+def state_metrics(state: DataFrame, keys: Sequence[str], *also: str) -> DataFrame:
+    """The metric columns, but for Spearman, of merged or single states; ``also`` names columns to keep behind them."""
     n = F.col("observations")
     flat = F.when(F.col("squared") == 0, 1.0).otherwise(0.0)
     # zero for a constant, whatever rounding its merged moments have left
@@ -110,6 +118,7 @@ def state_metrics(state: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(n > 1, F.when(spread_a > 0, 1 - F.col("squared") / spread_a).otherwise(flat)).alias("r2"),
         F.when(n > 1, safe_ratio(F.col("joint"), F.sqrt(spread_a) * F.sqrt(spread_p))).alias("pearson"),
         safe_ratio(F.col("same_sign"), n).alias("direction_accuracy"),
+        *also,
     )
 
 
@@ -130,15 +139,20 @@ def with_spearman(table: DataFrame, narrow: DataFrame, keys: Sequence[str], actu
 
 
 def regression_metrics(
-    df: DataFrame, keys: Sequence[str], actual: str, predicted: str, spearman: bool = True
+    df: DataFrame, keys: Sequence[str], actual: str, predicted: str, spearman: bool = True, short: bool = False
 ) -> DataFrame:
     """The metric row of each group, over finite pairs only.
 
     All moments come from one partially aggregated pass; for Spearman the narrow pairs are stored once and read from
-    there. A group without finite pairs has 0 observations and null metrics.
+    there. A group without finite pairs has 0 observations and null metrics. ``short`` says that a task may hold any
+    group, whatever their number: ranks are then told inside it in the same pass, and nothing is stored.
     """
     keys = list(keys)
     narrow = df.select(*keys, actual, predicted)
+    if spearman and short:
+        ranked = add_short_average_ranks(narrow, keys, {actual: "_rank_a", predicted: "_rank_p"})
+        found = correlation("_rank_a", "_rank_p").alias("spearman")
+        return state_metrics(moment_state(ranked, keys, actual, predicted, found), keys, "spearman")
     if spearman:
         narrow = materialise(with_part(narrow))
     table = state_metrics(moment_state(narrow, keys, actual, predicted), keys)

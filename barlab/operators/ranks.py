@@ -178,6 +178,25 @@ def add_average_rank(
     return add_average_ranks(df, keys, {value: name}, splits)
 
 
+def add_short_average_ranks(df: DataFrame, keys: Sequence[str], ranks: dict[str, str]) -> DataFrame:
+    """``add_average_ranks`` for groups that a task may hold: windows over whole groups, so nothing is stored, counted or
+    joined, and no row is exchanged if the input is dealt by some of the keys already.
+
+    All rows stay; those which ``add_average_ranks`` drops have null ranks.
+    """
+    keys = list(keys)
+    known = [*[F.col(k).isNotNull() for k in keys], *[finite(F.col(v)) for v in ranks]]
+    rows = df.withColumn("_ranked", reduce(Column.__and__, known))
+    group = [*keys, "_ranked"]
+    for value, name in ranks.items():
+        within = Window.partitionBy(*group).orderBy(value)
+        # a frame of equal values shares the sort of the rank, which a window by value would not
+        same = within.rangeBetween(Window.currentRow, Window.currentRow)
+        rank = F.rank().over(within) + (F.count(F.lit(1)).over(same) - 1) / 2
+        rows = rows.withColumn(name, F.when(F.col("_ranked"), rank.cast("double")))
+    return rows.drop("_ranked")
+
+
 def add_stable_position(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,16 +1,20 @@
 """Bars from line items: what is exchanged and sorted, and that every way gives the same bars."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from barlab.catalog import bars as cat
-from barlab.catalog.bars import bars_li, bars_su
+from barlab.catalog.bars import bars_li, bars_su, seg_su
+from barlab.catalog.metric_queries import metrics_by_supplier
+from barlab.catalog.registry import report
 from barlab.functions.clock import DAY
 from barlab.operators import features as feat
 from barlab.operators import labels as lab
 from barlab.operators import linear as lin
+from barlab.operators import metrics as met
 from barlab.operators import models as mod
 from barlab.operators import sampling as samp
 from barlab.operators import segments as seg
@@ -93,3 +97,28 @@ def test_a_ridge_looks_for_its_medians_once(spark, monkeypatch):
     rows = spark.createDataFrame([(f"R{i % 2}", float(i % 7), float(i)) for i in range(40)], "root string, x double, y double")
     assert mod.fit_ridge(rows, ["x"], "y").training_rows == 40
     assert len(looks) == 1
+
+
+def test_supplier_metrics_exchange_the_lines_once_and_store_nothing(spark, tmp_path):
+    rng = random.Random(6)
+    start = datetime(1996, 12, 1)
+    rows = [  # prices that repeat, so that returns tie; the year's end cuts the segments
+        (rng.randrange(10**6), 1, supplier, 1, 1.0, float(rng.choice((8, 9, 10, 12))), "A", start + timedelta(days=day))
+        for supplier in (1, 2, 3, None) for day in range(60) for _ in range(2) if rng.random() < 0.7
+    ]
+    rows += [(1, 1, 1, 1, 1.0, 9.0, "A", None), (1, 1, 7, 1, 1.0, 9.0, "A", start), (2, 1, 8, 1, None, 9.0, "A", None)]
+    # the first bar has no outcome, a later one has
+    rows += [(1, 1, 9, 1, 1.0, p, "A", start + timedelta(days=d)) for d, p in ((0, 5.0), (5, 6.0), (9, 4.0), (10, 5.0))]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, LINES).write.parquet(f"{folder}/lineitem.parquet")
+    found = metrics_by_supplier(spark, folder)
+    plan = plan_of(found)
+    assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan and "Join" not in plan
+
+    bars = lab.add_future_labels(feat.add_exact_returns(seg_su(spark, folder), DAY, (1,)), DAY, (1,))
+    scored = met.naive_predictions(bars, "log_return_1d")
+    wanted = report(met.regression_metrics(scored, ["model", "root"], "future_return_1d", "prediction"))
+    assert found.columns == wanted.columns and sorted_rows(found) == sorted_rows(wanted)
+    pairs = {(r["model"], r["root"]): r["observations"] for r in found.collect()}
+    assert len(pairs) == 3 * 7 and pairs["zero", "S7"] == pairs["zero", "S8"] == 0 and pairs["zero", "S9"] == 1
+    assert pairs["persistence", "S1"] > 5

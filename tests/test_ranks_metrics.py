@@ -217,3 +217,30 @@ def test_a_constant_has_no_correlation_however_its_moments_are_merged(spark):
         assert {(r["pearson"], r["spearman"]) for r in table.collect()} == {(None, None)}
     swapped = met.regression_metrics(df, ["root"], "p", "a", spearman=False).collect()
     assert {(r["pearson"], r["r2"]) for r in swapped} == {(None, 0.0)}
+
+
+@pytest.mark.parametrize("kind", ["constant", "heavy", "coarse", "spread"])
+def test_metrics_of_short_groups_equal_the_general_ones(spark, kind):
+    rng = random.Random(8)
+    rows = [
+        (m, g, a, p) for m in "xy" for g in ("a", "b", "c", None)
+        for a, p in zip(sample("heavy", 90, rng), sample(kind, 90, rng))
+    ]
+    rows += [("x", "a", v, 1.0) for v in (None, math.nan, math.inf, -0.0)] + [("y", "b", 0.5, v) for v in (None, -math.inf, -0.0)]
+    rows += [("x", "one", 1.0, 2.0), ("x", "none", None, 1.0), ("x", "none", 1.0, math.nan)]
+    df = spark.createDataFrame(rows, "m string, g string, a double, p double")
+    keys = ["m", "g"]
+    dealt = df.repartition("g")
+    short = met.regression_metrics(dealt, keys, "a", "p", short=True)
+    wide = met.regression_metrics(df, keys, "a", "p")
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2
+    assert short.columns == wide.columns
+    got, want = ({(r["m"], r["g"]): r.asDict() for r in t.collect()} for t in (short, wide))
+    assert set(got) == set(want) and got["x", "none"]["observations"] == 0
+    for group, row in want.items():
+        assert got[group] == pytest.approx(row, abs=1e-12)
+    if kind != "constant":
+        pairs = [(a, p) for m, g, a, p in rows if (m, g) == ("x", "c")]
+        ranked = [average_ranks([pair[i] for pair in pairs]) for i in (0, 1)]
+        assert got["x", "c"]["spearman"] == pytest.approx(np.corrcoef(*ranked)[0, 1])
